@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsmith.functions.columns import c
+from tabsmith.functions.columns import c, q
 from tabsmith.session import cut_lineage
 
 # Largest number of distinct values per column for which Spark's exact
@@ -28,14 +28,33 @@ from tabsmith.session import cut_lineage
 PERCENTILE_MAP_LIMIT = 2_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame whose scan yields fewer partitions than task slots.
+
+    Only row-multiplying operators call this (unpivots, expansions).  On a
+    large input (many files / row groups) it is a no-op; on a one-row-group
+    file it turns a single-task stage into a parallel one.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= slots:
+        return df.repartition(slots)
+    return df
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def long_values(df: DataFrame, columns, value_type: str = "double",
                 keep=()) -> DataFrame:
-    """Unpivot ``columns`` to ``(column, value)`` rows (nulls dropped)."""
+    """Unpivot ``columns`` to ``(column, value)`` rows with ``stack`` (nulls dropped)."""
     if not columns:
         raise ValueError("long_values needs at least one column")
-    arr = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast(value_type).alias("value"))
-                    for x in columns])
-    out = df.select(*[c(k) for k in keep], F.inline(arr))
+    pairs = ", ".join(f"{_sql_str(x)}, cast({q(x)} as {value_type})" for x in columns)
+    gen = F.expr(f"stack({len(columns)}, {pairs}) as (column, value)")
+    out = spread(df.select(*[c(k) for k in keep], *[c(x) for x in columns if x not in keep]))
+    out = out.select(*[c(k) for k in keep], gen)
     return out.where(F.col("value").isNotNull())
 
 

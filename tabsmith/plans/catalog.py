@@ -27,9 +27,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_like_sql(col, d: int):
+    """``round(x, d)`` computed as DuckDB does it: round-half-away(x * 10^d) / 10^d.
+
+    Spark's own ``round`` rounds the shortest decimal text of the double, which
+    differs from the binary product on exact ties (1.005 -> 1.01 vs 1.0).
+    """
+    m = float(10 ** d)
+    return F.round(col * F.lit(m), 0) / F.lit(m)
+
+
 def rnd(df: DataFrame, digits: dict) -> DataFrame:
     """Round the listed double columns (same rule as the SQL side)."""
-    return df.select(*[F.round(F.col(x), digits[x]).alias(x) if x in digits else F.col(x) for x in df.columns])
+    return df.select(*[round_like_sql(F.col(x), digits[x]).alias(x) if x in digits else F.col(x)
+                       for x in df.columns])
 
 
 def load_all():
