@@ -1 +1,176 @@
-"""Queries (filled in below)."""
+"""Recommendation and registry queries (R*, A32, F14, SC2) with DuckDB oracles."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tabsmith.operators import recommend as R
+from tabsmith.plans.catalog import register, rnd
+from tabsmith.plans.fixtures import table
+from tabsmith.plans.registry import CARDS, registry_sql
+
+# (dataset_id, table, target, task, numeric columns, other columns)
+DATASETS = [
+    ("lineitem_flag", "lineitem", "l_returnflag", "classification",
+     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+     ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    ("orders_price", "orders", "o_totalprice", "regression", ["o_orderkey", "o_custkey", "o_totalprice"],
+     ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    ("customer_segments", "customer", None, "clustering", ["c_custkey", "c_nationkey", "c_acctbal"],
+     ["c_name", "c_mktsegment"]),
+    ("part_dimred", "part", None, "dimred", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]),
+]
+
+# user choices per dataset (configuration, not data)
+REQUIREMENTS = [
+    ("lineitem_flag", "classification", "High", "Fast", "Moderate", "Small", False, False, True, 40, 25, 20, 15,
+     None, "u1"),
+    ("orders_price", "regression", "Medium", "Moderate", "Fast", "Medium", False, True, False, 50, 30, 10, 10,
+     "Car Price", "u2"),
+    ("customer_segments", "clustering", "Low", "Unlimited", "Moderate", "Medium", False, False, False,
+     30, 30, 30, 30, "Segmentation", "u1"),
+    ("part_dimred", "dimred", "High", "Moderate", "Moderate", "Medium", True, False, False, 10, 20, 30, 45,
+     None, "u0"),
+]
+
+
+def _meta_all(spark, sf):
+    parts = [R.meta_features(table(spark, sf, t), ds, tgt, task) for ds, t, tgt, task, _, _ in DATASETS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _req(spark):
+    return spark.createDataFrame(REQUIREMENTS, R.REQ_SCHEMA)
+
+
+def _feedback(spark, sf):
+    """Accept / reject history derived from ``events``: event -> (user, algorithm card, accepted)."""
+    ev = table(spark, sf, "events")
+    keys = F.array(*[F.lit(k) for k, *_ in CARDS])
+    tasks = F.array(*[F.lit(t) for _, _, t, _, _ in CARDS])
+    pos = (F.col("event_id") % len(CARDS) + 1).cast("int")
+    return ev.select(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("user_id"),
+                     F.element_at(tasks, pos).alias("task_type"), F.element_at(keys, pos).alias("algorithm_key"),
+                     F.col("event_type").isin("click", "purchase").cast("int").alias("accepted"))
+
+
+def _sql_lit(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+REQ_SQL = ("(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in REQUIREMENTS)
+           + ") AS q(dataset_id, task_type, interpretability, training_time, prediction_speed, deployment_size, "
+             "must_be_interpretable, must_be_fast, must_handle_categorical, w_accuracy, w_speed, w_interpretability, "
+             "w_robustness, automobile_preset, user_id))")
+
+FEEDBACK_SQL = ("(SELECT 'u' || CAST(user_id % 3 AS VARCHAR) AS user_id, "
+                "[" + ", ".join(_sql_lit(t) for _, _, t, _, _ in CARDS) + f"][CAST(event_id % {len(CARDS)} + 1 AS INTEGER)]"
+                " AS task_type, [" + ", ".join(_sql_lit(k) for k, *_ in CARDS) +
+                f"][CAST(event_id % {len(CARDS)} + 1 AS INTEGER)] AS algorithm_key, "
+                "CAST(event_type IN ('click', 'purchase') AS INTEGER) AS accepted FROM events)")
+
+BIAS_SQL = f"""(SELECT user_id, task_type, algorithm_key,
+   greatest(-6.0, least(6.0, (a - r) / greatest(1.0, CAST(a + r AS DOUBLE)) * 6)) AS bias FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, task_type ORDER BY a + r DESC, algorithm_key) AS rk FROM (
+   SELECT user_id, task_type, algorithm_key, sum(CASE WHEN accepted = 1 THEN 1 ELSE 0 END) AS a,
+          sum(CASE WHEN accepted = 0 THEN 1 ELSE 0 END) AS r FROM {FEEDBACK_SQL} GROUP BY ALL))
+  WHERE rk <= 500 AND a + r > 0)"""
+
+
+def _meta_sql(ds, tbl, tgt, task, num, other):
+    cols = num + other
+    feat_num = [x for x in num if x != tgt]
+    feat_cat = [x for x in other if x != tgt]
+    nulls = " + ".join(f"count(*) FILTER (WHERE {x} IS NULL" + (f" OR isnan({x})" if x in num else "") + ")"
+                       for x in cols)
+    nfeat = len(cols) - (1 if tgt else 0)
+    denom = max(1, len(feat_num) + len(feat_cat))
+    pairs = [(a, b) for i, a in enumerate(feat_num) for b in feat_num[i + 1:]]
+    if pairs:
+        cond = " AND ".join(f"{x} IS NOT NULL AND isfinite(CAST({x} AS DOUBLE))" for x in feat_num)
+        rs = ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r{i}" for i, (a, b) in enumerate(pairs))
+        ok = [f"(r{i} IS NOT NULL AND NOT isnan(r{i}))" for i in range(len(pairs))]
+        mean_abs = ("((" + " + ".join(f"CASE WHEN {o} THEN abs(r{i}) ELSE 0 END" for i, o in enumerate(ok))
+                    + ") / nullif((" + " + ".join(f"CASE WHEN {o} THEN 1 ELSE 0 END" for o in ok) + "), 0))")
+        high = "(" + " + ".join(f"CASE WHEN abs(r{i}) > 0.9 THEN 1 ELSE 0 END" for i in range(len(pairs))) + \
+            f") / {float(len(pairs))}"
+        corr = (f"(SELECT CASE WHEN n >= 20 THEN {mean_abs} END AS corr_mean_abs, "
+                f"CASE WHEN n >= 20 THEN {high} END AS corr_high_pair_ratio FROM "
+                f"(SELECT count(*) AS n, {rs} FROM {tbl} WHERE {cond}))")
+    else:
+        corr = "(SELECT CAST(NULL AS DOUBLE) AS corr_mean_abs, CAST(NULL AS DOUBLE) AS corr_high_pair_ratio)"
+    ci = (f"(SELECT max(n) / sum(n) AS class_imbalance FROM (SELECT count(*) AS n FROM {tbl} GROUP BY {tgt}))"
+          if tgt and task == "classification" else "(SELECT CAST(NULL AS DOUBLE) AS class_imbalance)")
+    return f"""SELECT '{ds}' AS dataset_id, count(*) AS n_samples, {nfeat} AS n_features, {len(feat_num)} AS n_numeric,
+  {len(feat_cat)} AS n_categorical, CAST({len(feat_num) / denom} AS DOUBLE) AS numeric_ratio, CAST({len(feat_cat) / denom} AS DOUBLE) AS categorical_ratio,
+  ({nulls}) * 100.0 / (count(*) * {len(cols)}) AS missing_pct,
+  (SELECT corr_mean_abs FROM {corr}) AS corr_mean_abs, (SELECT corr_high_pair_ratio FROM {corr}) AS corr_high_pair_ratio,
+  (SELECT class_imbalance FROM {ci}) AS class_imbalance, CAST(NULL AS DOUBLE) AS linearity_score,
+  CAST(NULL AS VARCHAR) AS noise_level FROM {tbl}"""
+
+
+META_SQL = "(" + "\nUNION ALL\n".join(_meta_sql(*d) for d in DATASETS) + ")"
+
+META_ROUND = {"numeric_ratio": 6, "categorical_ratio": 6, "missing_pct": 6, "corr_mean_abs": 6,
+              "corr_high_pair_ratio": 6, "class_imbalance": 6}
+
+
+@register("meta_features", "SELECT dataset_id, n_samples, n_features, n_numeric, n_categorical, " + ", ".join(
+    f"round({k}, {d}) AS {k}" for k, d in META_ROUND.items()) + f" FROM {META_SQL}")
+def q_meta(spark, sf):
+    m = _meta_all(spark, sf)
+    return rnd(m.select("dataset_id", "n_samples", "n_features", "n_numeric", "n_categorical", *META_ROUND), META_ROUND)
+
+
+def _scored_sql(rnd_fn="round_even"):
+    scores = ", ".join(f"CAST({v} AS INTEGER) AS {k}_score" for k, v in R.SCORES.items())
+    return f"""(SELECT *, {R.total_expr(rnd_fn)} AS score_total FROM (
+  SELECT *, {scores}, {R.IMBALANCED} AS class_weight_balanced
+  FROM {META_SQL} m JOIN {REQ_SQL} q USING (dataset_id) JOIN {registry_sql()} g USING (task_type)
+  LEFT JOIN (SELECT user_id, task_type, algorithm_key AS key, bias FROM {BIAS_SQL}) b USING (user_id, task_type, key)
+  WHERE g.available)
+ WHERE {R.KEEP})"""
+
+
+@register("recommend_scores", f"""SELECT dataset_id, key AS algorithm_key, accuracy_score, speed_score,
+  interpretability_score, robustness_score, score_total FROM {_scored_sql()}""")
+def q_scores(spark, sf):
+    s = R.score_candidates(_meta_all(spark, sf), _req(spark), R.feedback_bias(_feedback(spark, sf)))
+    return s.select("dataset_id", F.col("key").alias("algorithm_key"), "accuracy_score", "speed_score",
+                    "interpretability_score", "robustness_score", "score_total")
+
+
+@register("recommend_top5", f"""SELECT dataset_id, rank, key AS algorithm_key, name AS model_name, family,
+  accuracy_score, speed_score, interpretability_score, robustness_score, score_total, class_weight_balanced FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY score_total DESC, position) AS rank
+  FROM {_scored_sql()}) WHERE rank <= 5""")
+def q_top5(spark, sf):
+    top = R.recommend_top(_meta_all(spark, sf), _req(spark), R.feedback_bias(_feedback(spark, sf)))
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("recommender_feedback_bias", f"SELECT user_id, task_type, algorithm_key, round(bias, 6) AS bias FROM {BIAS_SQL}")
+def q_bias(spark, sf):
+    return rnd(R.feedback_bias(_feedback(spark, sf)), {"bias": 6})
+
+
+@register("recommend_suggestions")
+def q_suggestions(spark, sf):
+    """R15 suggestion codes per dataset."""
+    meta, req = _meta_all(spark, sf), _req(spark)
+    top = R.recommend_top(meta, req, R.feedback_bias(_feedback(spark, sf)))
+    return R.suggestion_flags(top, meta, req)
+
+
+@register("meta_signature")
+def q_signature(spark, sf):
+    """SC2: md5 signature of each dataset's meta-features."""
+    return R.signature(_meta_all(spark, sf))
