@@ -12,6 +12,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+import math
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -299,3 +301,143 @@ def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300
     return ok.groupBy(*[c(k) for k in keys]).agg(
         F.min_by(F.struct(*[c(f) for f in feats], F.col("prediction").alias("new_prediction")), "__d").alias("cf"),
         F.min("__d").alias("distance"), F.first("__p0").alias("prediction"))
+
+
+# ------------------------------------------------------------------ X3 sampling Shapley
+
+def sampling_shap(df: DataFrame, scorer: Scorer, keys, background: DataFrame, n_perm: int = 10,
+                  seed: int = 42) -> DataFrame:
+    """X3 (Strumbelj & Kononenko 2014): Shapley values of any scorer by permutation sampling.
+
+    For each row and sample m: a hash permutation of the features and a
+    background row z (``background`` is small and broadcast; pass a bounded
+    table); for every feature j two variants differing only in j are scored:
+    features ranked before j (and j itself in the "+" variant) come from x,
+    the rest from z.  phi_j = mean over m of f(x+) - f(x-).
+    ``keys`` must identify a row.
+    """
+    feats = list(scorer.features)
+    p = len(feats)
+    bg = background.select(*[c(f).cast("double").alias(f"__z{i}") for i, f in enumerate(feats)])
+    bg = bg.withColumn("__bi", F.row_number().over(Window.orderBy(*[f"__z{i}" for i in range(p)])) - 1)  # small
+    nb = bg.count()
+    rows = df.select(F.struct(*[c(k) for k in keys]).alias("__key"), *[c(f).cast("double").alias(f) for f in feats])
+    ex = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("__m"))
+    hkey = F.xxhash64(F.to_json("__key"), F.col("__m"), F.lit(seed))
+    ex = ex.withColumn("__bi", F.pmod(hkey, F.lit(nb)))
+    ex = ex.join(F.broadcast(bg), "__bi")
+    # rank of each feature in this sample's permutation
+    hs = [F.xxhash64(hkey, F.lit(i)) for i in range(p)]
+    for i in range(p):
+        ex = ex.withColumn(f"__r{i}", sum((F.when(hs[k] < hs[i], 1).otherwise(0) for k in range(p)), F.lit(0)))
+    var = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j in range(p) for s in (0, 1)]))
+    ex = ex.select("*", var.alias("__v")).select("*", F.col("__v.j").alias("__j"), F.col("__v.s").alias("__s"))
+    for i, f in enumerate(feats):
+        from_x = (F.col(f"__r{i}") < F.element_at(F.array(*[F.col(f"__r{k}") for k in range(p)]), F.col("__j") + 1)) \
+            | ((F.lit(i) == F.col("__j")) & (F.col("__s") == 1))
+        ex = ex.withColumn(f, F.when(from_x, c(f)).otherwise(F.col(f"__z{i}")))
+    sc = scorer(ex)
+    phi = sc.groupBy("__key", "__j").agg(
+        ((F.sum(F.when(F.col("__s") == 1, F.col("prediction")))
+          - F.sum(F.when(F.col("__s") == 0, F.col("prediction")))) / F.lit(float(n_perm))).alias("shap"))
+    names = F.array(*[F.lit(f) for f in feats])
+    return phi.select("__key.*", F.element_at(names, F.col("__j") + 1).alias("feature"), "shap")
+
+
+# ------------------------------------------------------------------ X8 local surrogate
+
+def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, top: int = 10,
+                    seed: int = 42) -> DataFrame:
+    """X8 (LIME-style): per row, ``n_samples`` Gaussian perturbations (feature std), scored together;
+    exponential kernel on the standardised distance (width 0.75 sqrt(p)); per-row weighted least
+    squares in ``applyInPandas`` (one group = one row's samples, bounded by n_samples); top |coef|."""
+    import pandas as pd
+    feats = list(scorer.features)
+    p = len(feats)
+    sd = df.agg(*[F.stddev_pop(c(f)).alias(f) for f in feats]).first()
+    sds = [float(sd[f] or 1.0) or 1.0 for f in feats]
+    rows = df.select(F.to_json(F.struct(*[c(k) for k in keys])).alias("__key"),
+                     *[c(f).cast("double").alias(f) for f in feats])
+    ex = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("__s"))
+    for i, f in enumerate(feats):
+        u1 = hash_uniform(["__key", "__s", F.lit(f"a{i}")], seed)
+        u2 = hash_uniform(["__key", "__s", F.lit(f"b{i}")], seed)
+        z = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * np.pi * u2)   # Box-Muller
+        ex = ex.withColumn(f"__z{i}", F.when(F.col("__s") == 0, F.lit(0.0)).otherwise(z)) \
+            .withColumn(f, c(f) + F.col(f"__z{i}") * F.lit(sds[i]))
+    sc = scorer(ex).select("__key", *[f"__z{i}" for i in range(p)], "prediction")
+    width = 0.75 * math.sqrt(p)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        Z = pdf[[f"__z{i}" for i in range(p)]].to_numpy(float)
+        y = pdf["prediction"].to_numpy(float)
+        w = np.exp(-(Z ** 2).sum(axis=1) / width ** 2)
+        A = np.column_stack([np.ones(len(Z)), Z]) * np.sqrt(w)[:, None]
+        coef = np.linalg.lstsq(A, y * np.sqrt(w), rcond=None)[0][1:]
+        order = np.argsort(-np.abs(coef))[:top]
+        return pd.DataFrame({"key": pdf["__key"].iloc[0], "feature": [feats[i] for i in order],
+                             "weight": [float(coef[i]) for i in order]})
+    return sc.groupBy("__key").applyInPandas(fit, "key string, feature string, weight double")
+
+
+# ------------------------------------------------------------------ X14 / X15 curves
+
+def learning_curve(prep, key: str, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 3, params=None,
+                   seed: int = 42, metric: str | None = None):
+    """Mean train / CV score for growing hash-prefix train subsets, k hash folds."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from tabsmith.functions.columns import hash_bucket
+    from tabsmith.operators.estimators import make_estimator
+    from tabsmith.plans.train import TASK_OF
+    task = TASK_OF[key]
+    ev = RegressionEvaluator(metricName=metric or "r2") if task == "regression" else \
+        MulticlassClassificationEvaluator(metricName=metric or "accuracy")
+    d = prep.data.withColumn("__fold", hash_bucket(prep.keys, seed + 1, folds)) \
+        .withColumn("__u", hash_bucket(prep.keys, seed + 2, 10000) / 10000.0).persist()
+    out = []
+    for size in sizes:
+        tr_s, cv_s, n_tr = [], [], []
+        for f in range(folds):
+            tr = d.where((F.col("__fold") != f) & (F.col("__u") < size))
+            te = d.where(F.col("__fold") == f)
+            m = make_estimator(key, params or {}).fit(tr)
+            tr_s.append(ev.evaluate(m.transform(tr)))
+            cv_s.append(ev.evaluate(m.transform(te)))
+            n_tr.append(tr.count())
+        out.append((float(size), int(np.mean(n_tr)), float(np.mean(tr_s)), float(np.mean(cv_s))))
+    d.unpersist()
+    spark = prep.data.sparkSession
+    return spark.createDataFrame(out, "train_fraction double, n_train long, train_score double, cv_score double")
+
+
+def validation_curve(prep, key: str, param: str, value, folds: int = 3, seed: int = 42):
+    """CV score at {max(1, v/2), v, 2v} of one hyper-parameter (hash folds)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from tabsmith.operators.estimators import make_estimator
+    from tabsmith.plans.train import TASK_OF
+    from tabsmith.functions.columns import hash_bucket
+    task = TASK_OF[key]
+    ev = RegressionEvaluator(metricName="r2") if task == "regression" else \
+        MulticlassClassificationEvaluator(metricName="accuracy")
+    isint = isinstance(value, int)
+    vals = sorted({max(1, value // 2) if isint else value / 2, value, value * 2})
+    d = prep.data.withColumn("__fold", hash_bucket(prep.keys, seed + 1, folds)).persist()
+    out = []
+    for v in vals:
+        scores = []
+        for f in range(folds):
+            m = make_estimator(key, {param: v}).fit(d.where(F.col("__fold") != f))
+            scores.append(ev.evaluate(m.transform(d.where(F.col("__fold") == f))))
+        out.append((param, float(v), float(np.mean(scores))))
+    d.unpersist()
+    return prep.data.sparkSession.createDataFrame(out, "param string, value double, cv_score double")
+
+
+def prediction_candidates(pred: DataFrame, keys, min_conf: float = 0.0, limit: int = 50,
+                          probability: str = "probability") -> DataFrame:
+    """rows whose max class probability >= min_conf, first ``limit`` by key (regression: no filter)."""
+    from pyspark.ml.functions import vector_to_array
+    if probability in pred.columns:
+        conf = F.array_max(vector_to_array(probability))
+        pred = pred.withColumn("confidence", conf).where(F.col("confidence") >= min_conf)
+    return pred.orderBy(*[c(k) for k in keys]).limit(limit)

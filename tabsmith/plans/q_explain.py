@@ -159,3 +159,51 @@ def q_cf(spark, sf):
 
 
 del BINARY_PRED_SQL, binary_pred
+
+
+@register("explain_sampling_shap")
+def q_sampling_shap(spark, sf):
+    """Permutation-sampling Shapley values of the rule model (10 permutations, 200 hash-chosen
+    background rows broadcast)."""
+    from tabsmith.functions.columns import sample_n
+    li = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("l_quantity"),
+                                             F.col("o_custkey").cast("double").alias("l_extendedprice"),
+                                             F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax"))
+    bg = sample_n(li, 200, ["o_orderkey"])
+    return X.sampling_shap(li, _reg_scorer(), ["o_orderkey"], bg, n_perm=10)
+
+
+@register("explain_local_surrogate")
+def q_lime(spark, sf):
+    """Per-part weighted linear surrogate (200 perturbations each) of the rule classifier's score."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    sc = X.Scorer.sql("p_retailprice + 10 * p_size", ["p_size", "p_retailprice"])
+    return X.local_surrogate(p, sc, ["p_partkey"], n_samples=200, top=2)
+
+
+def _dm_prep(spark, sf, target, task):
+    from tabsmith.plans import train as TR
+    from tabsmith.plans.fixtures import design_matrix
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "rf_a", "rf_n", "rf_r", "ls_f"]
+    return TR.prepare(design_matrix(spark, sf).select(*KEYS, *feats, target), target, KEYS, task)
+
+
+@register("explain_learning_curve")
+def q_learning(spark, sf):
+    """5 train sizes x 3 hash folds, decision tree regressor."""
+    return X.learning_curve(_dm_prep(spark, sf, "y_reg", "regression"), "reg_decision_tree", params={"max_depth": 6})
+
+
+@register("explain_validation_curve")
+def q_validation(spark, sf):
+    """CV score at max_depth in {3, 6, 12}."""
+    return X.validation_curve(_dm_prep(spark, sf, "y_bin", "classification"), "clf_decision_tree", "max_depth", 6)
+
+
+@register("prediction_candidates")
+def q_candidates(spark, sf):
+    """confident logistic-regression predictions (max class probability >= 0.9), first 50 by key."""
+    from tabsmith.plans import train as TR
+    prep = _dm_prep(spark, sf, "y_bin", "classification")
+    res = TR.train(prep, "clf_logistic")
+    return X.prediction_candidates(res.predictions, KEYS, 0.9, 50).drop("probability")

@@ -330,3 +330,11 @@ def q_finite(spark, sf):
 def q_sample(spark, sf):
     """deterministic hash sample of 500 lineitem rows."""
     return COL.sample_n(table(spark, sf, "lineitem"), 500, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@register("outlier_isolation_forest")
+def q_isoforest(spark, sf):
+    """Isolation forest (100 trees, 256-row hash samples) drops the 5 % most anomalous rows."""
+    df = lineitem_nulls(spark, sf).select(*VALS)
+    return PP.fit_transform(df, {"operation": "outliers", "params": {"method": "isolation_forest",
+                                                                     "contamination": 0.05}})

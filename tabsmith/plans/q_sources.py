@@ -84,3 +84,35 @@ def q_prefs(spark, sf):
 def q_run_metrics(spark, sf):
     """SC3: metrics JSON of every run event -> map and 'k=v' text."""
     return RUNS.run_metrics(_run_events(spark, sf))
+
+
+def _scratch(spark, stem, ext):
+    """A fresh path in the shared checkpoint folder (never a machine-local temp folder)."""
+    import os
+    import uuid
+    from tabsmith.session import checkpoint_dir
+    base = checkpoint_dir(spark)
+    base = base[len("file:"):] if base.startswith("file:") else base
+    return os.path.join(base, "tabsmith-io", f"{stem}-{uuid.uuid4().hex}{ext}")
+
+
+@register("csv_roundtrip_orders", """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total,
+  min(o_orderkey) AS first_key FROM orders GROUP BY 1""")
+def q_csv(spark, sf):
+    """S6 -> S4 / S1: orders written as CSV to the shared folder, loaded back with NA tokens and type inference."""
+    path = _scratch(spark, "orders", ".csv")
+    IO.export(table(spark, sf, "orders"), path, "csv")
+    back = IO.load(spark, path)
+    return rnd(back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"),
+                                                 F.min("o_orderkey").alias("first_key")), {"total": 2})
+
+
+@register("json_roundtrip_customer", """SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS bal
+  FROM customer GROUP BY 1""")
+def q_json(spark, sf):
+    """S6 -> S2: customer written as JSON records and read back."""
+    path = _scratch(spark, "customer", ".json")
+    IO.export(table(spark, sf, "customer"), path, "json")
+    back = IO.read_json(spark, path, multi_line=False)
+    return rnd(back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("bal")),
+               {"bal": 4})

@@ -66,9 +66,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records (multi-line)."""
-    return spark.read.option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A JSON array of records (multi-line); ``multi_line=False`` for JSON-lines files."""
+    return spark.read.option("multiLine", multi_line).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +88,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if ext not in SUPPORTED:
         raise LoadError(f"unsupported file type '{ext}' (supported: {', '.join(sorted(SUPPORTED))})")
     fmt = SUPPORTED[ext]
-    df = read_csv(spark, path) if fmt == "csv" else read_json(spark, path) if fmt == "json" else read_parquet(spark, path)
+    if fmt == "csv":
+        df = read_csv(spark, path)
+    elif fmt == "json":
+        df = read_json(spark, path, multi_line=os.path.isfile(p))   # a directory of part files is JSON lines
+    else:
+        df = read_parquet(spark, path)
     if not df.columns:
         raise LoadError(f"no columns in {path}")
     return nan_to_null(df)
