@@ -266,3 +266,48 @@ def feedback_bias(feedback: DataFrame, limit: int = 500) -> DataFrame:
     b = (F.col("a") - F.col("r")) / F.greatest(F.lit(1.0), (F.col("a") + F.col("r")).cast("double"))
     return g.select("user_id", "task_type", "algorithm_key", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), b * 6))
                     .alias("bias"))
+
+
+def linearity_score(df: DataFrame, target: str, task: str, keys=None, seed: int = 42) -> DataFrame:
+    """Hold-out score of a plain linear model as a linearity proxy (one row).
+
+    median-imputed numerics + most-frequent-imputed one-hot categoricals ->
+    linear (R^2 clipped to [-1, 1]) or logistic ((accuracy - .5) / .5 clipped to
+    [0, 1]); 80/20 md5-bucket split over all rows (the reference samples 5 000).
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from tabsmith.functions.columns import hash_bucket
+    num = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != target]
+    cat = [f.name for f in df.schema.fields if f.name not in num and f.name != target
+           and f.dataType.simpleString() == "string"]
+    d = df.select(*[c(x).cast("double").alias(x) for x in num], *[c(x) for x in cat], c(target).alias("__t"),
+                  hash_bucket(keys or df.columns, seed).alias("__b"))
+    stages = []
+    if num:
+        stages.append(Imputer(inputCols=num, outputCols=[f"{x}__i" for x in num], strategy="median"))
+    if cat:
+        stages.append(StringIndexer(inputCols=cat, outputCols=[f"{x}__s" for x in cat], handleInvalid="keep",
+                                    stringOrderType="frequencyDesc"))
+        stages.append(OneHotEncoder(inputCols=[f"{x}__s" for x in cat], outputCols=[f"{x}__o" for x in cat],
+                                    handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[f"{x}__i" for x in num] + [f"{x}__o" for x in cat], outputCol="__f",
+                                  handleInvalid="keep"))
+    if task == "regression":
+        d = d.withColumn("__y", F.col("__t").cast("double"))
+        stages.append(LinearRegression(featuresCol="__f", labelCol="__y", regParam=0.0))
+    else:
+        stages.insert(0, StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep"))
+        stages.append(LogisticRegression(featuresCol="__f", labelCol="__y", maxIter=200))
+    train, test = d.where(F.col("__b") >= 2000), d.where(F.col("__b") < 2000)
+    pred = Pipeline(stages=stages).fit(train).transform(test)
+    if task == "regression":
+        e = F.col("__y") - F.col("prediction")
+        s = 1 - F.avg(e * e) / F.var_pop("__y")
+        score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
+    else:
+        acc = F.avg((F.col("__y") == F.col("prediction")).cast("double"))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (acc - 0.5) / 0.5))
+    return pred.agg(score.alias("linearity_score"))

@@ -181,3 +181,30 @@ def q_rfe(spark, sf):
 
 
 del np, CLUSTERS_SQL
+
+
+@register("cluster_silhouette")
+def q_silhouette(spark, sf):
+    """V19 (re-aimed): squared-Euclidean silhouette of k-means (k=4) on part size / price."""
+    from tabsmith.operators.metrics import silhouette_sq
+    cl = clusters(spark, sf).select("p_partkey", "x1", "x2")
+    prep = TR.prepare(cl, None, ["p_partkey"], "clustering")
+    m = make_estimator("clu_kmeans", {"n_clusters": 4}).fit(prep.data)
+    s = silhouette_sq(m.transform(prep.data), "features", "cluster")
+    return spark.createDataFrame([(float(s),)], "silhouette_sq double")
+
+
+@register("pca_reconstruction_error")
+def q_recon(spark, sf):
+    """Mean squared reconstruction error of a 10-component PCA of the embeddings."""
+    from pyspark.ml.functions import vector_to_array
+    e = _embeddings(spark, sf)
+    m = make_estimator("dr_pca", {"n_components": 10}).fit(e)
+    pc = m.components                                   # p x k, small
+    mean = m.sc.mean.toArray()
+    t = m.transform(e).select(vector_to_array("features").alias("x"), vector_to_array("pca").alias("z"))
+    p, k = pc.shape
+    err = sum(((t["x"][i] - F.lit(float(mean[i]))
+                - sum((t["z"][j] * F.lit(float(pc[i, j])) for j in range(k)), F.lit(0.0))) ** 2
+               for i in range(p)), F.lit(0.0)) / p
+    return t.agg(F.avg(err).alias("reconstruction_error"))

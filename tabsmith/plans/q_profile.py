@@ -225,3 +225,22 @@ def q_detect_task(spark, sf_dir):
 def q_column_kind(spark, sf_dir):
     st = P.column_stats(lineitem_nulls(spark, sf_dir))
     return P.columns_of_kind(st, "Numeric").select("position", "column")
+
+
+@register("target_samples", """SELECT value FROM (SELECT DISTINCT o_orderpriority AS value FROM orders)
+ORDER BY value LIMIT 3""")
+def q_target_samples(spark, sf):
+    """PR15: three sample target values (smallest first)."""
+    return P.target_samples(table(spark, sf, "orders"), "o_orderpriority", 3)
+
+
+@register("recommended_steps")
+def q_recommended(spark, sf):
+    """PR16 / PR17: recommended and smart preprocessing plans from the column profile."""
+    import json
+    st = P.column_stats(lineitem_nulls(spark, sf)).collect()        # one row per column
+    rows = [("profile", i, s["operation"], json.dumps(s["params"], sort_keys=True))
+            for i, s in enumerate(P.recommended_steps(st))]
+    rows += [("smart", i, s["operation"], json.dumps(s["params"], sort_keys=True))
+             for i, s in enumerate(P.smart_plan(st, "l_returnflag", "classification"))]
+    return spark.createDataFrame(rows, "plan string, step int, operation string, params string")

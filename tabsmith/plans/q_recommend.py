@@ -174,3 +174,31 @@ def q_suggestions(spark, sf):
 def q_signature(spark, sf):
     """SC2: md5 signature of each dataset's meta-features."""
     return R.signature(_meta_all(spark, sf))
+
+
+@register("meta_linearity")
+def q_linearity(spark, sf):
+    """R6 + R7: linearity score and noise level for the two supervised datasets."""
+    parts = []
+    for ds, t, tgt, task, _, _ in DATASETS:
+        if task not in ("classification", "regression"):
+            continue
+        df = table(spark, sf, t)
+        lin = R.linearity_score(df, tgt, task)
+        parts.append(R.meta_features(df, ds, tgt, task, linearity=lin)
+                     .select("dataset_id", "linearity_score", "noise_level"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("dataset_signature")
+def q_dataset_sig(spark, sf):
+    """SC1: md5 of the canonical JSON of shape, column names and mean missing share."""
+    from tabsmith.plans.fixtures import lineitem_nulls
+    from tabsmith.operators.profile import overview
+    df = lineitem_nulls(spark, sf)
+    names = F.concat(F.lit("["), F.lit(", ".join('"' + x + '"' for x in df.columns)), F.lit("]"))
+    ov = overview(df)
+    body = F.concat(F.lit('{"cols": '), names, F.lit(', "missing": '), (F.col("missing_pct") / 100).cast("string"),
+                    F.lit(', "shape": ['), F.col("rows").cast("string"), F.lit(", "), F.col("columns").cast("string"),
+                    F.lit("]}"))
+    return ov.select(body.alias("canonical"), F.md5(body).alias("signature"))
