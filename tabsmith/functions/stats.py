@@ -160,8 +160,16 @@ def quantile_dict(df: DataFrame, columns, probs, **kw) -> dict:
     res = {x: [None] * len(probs) for x in columns}
     if not columns:
         return res
-    for r in quantiles(df, columns, probs, **kw).collect():
-        res[r["column"]][probs.index(r["prob"])] = r["value"]
+    own = None
+    if not kw.get("approx") and kw.get("counts") is None:
+        own = value_counts(df, columns).persist()      # read by the size pass and the quantile pass
+        kw["counts"] = own
+    try:
+        for r in quantiles(df, columns, probs, **kw).collect():
+            res[r["column"]][probs.index(r["prob"])] = r["value"]
+    finally:
+        if own is not None:
+            own.unpersist()
     return res
 
 

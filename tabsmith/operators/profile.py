@@ -103,13 +103,19 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
             g("std").alias("std"), g("var").alias("variance"), g("skew").alias("skew"),
             g("kurt").alias("kurtosis")))
     stats = wide.select(F.inline(F.array(*structs)))
-    # distinct counts from the distinct-value tables (no Expand of count_distinct)
+    # distinct counts from the distinct-value tables (no Expand of count_distinct); datetimes are
+    # counted as epoch microseconds (cheap) and strings as text
     parts = []
     if numeric:
         vc_num = value_counts(df, numeric, "double").persist()
         parts.append(vc_num)
-    if other:
-        parts.append(value_counts(df, other, "string").select("column", "cnt"))
+    dts = [m[1] for m in meta if m[7]]
+    txt = [x for x in other if x not in dts]
+    if dts:
+        as_micros = df.select(*[F.unix_micros(c(x).cast("timestamp")).alias(x) for x in dts])
+        parts.append(value_counts(as_micros, dts, "bigint").select("column", "cnt"))
+    if txt:
+        parts.append(value_counts(df, txt, "string").select("column", "cnt"))
     distinct = None
     for p in parts:
         d = p.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("unique"))

@@ -190,33 +190,41 @@ def meta_features(df: DataFrame, dataset_id: str, target: str | None = None, tas
     ncols = len(df.columns)
     nulls = sum((F.count_if(c(x).isNull() | (F.isnan(c(x)) if is_numeric(df.schema[x].dataType) else F.lit(False)))
                  for x in df.columns), F.lit(0))
-    base = df.agg(F.count(F.lit(1)).alias("n_samples"), nulls.alias("__nulls")).select(
-        F.lit(dataset_id).alias("dataset_id"), F.col("n_samples").cast("bigint").alias("n_samples"),
-        F.lit(ncols - (1 if tgt else 0)).cast("bigint").alias("n_features"),
-        F.lit(len(num)).cast("bigint").alias("n_numeric"), F.lit(len(cat)).cast("bigint").alias("n_categorical"),
-        F.lit(len(num) / max(1, len(num) + len(cat))).alias("numeric_ratio"),
-        F.lit(len(cat) / max(1, len(num) + len(cat))).alias("categorical_ratio"),
-        F.when(F.col("n_samples") > 0, F.col("__nulls") * 100.0 / (F.col("n_samples") * ncols)).alias("missing_pct"))
-    out = base
     pairs = [(i, j) for i in range(len(num)) for j in range(i + 1, len(num))]
+    # one projection evaluates the null flags and the completeness test once per row; corr ignores
+    # rows where an input is null, so nulling incomplete rows = filtering them
+    from functools import reduce
+    flags = [(c(x).isNull() | (F.isnan(c(x)) if is_numeric(df.schema[x].dataType) else F.lit(False)))
+             .cast("int").alias(f"__m{k}") for k, x in enumerate(df.columns)]
+    proj = [*flags]
+    if pairs:
+        complete = reduce(lambda a, b: a & b, [finite(c(x)) for x in num])
+        proj += [complete.cast("int").alias("__ok")] + \
+            [F.when(complete, c(x).cast("double")).alias(f"__x{i}") for i, x in enumerate(num)]
+    d = df.select(*proj)
+    aggs = [F.count(F.lit(1)).alias("n_samples"),
+            sum((F.sum(f"__m{k}") for k in range(len(df.columns))), F.lit(0)).alias("__nulls")]
     if pairs:
-        complete = df.where(F.lit(True) if not num else
-                            __import__("functools").reduce(lambda a, b: a & b, [finite(c(x)) for x in num]))
-        cr = complete.agg(F.count(F.lit(1)).alias("__n"),
-                          *[F.corr(c(num[i]).cast("double"), c(num[j]).cast("double")).alias(f"r{i}_{j}")
-                            for i, j in pairs])
-        vals = [F.abs(F.col(f"r{i}_{j}")) for i, j in pairs]
-        arr = F.array(*vals)
+        aggs += [F.sum("__ok").alias("__n")] + [F.corr(f"__x{i}", f"__x{j}").alias(f"r{i}_{j}") for i, j in pairs]
+    row = d.agg(*aggs)
+    if pairs:
+        arr = F.array(*[F.abs(F.col(f"r{i}_{j}")) for i, j in pairs])
         nn = F.filter(arr, lambda v: v.isNotNull() & ~F.isnan(v))
         mean_abs = F.aggregate(nn, F.lit(0.0), lambda a, v: a + v) / F.size(nn)
         high = F.size(F.filter(arr, lambda v: v > 0.9)) / F.lit(float(len(pairs)))
-        cr = cr.select(F.lit(dataset_id).alias("dataset_id"),
-                       F.when((F.col("__n") >= 20) & (F.size(nn) > 0), mean_abs).alias("corr_mean_abs"),
-                       F.when(F.col("__n") >= 20, high).alias("corr_high_pair_ratio"))
-        out = out.join(cr, "dataset_id")
+        corr_cols = [F.when((F.col("__n") >= 20) & (F.size(nn) > 0), mean_abs).alias("corr_mean_abs"),
+                     F.when(F.col("__n") >= 20, high).alias("corr_high_pair_ratio")]
     else:
-        out = out.withColumn("corr_mean_abs", F.lit(None).cast("double")) \
-            .withColumn("corr_high_pair_ratio", F.lit(None).cast("double"))
+        corr_cols = [F.lit(None).cast("double").alias("corr_mean_abs"),
+                     F.lit(None).cast("double").alias("corr_high_pair_ratio")]
+    out = row.select(
+        F.lit(dataset_id).alias("dataset_id"), F.col("n_samples").cast("bigint").alias("n_samples"),
+        F.lit(ncols - (1 if tgt else 0)).cast("bigint").alias("n_features"),
+        F.lit(len(num)).cast("bigint").alias("n_numeric"), F.lit(len(cat)).cast("bigint").alias("n_categorical"),
+        F.lit(len(num) / max(1, len(num) + len(cat))).alias("numeric_ratio"),
+        F.lit(len(cat) / max(1, len(num) + len(cat))).alias("categorical_ratio"),
+        F.when(F.col("n_samples") > 0, F.col("__nulls") * 100.0 / (F.col("n_samples") * ncols)).alias("missing_pct"),
+        *corr_cols)
     if tgt and task == "classification":
         ci = (df.groupBy(c(tgt).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
               .agg((F.max("__n") / F.sum("__n")).alias("class_imbalance"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import hash_bucket, hash_bucket_sql
 from tabsmith.operators import compare as CMP
 from tabsmith.operators import metrics as M
-from tabsmith.operators.ordered import positions
 from tabsmith.plans.catalog import register, rnd
 from tabsmith.plans.fixtures import (BINARY_PRED_SQL, CLUSTERS_SQL, LABELS_PRED_SQL, MULTI_PRED_SQL, PRIORITIES,
                                      REG_PRED_SQL, binary_pred, clusters, labels_pred, multi_pred, reg_pred)
@@ -202,15 +201,18 @@ def q_norm(spark, sf):
 
 
 def _reg_losses(spark, sf):
-    """per-sample squared losses of both rule models, paired by a distributed row position."""
+    """Per-sample squared losses of both rule models, paired by a 128-bit row key.
+
+    lineitem has no duplicate rows, so two independent 64-bit hashes of the whole
+    row (xxhash64 + murmur3) identify it (collision odds ~ n^2 / 2^129); no positions needed.
+    """
     from tabsmith.plans.fixtures import table
-    li = positions(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                  "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                                  "l_returnflag", "l_linestatus", "l_shipdate"])
+    li = table(spark, sf, "lineitem")
+    rid = F.struct(F.xxhash64(*li.columns).alias("h1"), F.hash(*li.columns).alias("h2"))
     y = F.col("l_quantity") * 1000 + F.col("l_extendedprice") * 0.1
-    m1 = li.select(F.col("__pos").alias("row_id"), F.lit("m1").alias("model"),
+    m1 = li.select(rid.alias("row_id"), F.lit("m1").alias("model"),
                    F.pow(y - (F.col("l_quantity") * 1000 + 5250), 2).alias("loss"))
-    m2 = li.select(F.col("__pos").alias("row_id"), F.lit("m2").alias("model"),
+    m2 = li.select(rid.alias("row_id"), F.lit("m2").alias("model"),
                    F.pow(y - (F.col("l_quantity") * 1000 + F.col("l_extendedprice") * 0.09), 2).alias("loss"))
     return m1.unionByName(m2)
 

@@ -30,6 +30,9 @@ def get_spark(master: str | None = None, app: str = "tabsmith",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
+        # wide one-pass aggregates (profiles, correlation matrices) carry hundreds of buffer
+        # fields; above this limit Spark silently drops whole-stage codegen for the whole stage
+        "spark.sql.codegen.maxFields": "4000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -42,6 +45,16 @@ def get_spark(master: str | None = None, app: str = "tabsmith",
     return spark
 
 
+RUNTIME_DEFAULTS = {"spark.sql.codegen.maxFields": ("100", "4000")}
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Raise runtime SQL limits the wide aggregates need, only where they are at Spark's default."""
+    for key, (default, wanted) in RUNTIME_DEFAULTS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, wanted)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
     sc = spark.sparkContext
