@@ -122,6 +122,8 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
     if key == "clu_minibatch_kmeans":
         return MiniBatchKMeans(featuresCol=fc, k=int(p.get("n_clusters", 8)), seed=seed,
                                batch_size=int(p.get("batch_size", 1024)), max_iter=int(p.get("max_iter", 100)))
+    if key == "clu_kmedoids":
+        return KMedoids(featuresCol=fc, k=int(p.get("n_clusters", 8)), seed=seed)
     if key == "clu_divisive":
         return BisectingKMeans(featuresCol=fc, k=int(p.get("n_clusters", 8)), seed=seed, predictionCol="cluster")
     if key == "clu_gmm":
@@ -580,3 +582,57 @@ def rfe_ranking(df: DataFrame, feats, target, k: int, task: str) -> DataFrame:
     base.unpersist()
     rows = [(i, f, None, f in keep) for i, f in enumerate(feats)]
     return spark.createDataFrame(rows, "position int, feature string, score double, selected boolean")
+
+
+# ------------------------------------------------------------------ k-medoids (A25, CLARA)
+
+def _pam(P: np.ndarray, k: int, max_iter: int = 100) -> np.ndarray:
+    """PAM (BUILD + SWAP) on a small point set; returns medoid indices."""
+    D = np.sqrt(((P[:, None, :] - P[None, :, :]) ** 2).sum(-1))
+    med = [int(np.argmin(D.sum(axis=1)))]
+    while len(med) < min(k, len(P)):
+        dmin = D[:, med].min(axis=1)
+        gain = np.maximum(dmin[:, None] - D, 0).sum(axis=0)
+        gain[med] = -1
+        med.append(int(np.argmax(gain)))
+    cost = D[:, med].min(axis=1).sum()
+    for _ in range(max_iter):
+        improved = False
+        for i in range(len(med)):
+            for h in range(len(P)):
+                if h in med:
+                    continue
+                trial = med[:i] + [h] + med[i + 1:]
+                c_ = D[:, trial].min(axis=1).sum()
+                if c_ < cost - 1e-12:
+                    med, cost, improved = trial, c_, True
+        if not improved:
+            break
+    return np.array(med)
+
+
+class KMedoids(Estimator):
+    """A25 via CLARA (Kaufman & Rousseeuw): PAM on ``n_samples`` hash-chosen samples of size
+    40 + 2k; each candidate medoid set is scored on the full table by one Spark aggregate
+    (sum of distances to the nearest medoid); the cheapest set wins."""
+
+    def __init__(self, featuresCol="features", k=8, n_samples=5, sample_size=None, seed=42):
+        super().__init__()
+        self.fc, self.k, self.ns, self.size, self.seed = featuresCol, k, n_samples, sample_size, seed
+
+    def _fit(self, df):
+        arr = vector_to_array(F.col(self.fc))
+        size = self.size or 40 + 2 * self.k
+        base = df.select(arr.alias("__a")).persist()
+        best, best_cost = None, None
+        for s in range(self.ns):
+            pts = base.orderBy(F.xxhash64(F.lit(self.seed), F.lit(s), F.to_json("__a"))).limit(size).collect()
+            P = np.array([r["__a"] for r in pts], float)              # sample-sized, on the driver
+            M = P[_pam(P, self.k)]
+            dist = [F.sqrt(sum(((F.col("__a")[i] - F.lit(float(m[i]))) ** 2 for i in range(len(m))), F.lit(0.0)))
+                    for m in M]
+            cost = base.agg(F.sum(F.array_min(F.array(*dist)))).first()[0]
+            if best_cost is None or cost < best_cost:
+                best, best_cost = M, cost
+        base.unpersist()
+        return _CentroidModel(best, self.fc)

@@ -62,7 +62,7 @@ def _cluster_query(key):
     return q
 
 
-for _k in ["clu_kmeans", "clu_minibatch_kmeans", "clu_divisive", "clu_gmm"]:
+for _k in ["clu_kmeans", "clu_minibatch_kmeans", "clu_kmedoids", "clu_divisive", "clu_gmm"]:
     register(f"train_{_k}")(_cluster_query(_k))
 
 
