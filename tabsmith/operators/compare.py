@@ -105,7 +105,11 @@ def bootstrap_ci(values: DataFrame, value="value", group=(), n_boot: int = 500,
     means = rep.withColumn("w", w).groupBy(*g, "b").agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias("m"))
     ci = means.groupBy(*g).agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
     base = d.groupBy(*g).agg(F.avg(v).alias("mean"), F.count(F.lit(1)).alias("n"))
-    out = base.join(ci, g) if g else base.crossJoin(ci)
+    if g:
+        out = base.join(ci, g)
+    else:                                   # one interval: inline the two numbers
+        r = ci.first()
+        out = base.select("*", F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"))
     return out.where(F.col("n") >= 5)
 
 

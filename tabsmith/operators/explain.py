@@ -321,6 +321,8 @@ def sampling_shap(df: DataFrame, scorer: Scorer, keys, background: DataFrame, n_
     bg = background.select(*[c(f).cast("double").alias(f"__z{i}") for i, f in enumerate(feats)])
     bg = bg.withColumn("__bi", F.row_number().over(Window.orderBy(*[f"__z{i}" for i in range(p)])) - 1)  # small
     nb = bg.count()
+    if nb > 100_000:
+        raise ValueError(f"background has {nb} rows; pass a bounded sample (it is broadcast)")
     rows = df.select(F.struct(*[c(k) for k in keys]).alias("__key"), *[c(f).cast("double").alias(f) for f in feats])
     ex = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("__m"))
     hkey = F.xxhash64(F.to_json("__key"), F.col("__m"), F.lit(seed))

@@ -166,7 +166,11 @@ def curve_points(df: DataFrame, positive, score="score", group=("model",)) -> Da
     sc = _score_counts(df, positive, score, g)
     r = prefix_sum(prefix_sum(sc, g, "score", "pos", out="pos_below"), g, "score", "neg", out="neg_below")
     tot = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = r.join(tot, g) if g else r.crossJoin(tot)
+    if g:
+        j = r.join(tot, g)
+    else:                                   # a single model: inline the two totals
+        t = tot.first()
+        j = r.select("*", F.lit(t["P"]).alias("P"), F.lit(t["N"]).alias("N"))
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
     return j.select(*g, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
@@ -189,21 +193,32 @@ def _centroids(df, feats, cluster, g):
 
 
 def calinski_harabasz(df: DataFrame, feats, cluster="cluster", group=()) -> DataFrame:
-    """(B / (k-1)) / (W / (n-k)); noise label -1 excluded."""
+    """(B / (k-1)) / (W / (n-k)); noise label -1 excluded.
+
+    B from the per-cluster centroids and sizes, W from each row's squared
+    distance to its centroid (centroids joined on the cluster key).
+    """
     g = _g(group)
     d = df.where(F.col(cluster) != -1)
     cen = _centroids(d, feats, cluster, g)
-    overall = d.groupBy(*g).agg(*[F.avg(x).alias(f"__o{i}") for i, x in enumerate(feats)]) if g else \
-        d.agg(*[F.avg(x).alias(f"__o{i}") for i, x in enumerate(feats)])
-    cj = cen.join(overall, g) if g else cen.crossJoin(overall)  # overall: one row per group
-    between = cj.groupBy(*g).agg(
-        F.sum(F.col("__n") * sum(((F.col(f"__m{i}") - F.col(f"__o{i}")) ** 2 for i in range(len(feats))),
-                                 F.lit(0.0))).alias("B"), F.count(F.lit(1)).cast("double").alias("k"),
-        F.sum("__n").alias("n"))
-    dj = d.join(cen, [*g, d[cluster] == cen["__c"]] if g else d[cluster] == cen["__c"])
+    dj = d.join(cen.withColumnRenamed("__c", cluster), [*g, cluster])
     within = dj.groupBy(*g).agg(F.sum(sum(((F.col(x) - F.col(f"__m{i}")) ** 2 for i, x in enumerate(feats)),
                                           F.lit(0.0))).alias("W"))
-    out = between.join(within, g) if g else between.crossJoin(within)
+    # overall mean = size-weighted mean of the centroids, so B needs only the centroid table
+    wsum = [F.sum(F.col("__n") * F.col(f"__m{i}")) for i in range(len(feats))]
+    tot = cen.groupBy(*g).agg(F.sum("__n").alias("n"), F.count(F.lit(1)).cast("double").alias("k"),
+                              *[(w_ / F.sum("__n")).alias(f"__o{i}") for i, w_ in enumerate(wsum)],
+                              F.sum(F.col("__n") * sum((F.col(f"__m{i}") ** 2 for i in range(len(feats))), F.lit(0.0)))
+                              .alias("__s2"))
+    # B = sum_k n_k |m_k|^2 - n |o|^2
+    between = tot.select(*g, "n", "k", (F.col("__s2") - F.col("n") * sum((F.col(f"__o{i}") ** 2
+                                                                          for i in range(len(feats))), F.lit(0.0)))
+                         .alias("B"))
+    if g:
+        out = between.join(within, g)
+    else:
+        w = within.first()["W"]
+        out = between.select("*", F.lit(w).alias("W"))
     return out.select(*g, ((F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k"))))
                       .alias("calinski_harabasz"))
 

@@ -19,8 +19,14 @@ from tabsmith.session import cut_lineage
 
 
 def _ranged(df: DataFrame, keys, order, partitions=None) -> DataFrame:
+    """Range-partition on (keys, order, row hash).
+
+    The row-hash tiebreaker lets the range partitioner split a hot order value
+    (say a third of all rows) across many partitions instead of one.
+    """
     p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(p, *[c(k) for k in keys], *[c(o) for o in order]) \
+    d = df.withColumn("__tb", F.xxhash64(*[c(x) for x in df.columns]))
+    r = d.repartitionByRange(p, *[c(k) for k in keys], *[c(o) for o in order], F.col("__tb")) \
         .withColumn("__pid", F.spark_partition_id())
     return cut_lineage(r)   # partition ids must be stable across the passes below
 
@@ -29,7 +35,7 @@ def positions(df: DataFrame, order, keys=()) -> DataFrame:
     """Add ``__pid`` and ``__pos`` (0-based position within ``keys`` by ``order``), distributed."""
     keys, order = list(keys), list(order)
     r = _ranged(df, keys, order)
-    local = Window.partitionBy("__pid", *keys).orderBy(*[c(o) for o in order])
+    local = Window.partitionBy("__pid", *keys).orderBy(*[c(o) for o in order], "__tb")
     r = r.withColumn("__rn", F.row_number().over(local))
     cnt = r.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"))
     ow = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) if keys \
@@ -37,7 +43,7 @@ def positions(df: DataFrame, order, keys=()) -> DataFrame:
     offs = cnt.select("__pid", *keys, F.coalesce(F.sum("__n").over(ow), F.lit(0)).alias("__off"))
     # offs: one row per (partition, key group)
     return (r.join(F.broadcast(offs) if not keys else offs, ["__pid", *keys])
-            .withColumn("__pos", F.col("__off") + F.col("__rn") - 1).drop("__off", "__rn"))
+            .withColumn("__pos", F.col("__off") + F.col("__rn") - 1).drop("__off", "__rn", "__tb"))
 
 
 def interpolate_linear(df: DataFrame, columns, order, partition_by=None) -> DataFrame:

@@ -52,12 +52,12 @@ def overview(df: DataFrame) -> DataFrame:
     ncols = len(df.columns)
     missing = sum((F.count_if(c(x).isNull()) for x in df.columns), F.lit(0)) if ncols else F.lit(0)
     base = df.agg(F.count(F.lit(1)).alias("rows"), missing.cast("bigint").alias("missing_count"))
-    dup = duplicate_count(df)
+    dups = duplicate_count(df).first()["duplicates"]          # one number
     total = F.col("rows") * F.lit(ncols)
     missing_pct = F.when(total > 0, F.col("missing_count") * 100.0 / total).otherwise(F.lit(0.0))
-    out = base.crossJoin(dup).select(  # 1 row x 1 row
+    out = base.select(
         F.col("rows").cast("bigint").alias("rows"), F.lit(ncols).cast("bigint").alias("columns"),
-        "missing_count", missing_pct.alias("missing_pct"), "duplicates")
+        "missing_count", missing_pct.alias("missing_pct"), F.lit(dups).cast("bigint").alias("duplicates"))
     score = (F.lit(100.0) - F.least(F.lit(60.0), F.col("missing_pct") * 1.5)
              - F.when(F.col("rows") > 0, F.least(F.lit(25.0), F.col("duplicates") * 100.0 / F.col("rows")))
              .otherwise(F.lit(0.0)))
@@ -423,22 +423,26 @@ def missing_top(df: DataFrame, k: int = 20) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """PR19: equal-width histogram, last bin closed; ``(bin, lo, hi, count)`` for all bins."""
+    """PR19: equal-width histogram, last bin closed; ``(bin, lo, hi, count)`` for all bins.
+
+    The range is one small aggregate whose two numbers are inlined; counting is
+    one ``groupBy(bin)`` (at most ``bins`` groups, partially aggregated per task).
+    """
     df = nan_to_null(df)
     x = _num(column)
-    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    w = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = (F.when(F.col("hi") == F.col("lo"), F.lit(1))
-         .otherwise(F.least(F.floor((F.col("__x") - F.col("lo")) / w).cast("int") + 1, F.lit(bins))))
-    counted = (df.select(x.alias("__x")).where(F.col("__x").isNotNull())
-               .crossJoin(mm)  # mm is a single row
-               .select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = mm.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    return (grid.join(counted, "bin", "left")
-            .select("bin", (F.col("lo") + (F.col("bin") - 1) * w).alias("lo"),
-                    (F.col("lo") + F.col("bin") * w).alias("hi"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
-            .where(F.col("lo").isNotNull()))
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    spark = df.sparkSession
+    if r["lo"] is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, count bigint")
+    lo, hi = float(r["lo"]), float(r["hi"])
+    w = (hi - lo) / bins
+    b = F.lit(1) if hi == lo else F.least(F.floor((x - F.lit(lo)) / F.lit(w)).cast("int") + 1, F.lit(bins))
+    counted = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))        # bins rows
+    return (grid.join(F.broadcast(counted), "bin", "left")
+            .select("bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(w)).alias("lo"),
+                    (F.lit(lo) + F.col("bin") * F.lit(w)).alias("hi"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
 def correlation_long(df: DataFrame, columns=None) -> DataFrame:

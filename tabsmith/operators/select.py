@@ -53,12 +53,12 @@ def anova_f(df: DataFrame, feats, target) -> DataFrame:
 
 def chi2_scores(df: DataFrame, feats, target) -> DataFrame:
     """K5: sklearn ``chi2`` -- observed feature sums per class vs class share x total."""
-    cm = class_moments(df, feats, target)
-    tot = cm.agg(F.sum("__n").alias("N"), *[F.sum(f"s{i}").alias(f"T{i}") for i in range(len(feats))])
-    j = cm.crossJoin(tot)  # tot is one row
+    cm = class_moments(df, feats, target).persist()          # one row per class
+    t = cm.agg(F.sum("__n").alias("N"), *[F.sum(f"s{i}").alias(f"T{i}") for i in range(len(feats))]).first()
+    j = cm
     terms = []
     for i in range(len(feats)):
-        exp = F.col("__n") / F.col("N") * F.col(f"T{i}")
+        exp = F.col("__n") / F.lit(t["N"]) * F.lit(t[f"T{i}"])
         terms.append(F.sum((F.col(f"s{i}") - exp) * (F.col(f"s{i}") - exp) / exp).alias(f"c{i}"))
     row = j.agg(*terms)
     return _long(row, feats, lambda i: F.col(f"c{i}"))

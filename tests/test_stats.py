@@ -44,3 +44,16 @@ def test_results_stable_under_repartition(spark):
     a = quantile_dict(df.repartition(1), ["b"], [0.5])
     b = quantile_dict(df.repartition(17), ["b"], [0.5])
     assert a == b
+
+
+def test_positions_split_hot_order_value(spark):
+    """A third of the rows share one order value: positions stay a permutation of 0..n-1 and the
+    hot value is spread over several range partitions."""
+    from tabsmith.operators.ordered import positions
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                  F.col("id").alias("v"))
+    out = positions(df, ["k"]).toPandas()
+    assert sorted(out["__pos"]) == list(range(3000))
+    assert out[out["k"] == 7]["__pid"].nunique() > 1
+    # order respected: k is non-decreasing along positions
+    assert out.sort_values("__pos")["k"].is_monotonic_increasing
