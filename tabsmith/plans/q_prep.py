@@ -338,3 +338,14 @@ def q_isoforest(spark, sf):
     df = lineitem_nulls(spark, sf).select(*VALS)
     return PP.fit_transform(df, {"operation": "outliers", "params": {"method": "isolation_forest",
                                                                      "contamination": 0.05}})
+
+
+@register("preprocess_preview")
+def q_preview(spark, sf):
+    """PR25: apply steps 0..1 of a three-step spec; first 12 rows (ordered by key) plus the shape."""
+    df = lineitem_nulls(spark, sf).select("l_orderkey", "l_linenumber", *VALS, "l_returnflag")
+    spec = [{"name": "imp", "operation": "impute", "params": {"strategy": "median"}},
+            {"name": "enc", "operation": "encode", "params": {"columns": ["l_returnflag"], "method": "frequency"}},
+            {"name": "sc", "operation": "scale", "params": {"method": "standard"}}]
+    head, (rows, cols) = ST.preview(df, spec, 1, 12, order_by=["l_orderkey", "l_linenumber", *VALS])
+    return head.withColumn("shape_rows", F.lit(rows)).withColumn("shape_cols", F.lit(cols))

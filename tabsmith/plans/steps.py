@@ -71,10 +71,15 @@ def apply(df: DataFrame, spec: list[dict]) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel(stages=fitted), cur
 
 
-def preview(df: DataFrame, spec: list[dict], upto: int, n: int = 12):
-    """PR25: apply steps 0..upto; return (first n rows as a DataFrame, (rows, cols))."""
+def preview(df: DataFrame, spec: list[dict], upto: int, n: int = 12, order_by=None):
+    """PR25: apply steps 0..upto; return (first n rows, (rows, cols)).
+
+    With ``order_by`` the preview is the first n rows in that order (top-n per
+    task, then merged); without it, any n rows.
+    """
     _, out = apply(df, spec[: upto + 1])
-    return out.limit(n), (out.count(), len(out.columns))
+    head = out.orderBy(*order_by).limit(n) if order_by else out.limit(n)
+    return head, (out.count(), len(out.columns))
 
 
 def strategy_groups(per_column: dict[str, str]) -> list[dict]:
