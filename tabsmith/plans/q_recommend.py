@@ -170,7 +170,17 @@ def q_suggestions(spark, sf):
     return R.suggestion_flags(top, meta, req)
 
 
-@register("meta_signature")
+@register("meta_signature", """WITH m AS ({META}),
+ j AS (SELECT dataset_id, '{' || concat_ws(', ',
+   '"class_imbalance": ' || coalesce(CAST(round(class_imbalance, 6) AS VARCHAR), 'null'),
+   '"corr_high_pair_ratio": ' || coalesce(CAST(round(corr_high_pair_ratio, 6) AS VARCHAR), 'null'),
+   '"corr_mean_abs": ' || coalesce(CAST(round(corr_mean_abs, 6) AS VARCHAR), 'null'),
+   '"linearity_score": ' || coalesce(CAST(round(linearity_score, 6) AS VARCHAR), 'null'),
+   '"missing_pct": ' || coalesce(CAST(round(missing_pct, 6) AS VARCHAR), 'null'),
+   '"n_categorical": ' || CAST(n_categorical AS VARCHAR), '"n_features": ' || CAST(n_features AS VARCHAR),
+   '"n_numeric": ' || CAST(n_numeric AS VARCHAR), '"n_samples": ' || CAST(n_samples AS VARCHAR),
+   '"noise_level": ' || coalesce('"' || noise_level || '"', 'null')) || '}' AS canonical FROM m)
+SELECT dataset_id, canonical, md5(canonical) AS signature FROM j""".replace("{META}", META_SQL[1:-1]))
 def q_signature(spark, sf):
     """SC2: md5 signature of each dataset's meta-features."""
     return R.signature(_meta_all(spark, sf))
