@@ -244,11 +244,13 @@ def meta_features(df: DataFrame, dataset_id: str, target: str | None = None, tas
 def signature(meta: DataFrame) -> DataFrame:
     """SC2: md5 of the canonical (sorted-key) JSON of the meta-features, floats rounded to 6."""
     def num(col_name, digits=None):
+        """Fixed-point text, trailing zeros stripped ('0.00089', '0.0'): identical in Spark and SQL."""
         x = F.col(col_name)
-        if digits is not None:
-            from tabsmith.plans.catalog import round_like_sql
-            x = round_like_sql(x, digits)
-        return F.coalesce(x.cast("string"), F.lit("null"))
+        if digits is None:
+            return F.coalesce(x.cast("string"), F.lit("null"))
+        t = x.cast(f"decimal(38,{digits})").cast("string")
+        t = F.regexp_replace(F.regexp_replace(t, "0+$", ""), "[.]$", ".0")
+        return F.coalesce(t, F.lit("null"))
 
     def txt(col_name):
         return F.coalesce(F.concat(F.lit('"'), F.col(col_name), F.lit('"')), F.lit("null"))

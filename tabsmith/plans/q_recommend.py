@@ -172,11 +172,11 @@ def q_suggestions(spark, sf):
 
 @register("meta_signature", """WITH m AS ({META}),
  j AS (SELECT dataset_id, '{' || concat_ws(', ',
-   '"class_imbalance": ' || coalesce(CAST(round(class_imbalance, 6) AS VARCHAR), 'null'),
-   '"corr_high_pair_ratio": ' || coalesce(CAST(round(corr_high_pair_ratio, 6) AS VARCHAR), 'null'),
-   '"corr_mean_abs": ' || coalesce(CAST(round(corr_mean_abs, 6) AS VARCHAR), 'null'),
-   '"linearity_score": ' || coalesce(CAST(round(linearity_score, 6) AS VARCHAR), 'null'),
-   '"missing_pct": ' || coalesce(CAST(round(missing_pct, 6) AS VARCHAR), 'null'),
+   '"class_imbalance": ' || coalesce(regexp_replace(regexp_replace(CAST(CAST(class_imbalance AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '[.]$', '.0'), 'null'),
+   '"corr_high_pair_ratio": ' || coalesce(regexp_replace(regexp_replace(CAST(CAST(corr_high_pair_ratio AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '[.]$', '.0'), 'null'),
+   '"corr_mean_abs": ' || coalesce(regexp_replace(regexp_replace(CAST(CAST(corr_mean_abs AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '[.]$', '.0'), 'null'),
+   '"linearity_score": ' || coalesce(regexp_replace(regexp_replace(CAST(CAST(linearity_score AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '[.]$', '.0'), 'null'),
+   '"missing_pct": ' || coalesce(regexp_replace(regexp_replace(CAST(CAST(missing_pct AS DECIMAL(38, 6)) AS VARCHAR), '0+$', ''), '[.]$', '.0'), 'null'),
    '"n_categorical": ' || CAST(n_categorical AS VARCHAR), '"n_features": ' || CAST(n_features AS VARCHAR),
    '"n_numeric": ' || CAST(n_numeric AS VARCHAR), '"n_samples": ' || CAST(n_samples AS VARCHAR),
    '"noise_level": ' || coalesce('"' || noise_level || '"', 'null')) || '}' AS canonical FROM m)
