@@ -37,6 +37,21 @@ def round_like_sql(col, d: int):
     return F.round(col * F.lit(m), 0) / F.lit(m)
 
 
+def round_sig_like_sql(col, sig: int):
+    """Round to ``sig`` significant digits, same IEEE steps as :func:`sig_sql` on DuckDB.
+
+    For large magnitudes (variances ~1e9) where a fixed number of decimals
+    exposes the last-bit differences between two engines' summation orders.
+    """
+    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(col))))
+    return F.when(col == 0, F.lit(0.0)).otherwise(round_like_sql(col / e, sig - 1) * e)
+
+
+def sig_sql(expr: str, sig: int) -> str:
+    e = f"pow(10.0, floor(log10(abs({expr}))))"
+    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {e}, {sig - 1}) * {e} END)"
+
+
 def rnd(df: DataFrame, digits: dict) -> DataFrame:
     """Round the listed double columns (same rule as the SQL side)."""
     return df.select(*[round_like_sql(F.col(x), digits[x]).alias(x) if x in digits else F.col(x)

@@ -8,7 +8,7 @@ from tabsmith.functions import columns as COL
 from tabsmith.operators import preprocess as PP
 from tabsmith.operators import select as SEL
 from tabsmith.plans import steps as ST
-from tabsmith.plans.catalog import register, rnd
+from tabsmith.plans.catalog import register, rnd, round_sig_like_sql, sig_sql
 from tabsmith.plans.fixtures import (DESIGN_MATRIX_SQL, EVENTS_NONFINITE_SQL, LINEITEM_NULLS_SQL,
                                      design_matrix, events_mixed_text, events_nonfinite, lineitem_nulls,
                                      table)
@@ -213,13 +213,15 @@ SELECT position, feature, round(score, {digits}) AS score,
   row_number() OVER (ORDER BY score DESC NULLS LAST, position DESC) <= {k} AS selected FROM sc""")
 
 
-def _sel_q(params, digits=4):
+def _sel_q(params, digits=4, sig=None):
     def q(spark, sf):
         t = params.get("target")
         df = design_matrix(spark, sf).select(*DM_FEATS, *([t] if t else []))
         sc = SEL.selection_scores(df, params)
-        return rnd(sc.select(F.col("position").cast("int").alias("position"), "feature", "score", "selected"),
-                   {"score": digits})
+        out = sc.select(F.col("position").cast("int").alias("position"), "feature", "score", "selected")
+        if sig:
+            return out.withColumn("score", round_sig_like_sql(F.col("score"), sig))
+        return rnd(out, {"score": digits})
     return q
 
 
@@ -267,8 +269,8 @@ register("select_mutual_info", _topk_sql(_mi_sql(), 3, 6))(
     _sel_q({"method": "select_k_best", "score_func": "mutual_info_classif", "k": 3, "target": "y_bin"}, 6))
 
 register("select_variance", f"""WITH d AS {DESIGN_MATRIX_SQL}
-SELECT position, feature, round(score, 4) AS score, score > 0.01 AS selected FROM ({_feat_union(f'var_pop({{x}})')})
-""".replace("{x}", "{x}"))(_sel_q({"method": "variance", "threshold": 0.01}))
+SELECT position, feature, {sig_sql('score', 8)} AS score, score > 0.01 AS selected
+FROM ({_feat_union(f'var_pop({{x}})')})""")(_sel_q({"method": "variance", "threshold": 0.01}, sig=8))
 
 
 def _corr_sel_sql():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsmith.operators import profile as P
-from tabsmith.plans.catalog import register, rnd
+from tabsmith.plans.catalog import register, rnd, round_sig_like_sql, sig_sql
 from tabsmith.plans.fixtures import (DESIGN_MATRIX_SQL, LINEITEM_COLUMNS, LINEITEM_DUPS_SQL, LINEITEM_NULLS_SQL,
                                      lineitem_dups, lineitem_nulls, table)
 
@@ -22,7 +22,7 @@ def _col_sql(pos, name, dtype, src="t"):
   round((count(*) - count({name})) * 100.0 / count(*), 6) AS missing_pct,
   {stat(f'avg({x})', 4)} AS mean, {stat(f'quantile_cont({x}, 0.5)', 4)} AS median,
   {stat(f'min({x})', 4)} AS min, {stat(f'max({x})', 4)} AS max,
-  {stat(f'stddev_samp({x})', 4)} AS std, {stat(f'var_samp({x})', 2)} AS variance,
+  {stat(f'stddev_samp({x})', 4)} AS std, {sig_sql(f'var_samp({x})', 8) if num else nd} AS variance,
   {stat(f'skewness({x})', 6)} AS skew, {stat(f'kurtosis({x})', 6)} AS kurtosis,
   {stat(f'quantile_cont({x}, 0.25)', 4)} AS q1, {stat(f'quantile_cont({x}, 0.75)', 4)} AS q3,
   round(count(DISTINCT {name}) / count(*), 6) AS cardinality_ratio
@@ -32,14 +32,15 @@ FROM {src}"""
 PROFILE_SQL = "WITH t AS " + LINEITEM_NULLS_SQL + "\n" + "\nUNION ALL\n".join(
     _col_sql(i, n, d) for i, (n, d) in enumerate(LINEITEM_COLUMNS))
 
-PROFILE_ROUND = {"missing_pct": 6, "mean": 4, "median": 4, "min": 4, "max": 4, "std": 4, "variance": 2,
+PROFILE_ROUND = {"missing_pct": 6, "mean": 4, "median": 4, "min": 4, "max": 4, "std": 4,
                  "skew": 6, "kurtosis": 6, "q1": 4, "q3": 4, "cardinality_ratio": 6}
 
 
 @register("profile_columns", PROFILE_SQL)
 def q_profile_columns(spark, sf_dir):
     st = P.column_stats(lineitem_nulls(spark, sf_dir))
-    return rnd(st.select("position", "column", "dtype", "unique", *PROFILE_ROUND.keys()), PROFILE_ROUND)
+    st = st.withColumn("variance", round_sig_like_sql(F.col("variance"), 8))
+    return rnd(st.select("position", "column", "dtype", "unique", *PROFILE_ROUND.keys(), "variance"), PROFILE_ROUND)
 
 
 _MISSING_CELLS = " + ".join(f"count(*) - count({n})" for n, _ in LINEITEM_COLUMNS)
