@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -190,13 +189,17 @@ def feature_importance(model, features) -> list[tuple]:
     return [(f, float(x)) for f, x in zip(features, v)]
 
 
-def save_model(model, path: str | None = None, spark=None) -> tuple[str, int]:
-    """Write the fitted model; returns (path, bytes written) for the run table (T12 size)."""
+def save_model(model, spark, path: str | None = None) -> tuple[str, int]:
+    """Write the fitted model (default: under the shared checkpoint folder).
+
+    Returns (path, bytes) -- the size is measured when the path is on a local
+    filesystem, else -1.
+    """
     from tabsmith.session import checkpoint_dir
     if path is None:
-        base = checkpoint_dir(spark) if spark is not None else tempfile.mkdtemp()
-        path = os.path.join(base.replace("file:", ""), "models", uuid.uuid4().hex)
+        path = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
     model.write().overwrite().save(path)
-    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path.replace("file:", "")) for f in fs) \
-        if os.path.exists(path.replace("file:", "")) else -1
+    local = path[len("file:"):] if path.startswith("file:") else path
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs) \
+        if os.path.isdir(local) else -1
     return path, size
