@@ -249,7 +249,7 @@ class BayesianRidge(Estimator):
         XtX = g["G"] - n * np.outer(mx, mx)
         Xty = g["xy"] - n * mx * my
         yty = g["syy"] - n * my * my
-        eig, V = np.linalg.eigh(XtX)
+        eig = np.linalg.eigvalsh(XtX)
         eig = np.clip(eig, 0, None)
         alpha, lam = 1.0 / (yty / n + 1e-12), 1.0
         coef = np.zeros(g["p"])
@@ -434,7 +434,6 @@ class _AdaBoostClfModel(Model):
         self.trees, self.alphas, self.K, self.fc = trees, alphas, K, fc
 
     def _transform(self, df):
-        from pyspark.ml.functions import vector_to_array as v2a
         out = df.withColumn("__votes", F.array(*[F.lit(0.0) for _ in range(self.K)]))
         for i, (tree, a) in enumerate(zip(self.trees, self.alphas)):
             tp = tree.copy().setPredictionCol(f"__t{i}").setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__q{i}")
@@ -442,7 +441,6 @@ class _AdaBoostClfModel(Model):
             out = out.withColumn("__votes", F.transform("__votes", lambda v, k: v + F.when(
                 F.col(f"__t{i}") == k, F.lit(float(a))).otherwise(0.0))).drop(f"__t{i}")
         best = F.array_position(F.col("__votes"), F.array_max("__votes")) - 1
-        del v2a
         return out.withColumn("prediction", best.cast("double")).drop("__votes")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.columns import c, is_numeric
+from tabsmith.functions.columns import is_numeric
 from tabsmith.functions.stats import long_values, quantile_dict
 
 BINS = 10

@@ -25,7 +25,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tabsmith.functions.columns import c, is_numeric, is_string, nan_to_null
 from tabsmith.functions.stats import quantile_dict, value_counts
@@ -264,7 +263,6 @@ def _fit_encode(df, p):
     method = p.get("method", "label")
     cap = int(p.get("max_categories", 0) or 0)
     target = p.get("target")
-    spark = df.sparkSession
     state = {"columns": {}}
     for x in _encode_columns(df, p):
         t, keep = _capped_text(df, x, cap)
@@ -303,7 +301,6 @@ def _tr_encode(df, p, s):
     method = p.get("method", "label")
     spark = df.sparkSession
     out = df
-    tail = []
     for x, st in s["columns"].items():
         if x not in out.columns:
             continue

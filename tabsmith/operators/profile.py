@@ -77,7 +77,6 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     ``cardinality_ratio`` = unique / rows.
     """
     df = nan_to_null(df)
-    spark = df.sparkSession
     meta = _meta(df)
     numeric = [m[1] for m in meta if m[4]]
     other = [m[1] for m in meta if not m[4]]
@@ -173,8 +172,6 @@ def warnings(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     df = nan_to_null(df)
     stats = stats if stats is not None else column_stats(df)
     st = stats.persist()
-    spark = df.sparkSession
-    schema = "warning string, column string, value double"
     hm = st.where(F.col("missing_pct") > 20.0).select(
         F.lit("high_missing").alias("warning"), "column", F.col("missing_pct").alias("value"), "position")
     sk = (st.where(F.col("is_numeric") & (F.col("non_null") >= 30) & (F.abs(F.col("skew")) > 1.0))

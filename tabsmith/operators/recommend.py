@@ -188,8 +188,6 @@ def meta_features(df: DataFrame, dataset_id: str, target: str | None = None, tas
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != tgt]
     cat = [f.name for f in df.schema.fields if f.name not in num and f.name != tgt]
     ncols = len(df.columns)
-    nulls = sum((F.count_if(c(x).isNull() | (F.isnan(c(x)) if is_numeric(df.schema[x].dataType) else F.lit(False)))
-                 for x in df.columns), F.lit(0))
     pairs = [(i, j) for i in range(len(num)) for j in range(i + 1, len(num))]
     # one projection evaluates the null flags and the completeness test once per row; corr ignores
     # rows where an input is null, so nulling incomplete rows = filtering them

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import explain as X
 from tabsmith.plans.catalog import register, rnd
-from tabsmith.plans.fixtures import BINARY_PRED_SQL, REG_PRED_SQL, binary_pred, reg_pred, table
+from tabsmith.plans.fixtures import REG_PRED_SQL, reg_pred, table
 
 FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -158,8 +158,6 @@ def q_cf(spark, sf):
     return X.counterfactuals(p, sc, ["p_partkey"], n_candidates=300, max_changes=2)
 
 
-del BINARY_PRED_SQL, binary_pred
-
 
 @register("explain_sampling_shap")
 def q_sampling_shap(spark, sf):

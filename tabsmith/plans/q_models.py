@@ -9,7 +9,6 @@ correctness run stays quick; the library defaults are the reference's.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators.estimators import make_estimator
 from tabsmith.plans import train as TR
 from tabsmith.plans.catalog import register, rnd
-from tabsmith.plans.fixtures import CLUSTERS_SQL, DESIGN_MATRIX_SQL, clusters, design_matrix, table
+from tabsmith.plans.fixtures import DESIGN_MATRIX_SQL, clusters, design_matrix, table
 
 FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "rf_a", "rf_n", "rf_r", "ls_f"]
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -154,7 +153,7 @@ def q_grid(spark, sf):
     from pyspark.ml.regression import LinearRegression
     est = LinearRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0)
     grid = TR.search_space({"regParam": 0.1})
-    best, score, params = TR.grid_search(prep, est, grid, RegressionEvaluator(metricName="r2"), folds=3)
+    _, score, params = TR.grid_search(prep, est, grid, RegressionEvaluator(metricName="r2"), folds=3)
     return spark.createDataFrame([(float(score), str({p.name: v for p, v in params.items()}))],
                                  "best_cv_r2 double, best_params string")
 
@@ -165,7 +164,7 @@ def q_random(spark, sf):
     prep = _prep(spark, sf, "y_reg", "regression")
     from pyspark.ml.regression import DecisionTreeRegressor
     est = DecisionTreeRegressor(featuresCol="features", labelCol="label")
-    best, score, params = TR.random_search(prep, est, {"maxDepth": (2, 8), "minInstancesPerNode": (1, 20)},
+    _, score, params = TR.random_search(prep, est, {"maxDepth": (2, 8), "minInstancesPerNode": (1, 20)},
                                            RegressionEvaluator(metricName="r2"), n_iter=4, folds=3,
                                            integer=("maxDepth", "minInstancesPerNode"))
     return spark.createDataFrame([(float(score), str({p.name: v for p, v in params.items()}))],
@@ -180,8 +179,6 @@ def q_rfe(spark, sf):
     return selection_scores(dm, {"method": "rfe", "k": 4, "target": "y_bin", "task_type": "classification"})
 
 
-del np, CLUSTERS_SQL
-
 
 @register("cluster_silhouette")
 def q_silhouette(spark, sf):
