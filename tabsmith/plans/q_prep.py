@@ -342,12 +342,26 @@ def q_isoforest(spark, sf):
                                                                      "contamination": 0.05}})
 
 
-@register("preprocess_preview")
+PREVIEW_SQL = T + """, i AS (SELECT l_orderkey, l_linenumber,
+    coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM t)) AS l_quantity,
+    coalesce(l_extendedprice, (SELECT quantile_cont(l_extendedprice, 0.5) FROM t)) AS l_extendedprice,
+    l_discount, l_tax,
+    coalesce(l_returnflag, (SELECT l_returnflag FROM t WHERE l_returnflag IS NOT NULL GROUP BY 1
+                            ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag FROM t),
+ e AS (SELECT * EXCLUDE (l_returnflag), CAST(count(*) OVER (PARTITION BY l_returnflag) AS DOUBLE) AS l_returnflag FROM i)
+SELECT l_orderkey, l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice,
+  l_discount, l_tax, l_returnflag, (SELECT count(*) FROM t) AS shape_rows, 7 AS shape_cols FROM e
+ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag LIMIT 12"""
+
+
+@register("preprocess_preview", PREVIEW_SQL)
 def q_preview(spark, sf):
-    """PR25: apply steps 0..1 of a three-step spec; first 12 rows (ordered by key) plus the shape."""
+    """PR25: apply steps 0..1 of a three-step spec; first 12 rows (ordered) plus the shape."""
     df = lineitem_nulls(spark, sf).select("l_orderkey", "l_linenumber", *VALS, "l_returnflag")
     spec = [{"name": "imp", "operation": "impute", "params": {"strategy": "median"}},
             {"name": "enc", "operation": "encode", "params": {"columns": ["l_returnflag"], "method": "frequency"}},
             {"name": "sc", "operation": "scale", "params": {"method": "standard"}}]
-    head, (rows, cols) = ST.preview(df, spec, 1, 12, order_by=["l_orderkey", "l_linenumber", *VALS])
-    return head.withColumn("shape_rows", F.lit(rows)).withColumn("shape_cols", F.lit(cols))
+    head, (rows, cols) = ST.preview(df, spec, 1, 12,
+                                    order_by=["l_orderkey", "l_linenumber", *VALS, "l_returnflag"])
+    out = head.withColumn("shape_rows", F.lit(rows)).withColumn("shape_cols", F.lit(cols))
+    return rnd(out, {"l_quantity": 4, "l_extendedprice": 4})

@@ -200,7 +200,18 @@ def q_linearity(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("dataset_signature")
+def _sig1_sql():
+    from tabsmith.plans.fixtures import LINEITEM_COLUMNS, LINEITEM_NULLS_SQL
+    names = "[" + ", ".join('"' + n + '"' for n, _ in LINEITEM_COLUMNS) + "]"
+    miss = " + ".join(f"count(*) - count({n})" for n, _ in LINEITEM_COLUMNS)
+    num = (f"regexp_replace(regexp_replace(CAST(CAST(({miss}) * 100.0 / (count(*) * {len(LINEITEM_COLUMNS)}) / 100 "
+           f"AS DECIMAL(38, 9)) AS VARCHAR), '0+$', ''), '[.]$', '.0')")
+    body = (f"'{{\"cols\": {names}, \"missing\": ' || {num} || ', \"shape\": [' || CAST(count(*) AS VARCHAR) || "
+            f"', {len(LINEITEM_COLUMNS)}]}}'")
+    return f"SELECT {body} AS canonical, md5({body}) AS signature FROM {LINEITEM_NULLS_SQL}"
+
+
+@register("dataset_signature", _sig1_sql())
 def q_dataset_sig(spark, sf):
     """SC1: md5 of the canonical JSON of shape, column names and mean missing share."""
     from tabsmith.plans.fixtures import lineitem_nulls
@@ -208,7 +219,9 @@ def q_dataset_sig(spark, sf):
     df = lineitem_nulls(spark, sf)
     names = F.concat(F.lit("["), F.lit(", ".join('"' + x + '"' for x in df.columns)), F.lit("]"))
     ov = overview(df)
-    body = F.concat(F.lit('{"cols": '), names, F.lit(', "missing": '), (F.col("missing_pct") / 100).cast("string"),
+    share = (F.col("missing_pct") / 100).cast("decimal(38,9)").cast("string")
+    share = F.regexp_replace(F.regexp_replace(share, "0+$", ""), "[.]$", ".0")
+    body = F.concat(F.lit('{"cols": '), names, F.lit(', "missing": '), share,
                     F.lit(', "shape": ['), F.col("rows").cast("string"), F.lit(", "), F.col("columns").cast("string"),
                     F.lit("]}"))
     return ov.select(body.alias("canonical"), F.md5(body).alias("signature"))
