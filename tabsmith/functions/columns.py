@@ -130,9 +130,13 @@ def coerce_features(df: DataFrame, exclude=()) -> DataFrame:
     strings = [f.name for f in df.schema.fields if is_string(f.dataType) and f.name not in ex]
     parse_any = {}
     if strings:
-        row = df.agg(*[F.max(F.expr(f"try_cast({q(s)} as double)").isNotNull().cast("int")).alias(f"p{i}")
-                       for i, s in enumerate(strings)]).first()
-        parse_any = {s: bool(row[i]) for i, s in enumerate(strings)}
+        # decided on the distinct values (one parse per distinct string, not per row)
+        from tabsmith.functions.stats import value_counts
+        hits = (value_counts(df, strings, "string")
+                .groupBy("column").agg(F.max(F.expr("try_cast(value as double)").isNotNull().cast("int")).alias("p"))
+                .collect())                                    # one row per string column
+        got = {r["column"]: bool(r["p"]) for r in hits}
+        parse_any = {s: got.get(s, False) for s in strings}
     out = df
     cols = []
     coded = []

@@ -68,7 +68,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ PR4, PR5, PR27
 
-def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+def column_stats(df: DataFrame, approx: bool = False, with_quantiles: bool = True) -> DataFrame:
     """PR4/PR5/PR27: one row per column.
 
     ``unique`` = distinct non-null; ``missing_pct``; for numeric columns (bool
@@ -106,7 +106,8 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     # counted as epoch microseconds (cheap) and strings as text
     parts = []
     if numeric:
-        vc_num = value_counts(df, numeric, "double").persist()
+        vc_num = value_counts(df, numeric, "double")
+        vc_num = vc_num.persist() if with_quantiles else vc_num
         parts.append(vc_num)
     dts = [m[1] for m in meta if m[7]]
     txt = [x for x in other if x not in dts]
@@ -120,7 +121,7 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         d = p.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("unique"))
         distinct = d if distinct is None else distinct.unionByName(d)
     out = stats.join(distinct, "column", "left") if distinct is not None else stats.withColumn("unique", F.lit(0))
-    if numeric:
+    if numeric and with_quantiles:
         qs = quantiles(df, numeric, [0.25, 0.5, 0.75], approx=approx, counts=vc_num)
         qw = qs.groupBy("column").agg(
             F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
@@ -222,7 +223,7 @@ def schema_findings(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     for typed columns, over all values.
     """
     df = nan_to_null(df)
-    st = stats if stats is not None else column_stats(df)
+    st = (stats if stats is not None else column_stats(df, with_quantiles=False)).persist()   # one row per column
     meta = {m[1]: m for m in _meta(df)}
     const = st.where((F.col("unique") + F.when(F.col("non_null") < F.col("rows"), 1).otherwise(0)) <= 1) \
         .select(F.lit("constant").alias("finding"), "column", "position")
@@ -232,39 +233,39 @@ def schema_findings(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     parts = [const, pid]
     dt_cols = [n for n in df.columns if _datetime_name(n)]
     strings = [n for n in df.columns if meta[n][6]]
-    aggs = []
+    # parse classes depend only on the value: evaluate them once per distinct string (count-weighted)
+    if strings:
+        v = F.col("value")
+        cls = (F.when(F.expr("try_cast(value as bigint)").isNotNull(), F.lit(1))
+               .when(F.expr("try_cast(value as double)").isNotNull(), F.lit(2))
+               .when(F.expr("try_to_timestamp(value)").isNotNull(), F.lit(4))
+               .otherwise(F.lit(8)))
+        per = value_counts(df, strings, "string").select("column", "cnt", cls.alias("cls"))
+        agg = per.groupBy("column").agg(F.bit_or("cls").alias("bits"),
+                                        F.sum(F.when(F.col("cls") == 4, F.col("cnt")).otherwise(0)).alias("ts_ok"))
+        info = {r["column"]: r for r in agg.collect()}          # one row per string column
+        del v
+    else:
+        info = {}
+    rows_n = st.select("rows").first()[0] if df.columns else 0
+    found = []
     for n in dt_cols:
         m = meta[n]
         if m[7] or m[4]:
-            ok = c(n).isNotNull()        # datetimes and numbers (epoch) always parse
+            ok = st.where(F.col("column") == n).select("non_null").first()[0]   # datetimes / numbers parse
         elif m[6]:
-            ok = F.expr(f"try_to_timestamp({q(n)})").isNotNull()
+            r = info.get(n)
+            ok = (r["ts_ok"] if r else 0)
         else:
-            ok = F.lit(False)
-        aggs.append(F.avg(ok.cast("double")).alias(f"dt_{meta[n][0]}"))
+            ok = 0
+        if rows_n and ok / rows_n >= 0.8:
+            found.append(("datetime_like", n, m[0]))
     for n in strings:
-        x = c(n)
-        cls = (F.when(x.isNull(), F.lit(None))
-               .when(F.expr(f"try_cast({q(n)} as bigint)").isNotNull(), F.lit(1))
-               .when(F.expr(f"try_cast({q(n)} as double)").isNotNull(), F.lit(2))
-               .when(F.expr(f"try_to_timestamp({q(n)})").isNotNull(), F.lit(4))
-               .otherwise(F.lit(8)))
-        aggs.append(F.bit_or(cls).alias(f"ty_{meta[n][0]}"))
-    if aggs:
-        row = df.agg(*aggs)
-        structs = []
-        for n in dt_cols:
-            p = meta[n][0]
-            structs.append(F.struct(F.lit("datetime_like").alias("finding"), F.lit(n).alias("column"),
-                                    F.lit(p).alias("position"),
-                                    (F.coalesce(F.col(f"dt_{p}"), F.lit(0.0)) >= 0.8).alias("hit")))
-        for n in strings:
-            p = meta[n][0]
-            bits = F.coalesce(F.col(f"ty_{p}"), F.lit(0))
-            structs.append(F.struct(F.lit("inconsistent_type").alias("finding"), F.lit(n).alias("column"),
-                                    F.lit(p).alias("position"),
-                                    (F.bit_count(bits) > 1).alias("hit")))
-        parts.append(row.select(F.inline(F.array(*structs))).where("hit").drop("hit"))
+        r = info.get(n)
+        if r is not None and bin(int(r["bits"])).count("1") > 1:
+            found.append(("inconsistent_type", n, meta[n][0]))
+    if found:
+        parts.append(df.sparkSession.createDataFrame(found, "finding string, column string, position int"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -288,7 +289,7 @@ def detect_task(df: DataFrame, target: str | None = None, stats: DataFrame | Non
     """
     df = nan_to_null(df)
     spark = df.sparkSession
-    st = (stats if stats is not None else column_stats(df)).persist()
+    st = (stats if stats is not None else column_stats(df, with_quantiles=False)).persist()
     ncols = len(df.columns)
     if ncols == 0:
         return spark.createDataFrame([(None, None, "clustering", "clustering", None, None, None, None, None)],

@@ -214,9 +214,48 @@ def q_missing_indicator(spark, sf_dir):
                        F.col("l_returnflag").isNull().cast("int").alias("m_flag")) if mi is not None else None
 
 
-@register("detect_task_orders")
+DETECT_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double"),
+               ("o_orderpriority", "string")]
+
+
+def _detect_sql():
+    stats = " UNION ALL ".join(
+        f"""SELECT {i} AS pos, '{n}' AS name, {str(d in ('bigint', 'int')).upper()} AS is_int,
+  {str(d == 'string').upper()} AS is_str, {str(d in NUMERIC_DT).upper()} AS is_num,
+  count(DISTINCT {n}) AS uniq, count(DISTINCT {n}) + CASE WHEN count({n}) < count(*) THEN 1 ELSE 0 END AS uniq_all,
+  count(*) AS rows, {'min(CAST(' + n + ' AS DOUBLE))' if d in NUMERIC_DT else 'NULL'} AS mn,
+  {'max(CAST(' + n + ' AS DOUBLE))' if d in NUMERIC_DT else 'NULL'} AS mx FROM orders"""
+        for i, (n, d) in enumerate(DETECT_COLS))
+    last = len(DETECT_COLS) - 1
+    return f"""WITH s AS ({stats}),
+ lastc AS (SELECT * FROM s WHERE pos = {last}),
+ pt AS (SELECT CASE WHEN (SELECT (is_int OR is_str OR uniq_all <= 1) FROM lastc)
+                    THEN coalesce((SELECT name FROM s WHERE NOT uniq_all <= 1 AND NOT (is_int OR is_str)
+                                   ORDER BY pos DESC LIMIT 1), (SELECT name FROM lastc))
+                    ELSE (SELECT name FROM lastc) END AS profile_target),
+ tt AS (SELECT (SELECT name FROM s WHERE NOT uniq_all <= 1 AND NOT (rows > 0 AND uniq = rows AND (is_int OR is_str))
+                ORDER BY pos DESC LIMIT 1) AS task_target),
+ p AS (SELECT s.* FROM s, pt WHERE s.name = pt.profile_target),
+ t AS (SELECT s.* FROM s, tt WHERE s.name = tt.task_target)
+SELECT pt.profile_target, tt.task_target,
+  (SELECT CASE WHEN rows = 0 THEN 'clustering' WHEN is_num AND uniq <= 20 THEN 'classification'
+               WHEN is_num THEN 'regression' ELSE 'classification' END FROM p) AS problem_type,
+  (SELECT CASE WHEN is_num AND (uniq <= 20 OR uniq / rows <= 0.05) THEN 'classification'
+               WHEN is_num THEN 'regression' ELSE 'classification' END FROM t) AS task,
+  (SELECT CASE WHEN NOT is_num OR uniq <= 20 OR uniq / rows <= 0.05
+               THEN CASE WHEN uniq = 2 THEN 'binary' ELSE 'multiclass' END END FROM t) AS classification_type,
+  (SELECT CASE WHEN is_num AND NOT (uniq <= 20 OR uniq / rows <= 0.05) THEN ['RMSE', 'MAE', 'R2']
+               ELSE ['Accuracy', 'F1', 'AUC'] END FROM t) AS metrics,
+  (SELECT uniq FROM t) AS nunique_target,
+  (SELECT CASE WHEN is_num AND NOT (uniq <= 20 OR uniq / rows <= 0.05) THEN mn END FROM t) AS target_min,
+  (SELECT CASE WHEN is_num AND NOT (uniq <= 20 OR uniq / rows <= 0.05) THEN mx END FROM t) AS target_max
+FROM pt, tt"""
+
+
+@register("detect_task_orders", _detect_sql())
 def q_detect_task(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    """PR11-PR15: profile / task target suggestion, problem type, task, metrics and target range."""
+    o = table(spark, sf_dir, "orders").select(*[n for n, _ in DETECT_COLS])
     return P.detect_task(o)
 
 
