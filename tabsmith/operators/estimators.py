@@ -111,7 +111,7 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
     if key == "clf_svm":
         svc = LinearSVC(featuresCol=fc, labelCol=lc, regParam=0.0 if not p.get("C") else 1.0 / float(p["C"]),
                         maxIter=100)
-        return _BinaryOrOvr(svc, fc, lc)
+        return _BinaryOrOvr(svc, fc, lc, calibrate=True)
     if key == "clf_naive_bayes":
         return NaiveBayes(featuresCol=fc, labelCol=lc, modelType="gaussian")
     if key == "clf_mlp":
@@ -140,17 +140,40 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
 class _BinaryOrOvr(Estimator):
     """Binary-only Spark classifiers (GBT, LinearSVC) -> OneVsRest when labels are not {0, 1}."""
 
-    def __init__(self, base, fc, lc):
+    def __init__(self, base, fc, lc, calibrate=False):
         super().__init__()
-        self.base, self.fc, self.lc = base, fc, lc
+        self.base, self.fc, self.lc, self.calibrate = base, fc, lc, calibrate
 
     def _fit(self, df):
         k = df.agg(F.max(self.lc)).first()[0]
         if k is not None and k <= 1:
-            return self.base.fit(df)
+            m = self.base.fit(df)
+            return _Platt.fit_on(m, df, self.lc) if self.calibrate else m
         return OneVsRest(classifier=self.base, featuresCol=self.fc, labelCol=self.lc).fit(df)
 
 
+class _Platt(Model):
+    """A20 probability: a 1-D logistic regression on the SVM margin (Platt scaling)."""
+
+    def __init__(self, svm, a, b):
+        super().__init__()
+        self.svm, self.a, self.b = svm, float(a), float(b)
+
+    @classmethod
+    def fit_on(cls, svm, df, label):
+        from pyspark.ml.feature import VectorAssembler as _VA
+        scored = svm.transform(df).select(vector_to_array("rawPrediction")[1].alias("__m"), F.col(label).alias("__y"))
+        lr = LogisticRegression(featuresCol="__mv", labelCol="__y", regParam=0.0).fit(
+            _VA(inputCols=["__m"], outputCol="__mv").transform(scored))
+        return cls(svm, lr.coefficients[0], lr.intercept)
+
+    def _transform(self, df):
+        out = self.svm.transform(df)
+        z = vector_to_array("rawPrediction")[1] * F.lit(self.a) + F.lit(self.b)
+        p1 = 1.0 / (1.0 + F.exp(-z))
+        return out.withColumn("probability", array_to_vector(F.array(1 - p1, p1)))
+
+
 class _MLP(Estimator):
     def __init__(self, fc, lc, hidden, max_iter, seed):
         super().__init__()
