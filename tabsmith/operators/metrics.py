@@ -164,12 +164,12 @@ def curve_points(df: DataFrame, positive, score="score", group=("model",)) -> Da
     g = [x for x in _g(group) if x in df.columns]
     sc = _score_counts(df, positive, score, g)
     r = prefix_sum(prefix_sum(sc, g, "score", "pos", out="pos_below"), g, "score", "neg", out="neg_below")
-    tot = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if g:
-        j = r.join(tot, g)
-    else:                                   # a single model: inline the two totals
-        t = tot.first()
-        j = r.select("*", F.lit(t["P"]).alias("P"), F.lit(t["N"]).alias("N"))
+    # totals: one row per group (model) -> literal lookup maps, no join (group keys may be constants)
+    key = F.concat_ws("\u0001", *[F.col(x).cast("string") for x in g]) if g else F.lit("")
+    tot = sc.groupBy(key.alias("__k")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
+    pm = F.create_map(*[v for r in tot for v in (F.lit(r["__k"]), F.lit(float(r["P"])))])
+    nm = F.create_map(*[v for r in tot for v in (F.lit(r["__k"]), F.lit(float(r["N"])))])
+    j = r.select("*", F.element_at(pm, key).alias("P"), F.element_at(nm, key).alias("N"))
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
     return j.select(*g, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),

@@ -224,14 +224,15 @@ def meta_features(df: DataFrame, dataset_id: str, target: str | None = None, tas
         F.when(F.col("n_samples") > 0, F.col("__nulls") * 100.0 / (F.col("n_samples") * ncols)).alias("missing_pct"),
         *corr_cols)
     if tgt and task == "classification":
+        # one number: largest class share (null counted as a class), inlined as a literal
         ci = (df.groupBy(c(tgt).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-              .agg((F.max("__n") / F.sum("__n")).alias("class_imbalance"))
-              .select(F.lit(dataset_id).alias("dataset_id"), "class_imbalance"))
-        out = out.join(ci, "dataset_id")
+              .agg((F.max("__n") / F.sum("__n")).alias("class_imbalance")).first()[0])
+        out = out.withColumn("class_imbalance", F.lit(ci).cast("double"))
     else:
         out = out.withColumn("class_imbalance", F.lit(None).cast("double"))
     if linearity is not None:
-        out = out.join(linearity.select(F.lit(dataset_id).alias("dataset_id"), "linearity_score"), "dataset_id")
+        lin = linearity.select("linearity_score").first()[0]                # one number
+        out = out.withColumn("linearity_score", F.lit(lin).cast("double"))
     else:
         out = out.withColumn("linearity_score", F.lit(None).cast("double"))
     noise = (F.when(F.col("linearity_score") >= 0.7, "Low").when(F.col("linearity_score") >= 0.4, "Medium")
