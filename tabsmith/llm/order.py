@@ -8,11 +8,11 @@ group with a third of all rows is spread over as many tasks as any other rows.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 4096
-
 
 def order_hash(key: str | Column, seed: int) -> Column:
     """32 hex digits that fix a row's place; null ids count as the text ``null``."""
@@ -25,7 +25,7 @@ def running_start(df: DataFrame, group: str, key: str, value: str, out: str, n_r
 
     ``group`` may be null (one more group).  Rows with equal key and value are interchangeable.
     """
-    buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
+    buckets = isqrt(max(0, n_rows)) // 2 + 1  # as many buckets as rows in a bucket, about
     df = df.withColumn("_h", order_hash(key, seed))
     df = df.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") * F.lit(buckets)
                                      / F.lit(2 ** 32)).cast("bigint"))

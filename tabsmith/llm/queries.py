@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import mixing, packing, url_rules, warc
+from tabsmith.llm import lattice, mixing, ngram_join, packing, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -26,18 +26,28 @@ def op4_warc(spark, sf_dir):
                        F.char_length("block").cast("bigint").alias("n_chars"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    """Set size and component of every document: 5-word shingles, Jaccard 0.75 or more."""
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark, sf_dir):
     """Verdict of the fixed rules on every page URL."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_lattice(spark, sf_dir):
+    """Links, component and keep flag of every embedding at cosine 0.95 or more."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark, sf_dir):
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op7_url_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op6_ngram_join, op7_url_rules, op8_lattice, op10_mixing)}
 
 ORACLE: dict[str, str] = {}
 
