@@ -279,19 +279,9 @@ def clusters_of(signatures: DataFrame) -> DataFrame:
     return components(pairs).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
 
-def join_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS, most: int = SETS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    buckets = frequency_buckets(docs.select("doc_id").count())
-    facts = cut_lineage(docs.mapInArrow(_facts(buckets), "kind tinyint, doc_id bigint, n bigint, sid bigint"))
-    rows = facts.filter("kind = 0").select("doc_id", "n", "sid")
-    freq = facts.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    count = np.zeros(buckets, np.int64)
-    for b in freq.toArrow().to_batches():
-        count[np.asarray(b.column(0))] = np.asarray(b.column(1))
-    order = np.unique(count, return_inverse=True)[1].astype(np.int32)
-    sigs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(order, num, den), "sig bigint, sid bigint")
-    near = clusters_of(sigs)
+def grouped(docs: DataFrame, rows: DataFrame, near: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS,
+            most: int = SETS) -> DataFrame:
+    """Per row of ``rows`` (doc_id, n, sid): its component by the links inside the clusters ``near`` (sid, cluster)."""
     reps = rows.filter("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     reps = cut_lineage(reps)
     links = links_in_clusters(docs, reps.join(near, "sid"), num, den, mass, most)
@@ -303,3 +293,24 @@ def join_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MAS
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
                       .otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def set_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sid) of every row, without the corpus frequencies."""
+    return (docs.select("doc_id", "text").mapInArrow(_facts(1), "kind tinyint, doc_id bigint, n bigint, sid bigint")
+            .filter("kind = 0").select("doc_id", "n", "sid"))
+
+
+def join_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS, most: int = SETS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    buckets = frequency_buckets(docs.select("doc_id").count())
+    facts = cut_lineage(docs.mapInArrow(_facts(buckets), "kind tinyint, doc_id bigint, n bigint, sid bigint"))
+    freq = facts.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    count = np.zeros(buckets, np.int64)
+    for b in freq.toArrow().to_batches():
+        count[np.asarray(b.column(0))] = np.asarray(b.column(1))
+    order = np.unique(count, return_inverse=True)[1].astype(np.int32)
+    sigs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(order, num, den), "sig bigint, sid bigint")
+    rows = facts.filter("kind = 0").select("doc_id", "n", "sid")
+    return grouped(docs, rows, clusters_of(sigs), num, den, mass, most)
