@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import lattice, minhash, mixing, ngram_join, packing, url_rules, warc
+from tabsmith.llm import lattice, minhash, mixing, ngram_join, packing, toxicity, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -47,12 +47,18 @@ def op8_lattice(spark, sf_dir):
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document; the model learns from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_mixing(spark, sf_dir):
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_packing, op4_warc, op6_ngram_join, op7_url_rules, op8_lattice, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_packing, op4_warc, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
 
 ORACLE: dict[str, str] = {}
 

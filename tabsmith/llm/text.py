@@ -34,6 +34,8 @@ def random64(n: int, seed: int) -> np.ndarray:
 _BYTES = np.arange(256)
 IS_WORD = ~np.isin(_BYTES, [0x20, *range(0x09, 0x0E)])
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
+#: Another alphabet: letters, digits, apostrophe and all bytes of longer UTF-8 sequences; the rest separates.
+IS_LETTER = (_BYTES >= 0x80) | np.isin(_BYTES, [*range(48, 58), *range(65, 91), *range(97, 123), 39])
 VALUE = random64(256, 1)[LOWER]
 BASE = 0x9E3779B97F4A7C15  # odd
 STEP = random64(WIDTH, 2) | U(1)
@@ -74,7 +76,7 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(column, prefix: int = 0) -> Iterator[Words]:
+def words(column, prefix: int = 0, alphabet: np.ndarray = IS_WORD) -> Iterator[Words]:
     """The words of an Arrow string column, chunk by chunk; ``prefix``: also hash the first so many bytes."""
     data, offsets = utf8(column)
     for i, j in chunks(offsets):
@@ -83,7 +85,7 @@ def words(column, prefix: int = 0) -> Iterator[Words]:
         w = Words()
         w.first, w.last = i, j
         n = len(raw)
-        inside = IS_WORD[raw]
+        inside = alphabet[raw]
         before = np.zeros(n + 1, bool)
         before[1:] = inside
         cuts = at[(at >= 0) & (at <= n)]
