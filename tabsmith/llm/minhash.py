@@ -189,4 +189,8 @@ def near_groups(docs: DataFrame, perms: int = PERMS, bands: int = BANDS) -> Data
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bands_ = docs.filter("doc_id is not null").select("text").mapInArrow(run, "sig bigint, sid bigint").distinct()
-    return ngram_join.grouped(docs, cut_lineage(ngram_join.set_rows(docs)), ngram_join.clusters_of(bands_))
+    near = cut_lineage(ngram_join.clusters_of(bands_))
+    rows = cut_lineage(ngram_join.set_rows(docs))
+    reps = cut_lineage(ngram_join.first_rows(rows))
+    sets = cut_lineage(ngram_join.sets_of(docs, reps.join(near, "sid", "left_semi")))
+    return ngram_join.grouped(rows, reps, sets, near)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import lattice, minhash, mixing, ngram_join, packing, toxicity, url_rules, warc
+from tabsmith.llm import lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -31,6 +31,12 @@ def op4_warc(spark, sf_dir):
                        F.char_length("block").cast("bigint").alias("n_chars"))
 
 
+def op5_pii(spark, sf_dir):
+    """Spans of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_ngram_join(spark, sf_dir):
     """Set size and component of every document: 5-word shingles, Jaccard 0.75 or more."""
     return ngram_join.join_groups(table(spark, sf_dir, "documents"))
@@ -58,7 +64,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_packing, op4_warc, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
 
 ORACLE: dict[str, str] = {}
 
