@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
+from tabsmith.llm import block_labeller, lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -13,6 +13,11 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark, sf_dir):
+    """Main text of every page."""
+    return block_labeller.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op2_minhash(spark, sf_dir):
     """Fingerprints of every document and its edited text, with their likeness."""
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
 
 ORACLE: dict[str, str] = {}
 
