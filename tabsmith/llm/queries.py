@@ -69,7 +69,13 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing)}
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over ``documents``."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing, pipeline)}
 
 ORACLE: dict[str, str] = {}
 

@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), per_label: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted (score of 0.5 or more), threshold (of its language), toxic; and ``keep``."""
+    """Per row: doc_id, lang, held_out, score, predicted (score of 0.5 or more), threshold (of its language), toxic; and ``keep``."""
     model, by, every = train(docs, labels, per_label)
     model = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size, 4 MB
 
@@ -240,6 +240,6 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), per_la
         known = F.create_map(*[F.lit(x) for k, v in by.items() for x in (k, v)])
         limit = F.coalesce(known[F.col("_lang")], limit)
     out = rows.mapInArrow(run, ddl)
-    return out.select(F.col("_doc_id").alias("doc_id"), F.coalesce(remainder(F.col("_doc_id")) == 0, F.lit(False)).alias("held_out"),
+    return out.select(F.col("_doc_id").alias("doc_id"), F.col("_lang").alias("lang"), F.coalesce(remainder(F.col("_doc_id")) == 0, F.lit(False)).alias("held_out"),
                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), limit.alias("threshold"),
                       (F.col("score") >= limit).alias("toxic"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
