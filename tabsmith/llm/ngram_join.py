@@ -1,20 +1,24 @@
 """N-gram Jaccard join: groups of documents whose shingle sets are alike.
 
 1. One pass over the texts gives every row's set size and set id (a 64-bit hash of its sorted
-   shingles) and the corpus frequency of shingle buckets.  Equal sets are one set from here on.
-2. Blocking without loss: if the shingles of a set are ordered rarest bucket first, two sets with
+   shingles).  Equal sets are one set from here on.
+2. A set with a link shares at least the part ``t`` of its shingles with other sets.  ``shared`` counts,
+   for every set, the shingles that some other set holds; sets below ``t`` are done.  Each task sends
+   a shingle once, however many of its sets hold it, so a passage that a third of all texts
+   share costs one entry per task.
+3. Blocking without loss: if the shingles of a set are ordered rarest bucket first, two sets with
    Jaccard >= t share one of their first ``n - ceil(t n) + 1`` shingles.  Frequent passages come last
    in that order, so sharing one does not make a block.  Sets that share such a shingle, directly
    or through others, form a cluster; every link lies inside a cluster.
-3. Inside a cluster the count-vector R-tree (``rtree``) finds the pairs whose groups of shingles
+4. Inside a cluster the count-vector R-tree (``rtree``) finds the pairs whose groups of shingles
    can overlap enough, and verifies them on the shingles.  A cluster above ``MASS`` shingles or ``SETS``
    sets is cut into chunks that are searched one per task; then the roots of the chunks'
    components are joined in the same way, and last every set outside its cluster's largest
    component is searched against all chunks, so that no link between components is lost.
-4. Components of the links; a component's id is its smallest doc_id.
+5. Components of the links; a component's id is its smallest doc_id.
 
 An R-tree over the whole corpus alone would compare nearly all sets: in the many dimensions that
-long texts need, boxes of unrelated texts do not separate.  Hence step 2.
+long texts need, boxes of unrelated texts do not separate.  Hence steps 2 and 3.
 
 Cases: null or empty text: no shingles, linked with nothing; fewer words than the width: the whole
 sequence is the one shingle; rows with a null doc_id are counted but linked with nothing;
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.components import components
+from tabsmith.llm.ranges import parts_of
 from tabsmith.llm.rtree import Links
 from tabsmith.llm.text import mix64, shingle_sets
 from tabsmith.session import cut_lineage
@@ -50,42 +55,175 @@ def set_ids(off: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(n > 0, ids, U(0)).view(np.int64)
 
 
-def frequency_buckets(n_rows: int) -> int:
-    """A power of two near a quarter of the documents, 4096 to 4 million (a table of 16 MB at most)."""
-    return 1 << int(min(22, max(12, np.ceil(np.log2(max(1, n_rows) / 4)))))
+def frequency_buckets(mass: int) -> int:
+    """A power of two near a quarter of the shingles, 4096 to 4 million (a table of 16 MB at most)."""
+    return 1 << int(min(22, max(12, np.ceil(np.log2(max(1, mass) / 4)))))
 
 
-def _facts(buckets: int):
-    """(doc_id, text) -> kind 0: (doc_id, n, set id); kind 1: (bucket, count) over the task's sets."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+def set_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sid) of every row."""
 
     def run(batches):
-        counts = np.zeros(buckets, np.int64)
         for b in batches:
-            ids = b.column(0)
             for i, j, off, h in shingle_sets(b.column(1)):
-                counts += np.bincount((h >> U(8)).astype(np.int64) & (buckets - 1), minlength=buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(j - i, np.int8)), ids.slice(i, j - i), pa.array(np.diff(off)), pa.array(set_ids(off, h))],
-                    schema=schema)
-        hit = np.flatnonzero(counts)
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(set_ids(off, h))], names=["doc_id", "n", "sid"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Ascending 32-bit values as differences, byte by byte place, so that the shuffle's codec finds the zeros."""
+    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+BLOBS = "part int, pack bigint, kind int, a binary, b binary, c binary"
+#: Sets of a pack, which are numbered by 16 bits.
+PACK_SETS = 60_000
+
+
+def _spread(ranges: int):
+    """text -> blobs (part, pack, kind, a, b, c) of a pack of sets.
+
+    kind 0, one per range of hashes: the top bits of every shingle of the pack, once (a), the number
+    of a set that holds it (b), and whether several sets of the pack do (c).  kind 1: the set ids
+    of the pack by number (a) and how many of their shingles another set of the pack holds (b).
+    """
+    schema = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    width = 2 ** 64 // ranges + 1
+    # 32 bits of the place inside the range
+    shift = U(max(0, (width - 1).bit_length() - 32))
+
+    def pack(hashes: list, docs: list, sids: list, number: int):
+        h, doc = np.concatenate(hashes), np.concatenate(docs)
+        o = np.argsort(h, kind="stable")
+        h, doc = h[o], doc[o]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        runs = np.diff(np.append(at, len(h)))
+        many = runs > 1
+        own = np.bincount(doc, weights=np.repeat(many, runs), minlength=len(sids)).astype(np.int64)
+        rows = [(number % ranges, number, 1, np.array(sids, np.int64).tobytes(), own.tobytes(), b"")]
+        h, doc = h[at], doc[at].astype(np.uint16)
+        cut = np.searchsorted(h, np.array([width * r for r in range(1, ranges)], U))
+        for r, (x, y) in enumerate(zip(np.append(0, cut), np.append(cut, len(h)), strict=True)):
+            if y > x:
+                place = ((h[x:y] - U(width * r)) >> shift).astype(np.uint32)
+                rows.append((r, number, 0, squeeze(place), doc[x:y].tobytes(), np.packbits(many[x:y]).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        from pyspark import TaskContext
+        number, seen = TaskContext.get().partitionId() << 24, {}
+        hashes, docs, size = [], [], 0
+        for b in batches:
+            for _, _, off, h in shingle_sets(b.column(0)):
+                ids, n = set_ids(off, h), np.diff(off)
+                num = np.full(len(n), -1, np.int64)
+                for i in np.flatnonzero(n > 0):
+                    if (x := int(ids[i])) not in seen:
+                        num[i] = seen[x] = len(seen)
+                doc = np.repeat(num, n)
+                keep = doc >= 0
+                hashes.append(h[keep])
+                docs.append(doc[keep])
+                size += int(keep.sum())
+                if size >= FLUSH or len(seen) >= PACK_SETS:
+                    yield pack(hashes, docs, list(seen), number)
+                    number, hashes, docs, size, seen = number + 1, [], [], 0, {}
+        if size:
+            yield pack(hashes, docs, list(seen), number)
+
+    return run
+
+
+def _credit(batches):
+    """Blobs of one range of hashes -> per pack, the sets' numbers (a) and how many of their shingles another pack holds (b)."""
+    schema = pa.schema([("pack", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+    for t in groups(batches, "part"):
+        kind, packs = t["kind"].to_numpy(), t["pack"].to_numpy()
+        a, b, c = (t[x].to_pylist() for x in "abc")
+        out = [(int(packs[i]), 1, a[i], b[i]) for i in np.flatnonzero(kind == 1)]
+        at = np.flatnonzero(kind == 0)
+        if len(at):
+            n = [len(a[i]) // 4 for i in at]
+            place = np.concatenate([unsqueeze(a[i]) for i in at])
+            who = np.concatenate([np.frombuffer(b[i], np.uint16).astype(np.int64) + (k << 16) for k, i in enumerate(at)])
+            many = np.concatenate([np.unpackbits(np.frombuffer(c[i], np.uint8), count=m) for i, m in zip(at, n, strict=True)]).astype(bool)
+            o = np.argsort(place, kind="stable")
+            place, who, many = place[o], who[o], many[o]
+            first = np.ones(len(place), bool)
+            first[1:] = place[1:] != place[:-1]
+            cut = np.flatnonzero(first)
+            runs = np.diff(np.append(cut, len(place)))
+            # the pack has counted the shingles that several of its own sets share
+            ask = np.repeat(runs > 1, runs) & ~many
+            key, times = np.unique(who[ask], return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(at) + 1) << 16)
+            out += [(int(packs[i]), 0, (key[x:y] & 0xFFFF).astype(np.uint16).tobytes(), times[x:y].astype(np.uint32).tobytes())
+                    for i, x, y in zip(at, ends[:-1], ends[1:], strict=True) if y > x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _total(batches):
+    """All rows of a pack -> (sid, shared)."""
+    for t in groups(batches, "pack"):
+        kind, a, b = t["kind"].to_numpy(), t["a"].to_pylist(), t["b"].to_pylist()
+        own = int(np.flatnonzero(kind == 1)[0])
+        total = np.frombuffer(b[own], np.int64).copy()
+        for i in np.flatnonzero(kind == 0):
+            total[np.frombuffer(a[i], np.uint16)] += np.frombuffer(b[i], np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a[own], np.int64)), pa.array(total)], names=["sid", "shared"])
+
+
+def shared(docs: DataFrame) -> DataFrame:
+    """(sid, shared): at least the number of a set's shingles that another set holds too.
+
+    A set with copies counts in each pack that holds one, and its copies count as other sets: the
+    figure may be too high, which only lets a set through to the next step.
+    """
+    parts = parts_of(docs.sparkSession)
+    rows = docs.filter("doc_id is not null").select("text").mapInArrow(_spread(4 * parts), BLOBS)
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_credit, "pack bigint, kind int, a binary, b binary")
+    rows = rows.repartition(parts, "pack").sortWithinPartitions("pack").mapInArrow(_total, "sid bigint, shared bigint")
+    return rows.groupBy("sid").agg(F.sum("shared").alias("shared"))
+
+
+def bucket_ranks(sets: DataFrame, mass: int) -> np.ndarray:
+    """Rank of every shingle bucket by its frequency in ``sets``."""
+    buckets = frequency_buckets(mass)
+
+    def run(batches):
+        count = np.zeros(buckets, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(count, (np.frombuffer(x.as_buffer(), U) >> U(8)).astype(np.int64) & (buckets - 1), 1)
+        hit = np.flatnonzero(count)
         for s in range(0, len(hit), 100_000):
             x = hit[s: s + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(x), np.int8)), pa.array(x.astype(np.int64)), pa.array(counts[x]),
-                 pa.array(np.zeros(len(x), np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(count[x])], names=["bucket", "n"])
 
-    return run
+    freq = sets.select("hashes").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    count = np.zeros(buckets, np.int64)
+    for b in freq.toArrow().to_batches():
+        count[np.asarray(b.column(0))] = np.asarray(b.column(1))
+    return np.unique(count, return_inverse=True)[1].astype(np.int32)
 
 
-def _prefixes(order: np.ndarray, num: int, den: int):
-    """text -> (signature, set id): the rarest shingles of every set, brought together per task.
+def _prefixes(order, num: int, den: int):
+    """(sid, hashes) -> (signature, sid): the rarest shingles of every set, brought together per task.
 
-    ``order``: rank of each frequency bucket.  Of the sets of a task that share a signature only
-    the smallest id stands for it in the shuffle; the others are tied to that one by a signature
-    that no other task uses.
+    ``order``: broadcast rank of each frequency bucket.  Of the sets of a task that share a
+    signature only the smallest id stands for it in the shuffle; the others are tied to that one by
+    a signature that no other task uses.
     """
-    bits = U(len(order) - 1)
     schema = pa.schema([("sig", pa.int64()), ("sid", pa.int64())])
 
     def together(sig: np.ndarray, sid: np.ndarray, salt: int) -> pa.RecordBatch:
@@ -94,9 +232,9 @@ def _prefixes(order: np.ndarray, num: int, den: int):
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         lead = sid[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        pair = np.unique(np.stack([lead[~first], sid[~first]], 1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
+        pair = np.unique(np.stack([lead[~first], sid[~first]], 1), axis=0)
         pair = pair[pair[:, 0] != pair[:, 1]]
-        tie = mix64(pair[:, 0].astype(np.int64).view(U) ^ U(salt)).view(np.int64)
+        tie = mix64(pair[:, 0].copy().view(U) ^ U(salt)).view(np.int64)
         _, one = np.unique(tie, return_index=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([sig[first], tie, tie[one]])),
@@ -105,32 +243,16 @@ def _prefixes(order: np.ndarray, num: int, den: int):
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId() + 1
-        seen: set[int] = set()
-        sigs, sids, held, flushed = [], [], 0, 0
+        rank, sigs, sids, held, flushed = order.value, [], [], 0, 0
         for b in batches:
-            for _, _, off, h in shingle_sets(b.column(0)):
-                ids = set_ids(off, h)
-                n = np.diff(off)
-                new = np.zeros(len(n), bool)
-                for i in np.flatnonzero(n > 0):
-                    if (x := int(ids[i])) not in seen:
-                        seen.add(x)
-                        new[i] = True
-                rank = order[((h >> U(8)) & bits).astype(np.int64)].astype(U)
-                doc = np.repeat(np.arange(len(n)), n)
-                keep = new[doc]
-                h, rank, doc = h[keep], rank[keep], doc[keep]
-                # rank first, then the hash itself: one global order of all shingles
-                o = np.argsort(h, kind="stable")
-                o = o[np.argsort(rank[o], kind="stable")]
-                o = o[np.argsort(doc[o], kind="stable")]
-                size = np.bincount(doc, minlength=len(n))
-                start = np.concatenate([[0], np.cumsum(size)])[:-1]
-                place = np.arange(len(o)) - start[doc[o]]
-                take = o[place < (size - -(-size * num // den) + 1)[doc[o]]]
-                sigs.append(h[take].view(np.int64))
-                sids.append(ids[doc[take]])
-                held += len(take)
+            for sid, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = np.frombuffer(raw.as_buffer(), U)
+                take = len(h) - -(-len(h) * num // den) + 1
+                # rank first, then the hash itself (it is sorted): one global order of all shingles
+                o = np.argsort(rank[(h >> U(8)).astype(np.int64) & (len(rank) - 1)], kind="stable")[:take]
+                sigs.append(h[o].view(np.int64))
+                sids.append(np.full(take, sid, np.int64))
+                held += take
             if held >= FLUSH:
                 flushed += 1
                 yield together(np.concatenate(sigs), np.concatenate(sids), part * 1_000_003 + flushed)
@@ -141,24 +263,24 @@ def _prefixes(order: np.ndarray, num: int, den: int):
     return run
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows of ``wanted`` (doc_id, sid, extra..) with ``hashes``, the set's sorted shingles as bytes."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
-    ddl = "sid bigint, hashes binary, " + ", ".join(f"{c} {dict(wanted.dtypes)[c]}" for c in extra)
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (doc_id, sid, n) with ``hashes``, the set's sorted shingles as bytes."""
+    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "sid", "n"), "doc_id")
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             sid = np.asarray(b.column(1))
             for i, j, off, h in shingle_sets(b.column(0)):
-                # of rows with the same doc_id, the one whose text has the set
-                ok = np.flatnonzero(set_ids(off, h) == sid[i:j])
+                # of rows with the same doc_id, one whose text has the set
+                ok = [x for x in np.flatnonzero(set_ids(off, h) == sid[i:j]) if not (sid[i + x] in seen or seen.add(sid[i + x]))]
+                at = pa.array(ok, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[i:j][ok])]
-                    + [pa.array([h[off[x]: off[x + 1]].tobytes() for x in ok], pa.binary())]
-                    + [b.column(2 + c).slice(i, j - i).take(pa.array(ok, pa.int64())) for c in range(len(extra))],
-                    names=["sid", "hashes", *extra])
+                    [c.slice(i, j - i).take(at) for c in b.columns[1:]]
+                    + [pa.array([h[off[x]: off[x + 1]].tobytes() for x in ok], pa.binary())], names=["sid", "doc_id", "n", "hashes"])
 
-    return rows.select("text", "sid", *extra).mapInArrow(run, ddl)
+    # equal doc_ids meet in one partition, so ``seen`` sees all rows of a set
+    return rows.select("text", "sid", "doc_id", "n").mapInArrow(run, "sid bigint, doc_id bigint, n bigint, hashes binary")
 
 
 def groups(batches, key: str):
@@ -209,44 +331,44 @@ def _search(num: int, den: int):
     return run
 
 
-def _find(docs: DataFrame, wanted: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of the sets that ``wanted`` (doc_id, sid, task, role, label) brings together by task."""
-    sets = _sets(docs, wanted, ["task", "role", "label"])
-    return sets.repartition("task").sortWithinPartitions("task", "role").mapInArrow(_search(num, den), "a bigint, b bigint")
+def _find(sets: DataFrame, wanted: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of the sets that ``wanted`` (sid, task, role, label) brings together by task."""
+    rows = wanted.join(sets.select("sid", "hashes"), "sid")
+    return rows.repartition("task").sortWithinPartitions("task", "role").mapInArrow(_search(num, den), "a bigint, b bigint")
 
 
-def _cut(sets: DataFrame, mass: int, most: int) -> DataFrame:
+def _cut(members: DataFrame, mass: int, most: int) -> DataFrame:
     """Add chunk and chunks: clusters above the limits are dealt by a hash of the set id."""
-    size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / mass), F.ceil(F.count(F.lit(1)) / most)).cast("bigint").alias("chunks"))
-    return sets.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("chunks")))
+    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / mass), F.ceil(F.count(F.lit(1)) / most)).cast("bigint").alias("chunks"))
+    return members.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("chunks")))
 
 
-def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
     """Sets with ``label``: the component so far."""
     comp = components(links)
-    out = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+    out = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
     return out.withColumn("label", F.coalesce("component", "sid")).drop("component")
 
 
-def links_in_clusters(docs: DataFrame, sets: DataFrame, num: int, den: int, mass: int = MASS, most: int = SETS) -> DataFrame:
-    """Links that connect all sets of a cluster (doc_id, sid, n, cluster) that links connect."""
-    cut = cut_lineage(_cut(sets, mass, most))
+def links_in_clusters(sets: DataFrame, members: DataFrame, num: int, den: int, mass: int = MASS, most: int = SETS) -> DataFrame:
+    """Links that connect all sets of a cluster (``members``: sid, n, cluster) that links connect."""
+    cut = cut_lineage(_cut(members, mass, most))
     task = F.xxhash64("cluster", "chunk")
-    plain = cut.select("doc_id", "sid", task.alias("task"), F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("label"))
-    links = cut_lineage(_find(docs, plain, num, den))
-    big = cut.filter("chunks > 1").select("doc_id", "sid", "n", "cluster")
+    plain = cut.select("sid", task.alias("task"), F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("label"))
+    links = cut_lineage(_find(sets, plain, num, den))
+    big = cut.filter("chunks > 1").select("sid", "n", "cluster")
     if big.isEmpty():
         return links
     # the roots of the chunks' components, until they fit one chunk or no more of them join
     while True:
         now = cut_lineage(_labels(big, links))
-        roots = now.filter("sid = label").select("doc_id", "sid", "n", "cluster")
+        roots = now.filter("sid = label").select("sid", "n", "cluster")
         many = roots.groupBy("cluster").count().filter("count > 1").select("cluster")
         level = cut_lineage(_cut(roots.join(many, "cluster", "left_semi"), mass, most))
         if level.isEmpty():
             return links
-        new = cut_lineage(_find(docs, level.select(
-            "doc_id", "sid", F.xxhash64("cluster", "chunk").alias("task"), F.lit(0).alias("role"),
+        new = cut_lineage(_find(sets, level.select(
+            "sid", F.xxhash64("cluster", "chunk").alias("task"), F.lit(0).alias("role"),
             F.lit(0).cast("bigint").alias("label")), num, den))
         found = not new.isEmpty()
         links = cut_lineage(links.unionByName(new)) if found else links
@@ -261,14 +383,14 @@ def links_in_clusters(docs: DataFrame, sets: DataFrame, num: int, den: int, mass
     if asks.isEmpty():
         return links
     ask_parts = _cut(asks.drop("chunk", "chunks"), mass, most).select(
-        "cluster", "sid", "doc_id", "label", F.col("chunk").alias("part"), F.col("chunks").alias("parts_"))
+        "cluster", "sid", "label", F.col("chunk").alias("part"), F.col("chunks").alias("parts_"))
     span = now.groupBy("cluster").agg(F.max("chunks").alias("chunks"))
     queries = (ask_parts.join(span, "cluster").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-               .select("doc_id", "sid", F.xxhash64("cluster", "chunk", "part").alias("task"), F.lit(2).alias("role"), "label"))
+               .select("sid", F.xxhash64("cluster", "chunk", "part").alias("task"), F.lit(2).alias("role"), "label"))
     per = ask_parts.groupBy("cluster").agg(F.max("parts_").alias("parts_"))
     marks = (now.join(per, "cluster").withColumn("part", F.explode(F.expr("sequence(0L, parts_ - 1)")))
-             .select("doc_id", "sid", F.xxhash64("cluster", "chunk", "part").alias("task"), F.lit(1).alias("role"), "label"))
-    return cut_lineage(links.unionByName(_find(docs, marks.unionByName(queries), num, den)))
+             .select("sid", F.xxhash64("cluster", "chunk", "part").alias("task"), F.lit(1).alias("role"), "label"))
+    return cut_lineage(links.unionByName(_find(sets, marks.unionByName(queries), num, den)))
 
 
 def clusters_of(signatures: DataFrame) -> DataFrame:
@@ -279,14 +401,18 @@ def clusters_of(signatures: DataFrame) -> DataFrame:
     return components(pairs).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
 
-def grouped(docs: DataFrame, rows: DataFrame, near: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS,
-            most: int = SETS) -> DataFrame:
+def first_rows(rows: DataFrame) -> DataFrame:
+    """(sid, doc_id, n): the smallest doc_id of every set."""
+    return (rows.filter("doc_id is not null and n > 0").groupBy("sid")
+            .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+
+
+def grouped(rows: DataFrame, reps: DataFrame, sets: DataFrame, near: DataFrame, num: int = NUM, den: int = DEN,
+            mass: int = MASS, most: int = SETS) -> DataFrame:
     """Per row of ``rows`` (doc_id, n, sid): its component by the links inside the clusters ``near`` (sid, cluster)."""
-    reps = rows.filter("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    reps = cut_lineage(reps)
-    links = links_in_clusters(docs, reps.join(near, "sid"), num, den, mass, most)
-    comp = components(links)
-    named = reps.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
+    links = links_in_clusters(sets, sets.select("sid", "n").join(near, "sid"), num, den, mass, most)
+    comp = components(links).withColumnRenamed("node", "sid")
+    named = reps.join(comp, "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("sid", "root").join(least, "root").select("sid", "component_id")
     out = rows.join(named, "sid", "left")
@@ -295,22 +421,14 @@ def grouped(docs: DataFrame, rows: DataFrame, near: DataFrame, num: int = NUM, d
                       .otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid) of every row, without the corpus frequencies."""
-    return (docs.select("doc_id", "text").mapInArrow(_facts(1), "kind tinyint, doc_id bigint, n bigint, sid bigint")
-            .filter("kind = 0").select("doc_id", "n", "sid"))
-
-
 def join_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS, most: int = SETS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    buckets = frequency_buckets(docs.select("doc_id").count())
-    facts = cut_lineage(docs.mapInArrow(_facts(buckets), "kind tinyint, doc_id bigint, n bigint, sid bigint"))
-    freq = facts.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    count = np.zeros(buckets, np.int64)
-    for b in freq.toArrow().to_batches():
-        count[np.asarray(b.column(0))] = np.asarray(b.column(1))
-    order = np.unique(count, return_inverse=True)[1].astype(np.int32)
-    sigs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(order, num, den), "sig bigint, sid bigint")
-    rows = facts.filter("kind = 0").select("doc_id", "n", "sid")
-    return grouped(docs, rows, clusters_of(sigs), num, den, mass, most)
+    rows = cut_lineage(set_rows(docs))
+    reps = cut_lineage(first_rows(rows))
+    may = reps.join(shared(docs), "sid").filter(F.col("shared") * den >= F.col("n") * num)
+    sets = cut_lineage(sets_of(docs, may))
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    order = docs.sparkSession.sparkContext.broadcast(bucket_ranks(sets, size))
+    near = clusters_of(sets.select("sid", "hashes").mapInArrow(_prefixes(order, num, den), "sig bigint, sid bigint"))
+    return grouped(rows, reps, sets, near, num, den, mass, most)
