@@ -33,9 +33,13 @@ FILTERS = 8
 PREFIX = 4
 SAMPLE = 4000
 TRAIN_CHARS = 30_000
-EPOCHS = 8
+#: Passes over the sample: as many as make ``STEPS`` batches, within these limits.
+EPOCHS = (8, 40)
+STEPS = 1200
 #: Calibration rows of either label that a threshold of its own takes.
 LEAST_TOXIC = 20
+#: Calibration moves a threshold within these limits.
+LIMITS = (0.4, 0.6)
 BATCH = 32
 RATE = 0.02
 SEED = 9
@@ -71,12 +75,16 @@ class Model:
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.5).astype(np.float32)
         self.out_bias = np.float32(0)
 
-    def _conv(self, x: np.ndarray, i: int) -> np.ndarray:
-        """Filter values at every position; positions past the end count as empty."""
+    def _conv(self, x: np.ndarray, i: int, pad: np.ndarray) -> np.ndarray:
+        """Filter values of the windows that start at every position; at padding just the bias.
+
+        A window from a text's last word ends in its own padding, so none reaches the next text.
+        """
         k = self.filters[i]
         y = x @ k[0]
         for j in range(1, WIDTHS[i]):
             y[:-j] += x[j:] @ k[j]
+        y[pad] = 0
         return y + self.bias[i]
 
     def scores(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -92,12 +100,13 @@ class Model:
             x = self.table[block[:, 0]]
             x += self.table[block[:, 1]]
             x += self.table[block[:, 2]]
+            pad = block[:, 0] == ROWS
             lo = int(np.searchsorted(off, s, side="right")) - 1
             cut = off[lo:int(np.searchsorted(off, e, side="left"))]
             cut = np.maximum(cut, s)
             rows = np.arange(lo, lo + len(cut))
             for i in range(len(WIDTHS)):
-                best = np.maximum.reduceat(self._conv(x, i)[: e - s], cut - s, axis=0)
+                best = np.maximum.reduceat(self._conv(x, i, pad)[: e - s], cut - s, axis=0)
                 f = slice(i * FILTERS, (i + 1) * FILTERS)
                 pooled[rows, f] = np.maximum(pooled[rows, f], best)
         z = np.maximum(pooled, 0) @ self.out + self.out_bias
@@ -109,16 +118,18 @@ class Model:
         sums = {"table": np.full(self.table.shape, 1e-6, np.float32), "out": np.full(self.out.shape, 1e-6), "ob": 1e-6}
         f_sums = [(np.full(k.shape, 1e-6), np.full(FILTERS, 1e-6)) for k in self.filters]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        for _ in range(EPOCHS):
+        batches = -(-len(docs) // BATCH)
+        for _ in range(min(EPOCHS[1], max(EPOCHS[0], STEPS // max(1, batches)))):
             order = rng.permutation(len(docs))
             for s in range(0, len(order), BATCH):
                 pick = order[s: s + BATCH]
                 ids = np.concatenate([docs[i] for i in pick])
                 off = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
                 x = self.table[ids].sum(1)
+                pad = ids[:, 0] == ROWS
                 pooled, where = [], []
                 for i in range(len(WIDTHS)):
-                    c = self._conv(x, i)
+                    c = self._conv(x, i, pad)
                     at = np.stack([c[a:b].argmax(0) + a for a, b in zip(off[:-1], off[1:], strict=True)])
                     where.append(at)
                     pooled.append(c[at, np.arange(FILTERS)])
@@ -131,11 +142,12 @@ class Model:
                 rows, grads = [], []
                 for i, w in enumerate(WIDTHS):
                     gi = g_act[:, i * FILTERS: (i + 1) * FILTERS]
+                    g_word = gi * ~pad[where[i]]
                     gk = np.zeros_like(self.filters[i])
                     for j in range(w):
                         at = np.minimum(where[i] + j, len(x) - 1)
-                        gk[j] = np.einsum("bfd,bf->df", x[at], gi)
-                        gx = gi[:, :, None] * self.filters[i][j].T[None]
+                        gk[j] = np.einsum("bfd,bf->df", x[at], g_word)
+                        gx = g_word[:, :, None] * self.filters[i][j].T[None]
                         rows.append(ids[at].reshape(-1))
                         grads.append(np.repeat(gx.reshape(-1, DIM), 3, axis=0))
                     self._step(self.filters[i], gk, f_sums[i][0])
@@ -197,7 +209,7 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float | None:
     f1[s == low] = -1  # no threshold lies between equal scores
     at = int(np.argmax(f1))
     gap = (s[at] - low[at]) * 0.05
-    return float(np.clip(0.5, low[at] + gap, s[at] - gap))
+    return float(np.clip(np.clip(0.5, low[at] + gap, s[at] - gap), *LIMITS))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[Model, dict, float]:
