@@ -23,9 +23,8 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# sklearn "max_depth=None" has no Spark equivalent (Spark caps trees at depth 30 and
-# grows them level by level); a bounded default keeps the per-level histograms small.
-DEEP = 16
+# trees "without limit": Spark ML grows no tree deeper than 30 levels, an engine limit
+DEEP = 30
 
 
 def _label_stats(df, label):
@@ -537,18 +536,23 @@ class MiniBatchKMeans(Estimator):
         arr = vector_to_array(F.col(self.fc))
         n = df.count()
         p = df.select(F.size(arr)).first()[0]
-        h = F.xxhash64(F.lit(self.seed), F.to_json(arr))
-        init = df.orderBy(h).limit(self.k).select(arr.alias("a")).collect()   # k rows
-        C = np.array([r["a"] for r in init], float)
+        # distinct points with counts: equal points neither fill the first centres nor share one batch
+        points = df.groupBy(arr.alias("__a")).agg(F.count(F.lit(1)).alias("__n"))
+        h = F.xxhash64(F.lit(self.seed), F.to_json(F.col("__a")))
+        init = points.orderBy(h, F.to_json(F.col("__a"))).limit(self.k).select("__a").collect()   # k rows
+        C = np.array([r["__a"] for r in init], float)
         counts = np.zeros(len(C))
         frac = min(1.0, self.b / max(1, n))
         buckets = max(1, int(round(1 / frac)))
-        keyed = df.select(arr.alias("__a"), F.pmod(h, F.lit(buckets)).alias("__b")).persist()
+        keyed = points.withColumn("__b", F.pmod(h, F.lit(buckets))).persist()
         for it in range(self.iters):
-            batch = keyed.where(F.col("__b") == it % buckets)
+            # a point's copies are dealt evenly to the batches, the odd ones from its own batch on
+            turn = F.pmod(F.lit(it % buckets) - F.col("__b"), F.lit(buckets))
+            share = F.floor(F.col("__n") / buckets) + (turn < F.col("__n") % buckets).cast("int")
+            batch = keyed.withColumn("__m", share).where("__m > 0")
             assign = _nearest(C)
-            stats = batch.select(assign("__a").alias("__c"), "__a").groupBy("__c").agg(
-                F.count(F.lit(1)).alias("m"), *[F.sum(F.col("__a")[i]).alias(f"s{i}") for i in range(p)]).collect()
+            stats = batch.select(assign("__a").alias("__c"), "__a", "__m").groupBy("__c").agg(
+                F.sum("__m").alias("m"), *[F.sum(F.col("__a")[i] * F.col("__m")).alias(f"s{i}") for i in range(p)]).collect()
             for r in stats:
                 j = r["__c"]
                 counts[j] += r["m"]
@@ -607,9 +611,11 @@ def rfe_ranking(df: DataFrame, feats, target, k: int, task: str) -> DataFrame:
 
 # ------------------------------------------------------------------ k-medoids (A25, CLARA)
 
-def _pam(P: np.ndarray, k: int, max_iter: int = 100) -> np.ndarray:
-    """PAM (BUILD + SWAP) on a small point set; returns medoid indices."""
+def _pam(P: np.ndarray, k: int, weight: np.ndarray | None = None, max_iter: int = 100) -> np.ndarray:
+    """PAM (BUILD + SWAP) on a small set of weighted points; returns medoid indices."""
     D = np.sqrt(((P[:, None, :] - P[None, :, :]) ** 2).sum(-1))
+    if weight is not None:
+        D = D * weight[:, None]
     med = [int(np.argmin(D.sum(axis=1)))]
     while len(med) < min(k, len(P)):
         dmin = D[:, med].min(axis=1)
@@ -633,9 +639,10 @@ def _pam(P: np.ndarray, k: int, max_iter: int = 100) -> np.ndarray:
 
 
 class KMedoids(Estimator):
-    """A25 via CLARA (Kaufman & Rousseeuw): PAM on ``n_samples`` hash-chosen samples of size
-    40 + 2k; each candidate medoid set is scored on the full table by one Spark aggregate
-    (sum of distances to the nearest medoid); the cheapest set wins."""
+    """A25 via CLARA (Kaufman & Rousseeuw): PAM on ``n_samples`` hash-chosen samples of ``sample_size``
+    distinct points, weighted by their copies (default 40 + 2k, the authors' figure); each
+    candidate medoid set is scored on the full table by one Spark aggregate (sum of distances to
+    the nearest medoid); the cheapest set wins."""
 
     def __init__(self, featuresCol="features", k=8, n_samples=5, sample_size=None, seed=42):
         super().__init__()
@@ -644,15 +651,15 @@ class KMedoids(Estimator):
     def _fit(self, df):
         arr = vector_to_array(F.col(self.fc))
         size = self.size or 40 + 2 * self.k
-        base = df.select(arr.alias("__a")).persist()
+        base = df.groupBy(arr.alias("__a")).agg(F.count(F.lit(1)).alias("__n")).persist()
         best, best_cost = None, None
         for s in range(self.ns):
             pts = base.orderBy(F.xxhash64(F.lit(self.seed), F.lit(s), F.to_json("__a"))).limit(size).collect()
             P = np.array([r["__a"] for r in pts], float)              # sample-sized, on the driver
-            M = P[_pam(P, self.k)]
+            M = P[_pam(P, self.k, np.array([r["__n"] for r in pts], float))]
             dist = [F.sqrt(sum(((F.col("__a")[i] - F.lit(float(m[i]))) ** 2 for i in range(len(m))), F.lit(0.0)))
                     for m in M]
-            cost = base.agg(F.sum(F.array_min(F.array(*dist)))).first()[0]
+            cost = base.agg(F.sum(F.array_min(F.array(*dist)) * F.col("__n"))).first()[0]
             if best_cost is None or cost < best_cost:
                 best, best_cost = M, cost
         base.unpersist()

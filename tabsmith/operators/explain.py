@@ -79,16 +79,27 @@ def linear_shap(df: DataFrame, coef: dict, keys, means: dict | None = None) -> D
     return df.select(*[c(k) for k in keys], F.inline(F.array(*structs)))
 
 
-def top_drivers(shap_long: DataFrame, keys, k: int = 8) -> DataFrame:
-    """Per row the k largest |value| contributions, at most k/2 up and k/2 down.
+def top_drivers(df: DataFrame, coef: dict, keys, k: int = 8, means: dict | None = None) -> DataFrame:
+    """Of a row's k largest |contributions|, at most k/2 that push up (> 0) and k/2 that push down (< 0).
 
-    The window is per row (p entries), never over the table.
+    Contributions are ranked inside the row's own array: ``keys`` only label the output, need not
+    identify rows, and nothing is shuffled.
     """
-    w = Window.partitionBy(*keys).orderBy(F.abs("shap").desc(), "feature")
-    ws = Window.partitionBy(*keys, F.signum("shap")).orderBy(F.abs("shap").desc(), "feature")
-    r = shap_long.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    r = r.withColumn("__rs", F.row_number().over(ws)).where(F.col("__rs") <= k // 2)
-    return r.select(*keys, "feature", "shap", F.when(F.col("shap") >= 0, "up").otherwise("down").alias("direction"))
+    feats = list(coef)
+    if means is None:
+        r = df.agg(*[F.avg(c(f)).alias(f) for f in feats]).first()
+        means = {f: r[f] for f in feats}
+    parts = []
+    for f in feats:
+        v = F.lit(float(coef[f])) * (c(f) - F.lit(float(means[f])))
+        parts.append(F.struct((-F.abs(v)).alias("rank"), F.lit(f).alias("feature"), v.alias("shap")))
+    top = F.slice(F.array_sort(F.filter(F.array(*parts), lambda s: s["shap"].isNotNull())), 1, k)
+    half = max(1, k // 2)
+    def side(name, keep):
+        return F.transform(F.slice(F.filter(F.col("__top"), keep), 1, half),
+                           lambda s: F.struct(s["feature"].alias("feature"), s["shap"].alias("shap"), F.lit(name).alias("direction")))
+    both = F.concat(side("up", lambda s: s["shap"] > 0), side("down", lambda s: s["shap"] < 0))
+    return df.select(*[c(x) for x in keys], top.alias("__top")).select(*keys, F.inline(both))
 
 
 # ------------------------------------------------------------------ X5 / X6 partial dependence
@@ -151,29 +162,26 @@ def ale(df: DataFrame, scorer: Scorer, feature: str, bins: int = 10) -> DataFram
 
 # ------------------------------------------------------------------ X10 what-if sensitivity
 
-def what_if(df: DataFrame, scorer: Scorer, keys, features=None, max_features: int = 25) -> DataFrame:
+def what_if(df: DataFrame, scorer: Scorer, keys, features=None) -> DataFrame:
     """Per row and feature, the prediction at x_j - / + one sample std (ddof 1), with the base.
 
-    Every row expands to 1 + 2p variants that are scored together and
-    folded back by ``groupBy`` on the row key (keys must identify a row).
+    A row expands to one row per feature, which is scored three times on derived columns (below,
+    above, as it is): nothing is shuffled and rows need no key; ``keys`` only label the output.
     """
-    feats = list(features or scorer.features)[:max_features]
+    feats = list(features or scorer.features)
     sd = df.agg(*[F.stddev_samp(c(f)).alias(f) for f in feats]).first()
-    variants = [F.struct(F.lit("__base").alias("feature"), F.lit(0).alias("dir"))]
-    variants += [F.struct(F.lit(f).alias("feature"), F.lit(d).alias("dir")) for f in feats for d in (-1, 1)]
-    ex = df.select(F.struct(*[c(k) for k in keys]).alias("__key"), *[c(f) for f in scorer.features],
-                   F.inline(F.array(*variants)))
-    for f in feats:
-        s_ = float(sd[f] or 0.0)
-        ex = ex.withColumn(f, F.when(F.col("feature") == f, c(f) + F.col("dir") * F.lit(s_)).otherwise(c(f)))
-    sc = scorer(ex)
-    pick = lambda f, d: F.max(F.when((F.col("feature") == f) & (F.col("dir") == d), F.col("prediction")))
-    wide = sc.groupBy("__key").agg(pick("__base", 0).alias("base"),
-                                   *[pick(f, -1).alias(f"m{i}") for i, f in enumerate(feats)],
-                                   *[pick(f, 1).alias(f"p{i}") for i, f in enumerate(feats)])
-    per = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("minus"), F.col(f"p{i}").alias("plus"))
-                    for i, f in enumerate(feats)])
-    return wide.select("__key.*", F.inline(per), "base")
+    label = [f"__k{i}" for i in range(len(keys))]
+    held = {f: f"__x{i}" for i, f in enumerate(scorer.features)}
+    steps = F.array(*[F.struct(F.lit(f).alias("__f"), F.lit(float(sd[f] or 0.0)).alias("__s")) for f in feats])
+    cur = df.select(*[c(k).alias(a) for k, a in zip(keys, label)], *[c(f).alias(a) for f, a in held.items()], F.inline(steps))
+    keep = [*label, *held.values(), "__f", "__s"]
+    for name, sign in (("__minus", -1), ("__plus", 1), ("__base", 0)):
+        inputs = [(F.when(F.col("__f") == f, F.col(a) + sign * F.col("__s")).otherwise(F.col(a)) if sign and f in feats
+                   else F.col(a)).alias(f) for f, a in held.items()]
+        cur = scorer(cur.select(*keep, *inputs)).withColumnRenamed("prediction", name).select(*keep, name)
+        keep.append(name)
+    return cur.select(*[F.col(a).alias(k) for k, a in zip(keys, label)], F.col("__f").alias("feature"),
+                      F.col("__minus").alias("minus"), F.col("__plus").alias("plus"), F.col("__base").alias("base"))
 
 
 # ------------------------------------------------------------------ X11, X12, X17

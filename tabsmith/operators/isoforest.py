@@ -44,8 +44,11 @@ def fit_isolation_forest(df: DataFrame, cols, p: dict) -> dict:
         return {"trees": [], "cols": cols, "threshold": None}
     psi = min(SAMPLE, n)
     rate = min(1.0, 3.0 * psi / n)
-    key = F.xxhash64(*[F.col(f"f{i}") for i in range(len(cols))], F.monotonically_increasing_id())
-    keyed = X.withColumn("__k", key)
+    # a row's key is its content and its number among equal rows: no dependence on partitions
+    fs = [f"f{i}" for i in range(len(cols))]
+    few = X.groupBy(*fs).agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", F.explode(F.expr("sequence(0L, (__n - 1) div 4096L)")))
+    each = few.withColumn("__o", F.explode(F.expr("sequence(__c * 4096L, least(__n, (__c + 1) * 4096L) - 1)")))
+    keyed = each.withColumn("__k", F.xxhash64(*fs, "__o"))
     h = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("__k")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     trees_of = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                                     lambda t: F.struct(t.alias("t"), h(t).alias("u"))), lambda s: s["u"] < rate)
@@ -55,7 +58,7 @@ def fit_isolation_forest(df: DataFrame, cols, p: dict) -> dict:
     m = len(cols)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("u").head(psi)
+        pdf = pdf.sort_values(["u", *[f"f{i}" for i in range(m)]]).head(psi)
         t = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed * 100003 + t)
         Xs = pdf[[f"f{i}" for i in range(m)]].to_numpy(float)

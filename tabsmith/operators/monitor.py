@@ -24,11 +24,11 @@ def _finite_long(df, cols):
     return lv.where(~F.isnan("value") & (F.abs("value") < float("inf")))
 
 
-def psi(baseline: DataFrame, current: DataFrame, columns=None, bins: int = BINS, max_columns: int | None = 40) -> DataFrame:
+def psi(baseline: DataFrame, current: DataFrame, columns=None, bins: int = BINS, max_columns: int | None = None) -> DataFrame:
     """PSI per common numeric column: ``(column, psi, flag)``; null when a side has < 10 values.
 
-    ``max_columns`` keeps the first 40 common columns like the reference's
-    report; pass None for all.
+    All common columns are reported, a column without finite baseline values with a null;
+    ``max_columns`` keeps only the first so many.
     """
     if columns is None:
         bnum = [f.name for f in baseline.schema.fields if is_numeric(f.dataType)]
@@ -73,8 +73,9 @@ def psi(baseline: DataFrame, current: DataFrame, columns=None, bins: int = BINS,
     pa = F.least(F.greatest(F.col("a") / F.greatest(F.col("ta"), F.lit(1.0)), F.lit(1e-6)), F.lit(1.0))
     pb = F.least(F.greatest(F.col("b") / F.greatest(F.col("tb"), F.lit(1.0)), F.lit(1e-6)), F.lit(1.0))
     s = j.groupBy("column").agg(F.sum((pb - pa) * F.log(pb / pa)).alias("psi"))
-    out = (s.join(nb, "column").join(nc, "column", "left")
-           .select("column", F.when((F.col("nb_all") >= 10) & (F.coalesce(F.col("nc_all"), F.lit(0)) >= 10),
+    s = spark.createDataFrame([(x,) for x in columns], "column string").join(s, "column", "left")
+    out = (s.join(nb, "column", "left").join(nc, "column", "left")
+           .select("column", F.when((F.coalesce(F.col("nb_all"), F.lit(0)) >= 10) & (F.coalesce(F.col("nc_all"), F.lit(0)) >= 10),
                                     F.col("psi")).alias("psi")))
     flag = F.when(F.col("psi") >= 0.25, "ALERT").when(F.col("psi") >= 0.1, "WARN").otherwise("")
     return out.withColumn("flag", flag)

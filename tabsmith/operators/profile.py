@@ -384,11 +384,12 @@ def smart_plan(stats_rows, target: str | None = None, task: str | None = None) -
     missing = [r["column"] for r in stats_rows if r["missing_pct"] > 0]
     if missing:
         steps.append({"name": "impute", "operation": "impute",
-                      "params": {"columns": [], "strategy": "median"}})
+                      "params": {"columns": [], "strategy": "mean"}})
     cats = [r["column"] for r in stats_rows if r["is_string"] and r["column"] != target]
     if cats:
         steps.append({"name": "encode", "operation": "encode",
-                      "params": {"columns": [], "method": "onehot", "max_categories": 50, "target": target}})
+                      "params": {"columns": [], "method": "onehot", "max_categories": 50,
+                                 "handle_unknown": "ignore", "target": target}})
     nums = [r["column"] for r in stats_rows if r["is_numeric"] and r["column"] != target]
     if nums:
         steps.append({"name": "scale", "operation": "scale",

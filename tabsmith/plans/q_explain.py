@@ -35,18 +35,29 @@ def q_shap(spark, sf):
     return rnd(X.linear_shap(_li(spark, sf), COEF, KEYS), {"shap": 4})
 
 
-@register("explain_top_drivers", f"""WITH s AS ({' UNION ALL '.join(
-    f"SELECT l_orderkey, l_linenumber, '{f}' AS feature, {w} * ({f} - (SELECT avg({f}) FROM lineitem)) AS shap FROM lineitem"
-    for f, w in COEF.items())}),
- r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(shap) DESC, feature) AS r1 FROM s),
- r2 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, sign(shap) ORDER BY abs(shap) DESC, feature) AS r2
-        FROM r WHERE r1 <= 2)
-SELECT l_orderkey, l_linenumber, feature, round(shap, 4) AS shap, CASE WHEN shap >= 0 THEN 'up' ELSE 'down' END AS direction
-FROM r2 WHERE r2 <= 1""")
+def _drivers_sql(k: int) -> str:
+    """Top drivers ranked per line (``rid``): several lines share (l_orderkey, l_linenumber)."""
+    parts = " UNION ALL ".join(
+        f"SELECT rid, l_orderkey, l_linenumber, '{f}' AS feature, {w} * ({f} - (SELECT avg({f}) FROM lineitem)) AS shap FROM l"
+        for f, w in COEF.items())
+    return f"""WITH l AS (SELECT row_number() OVER () AS rid, * FROM lineitem), s AS ({parts}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(shap) DESC, feature) AS r1 FROM s),
+ r2 AS (SELECT *, row_number() OVER (PARTITION BY rid, sign(shap) ORDER BY abs(shap) DESC, feature) AS r2
+        FROM r WHERE r1 <= {k})
+SELECT l_orderkey, l_linenumber, feature, round(shap, 4) AS shap, CASE WHEN shap > 0 THEN 'up' ELSE 'down' END AS direction
+FROM r2 WHERE r2 <= {k // 2} AND shap <> 0"""
+
+
+@register("explain_top_drivers", _drivers_sql(8))
 def q_drivers(spark, sf):
+    """Per row the 8 largest contributions, at most 4 up and 4 down."""
+    return rnd(X.top_drivers(_li(spark, sf), COEF, KEYS), {"shap": 4})
+
+
+@register("explain_top_drivers_k2", _drivers_sql(2))
+def q_drivers_2(spark, sf):
     """Per row the 2 largest contributions, at most 1 up and 1 down."""
-    out = X.top_drivers(X.linear_shap(_li(spark, sf), COEF, KEYS), KEYS, k=2)
-    return rnd(out, {"shap": 4})
+    return rnd(X.top_drivers(_li(spark, sf), COEF, KEYS, k=2), {"shap": 4})
 
 
 def _grid_sql(col, n):
@@ -96,9 +107,28 @@ SELECT l_orderkey, l_linenumber, f.feature,
 FROM lineitem, s, (SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature) f""")
 def q_what_if(spark, sf):
     """Prediction at x -/+ 1 std for two features, per row."""
-    li = table(spark, sf, "lineitem")          # all columns together identify a row (no duplicate rows)
-    out = X.what_if(li, _reg_scorer(), li.columns, ["l_quantity", "l_extendedprice"])
-    return rnd(out.select(*KEYS, "feature", "minus", "plus", "base"), {"minus": 4, "plus": 4, "base": 4})
+    out = X.what_if(_li(spark, sf), _reg_scorer(), KEYS, ["l_quantity", "l_extendedprice"])
+    return rnd(out, {"minus": 4, "plus": 4, "base": 4})
+
+
+WIDE = 30
+
+
+def _wide_rule() -> str:
+    return " + ".join(f"{i + 1} * f{i}" for i in range(WIDE))
+
+
+@register("explain_what_if_wide", f"""WITH w AS (SELECT l_orderkey, l_linenumber, {', '.join(f'l_quantity + {i} * l_tax AS f{i}' for i in range(WIDE))} FROM lineitem),
+ s AS (SELECT {', '.join(f'stddev_samp(f{i}) AS s{i}' for i in range(WIDE))} FROM w),
+ b AS (SELECT l_orderkey, l_linenumber, {_wide_rule()} AS base, s.* FROM w, s)
+""" + " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, 'f{i}' AS feature, round(base - {i + 1} * s{i}, 4) AS minus, round(base + {i + 1} * s{i}, 4) AS plus FROM b"
+                         for i in range(WIDE)))
+def q_what_if_wide(spark, sf):
+    """X10 over 30 features: none is left out."""
+    li = table(spark, sf, "lineitem")
+    wide = li.select(*KEYS, *[(F.col("l_quantity") + i * F.col("l_tax")).alias(f"f{i}") for i in range(WIDE)])
+    out = X.what_if(wide, X.Scorer.sql(_wide_rule(), [f"f{i}" for i in range(WIDE)]), KEYS)
+    return rnd(out.select(*KEYS, "feature", "minus", "plus"), {"minus": 4, "plus": 4})
 
 
 @register("explain_error_analysis", f"""SELECT 'rule' AS model, count(*) FILTER (WHERE label <> prediction) AS misclassified,

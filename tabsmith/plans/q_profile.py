@@ -274,7 +274,20 @@ def q_target_samples(spark, sf):
     return P.target_samples(table(spark, sf, "orders"), "o_orderpriority", 3)
 
 
-@register("recommended_steps")
+_PLANS = [  # (plan, step, operation, params, needs missing values), by hand from the documented rules
+    ("profile", 0, "impute", '{"columns": [], "strategy": "mean"}', True),
+    ("profile", 1, "encode", '{"columns": [], "method": "onehot"}', False),
+    ("profile", 2, "scale", '{"columns": [], "method": "standard"}', False),
+    ("smart", 0, "impute", '{"columns": [], "strategy": "mean"}', True),
+    ("smart", 1, "encode", '{"columns": [], "handle_unknown": "ignore", "max_categories": 50, "method": "onehot", "target": "l_returnflag"}', False),
+    ("smart", 2, "scale", '{"columns": [], "method": "standard", "scope": "exclude_binary", "target": "l_returnflag"}', False),
+    ("smart", 3, "outliers", '{"method": "iqr", "multiplier": 1.5, "target": "l_returnflag"}', False)]
+
+
+@register("recommended_steps", "WITH t AS " + LINEITEM_NULLS_SQL + ", m AS (SELECT count(*) AS gaps FROM t WHERE "
+          + " OR ".join(f"{n} IS NULL" for n, _ in LINEITEM_COLUMNS) + ")\n" + "\nUNION ALL\n".join(
+              f"SELECT '{plan}' AS plan, {step} AS step, '{op}' AS operation, '{params}' AS params FROM m"
+              + (" WHERE gaps > 0" if gaps else "") for plan, step, op, params, gaps in _PLANS))
 def q_recommended(spark, sf):
     """PR16 / PR17: recommended and smart preprocessing plans from the column profile."""
     import json

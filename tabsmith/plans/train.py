@@ -134,8 +134,9 @@ def search_space(defaults: dict, bounds: dict | None = None) -> dict:
         elif isinstance(v, (int, float)):
             lo, hi = bounds.get(k, (None, None))
             cand = sorted({v / 2 if isinstance(v, float) else max(1, v // 2), v, v * 2})
-            cand = [c_ for c_ in cand if (lo is None or c_ >= lo) and (hi is None or c_ <= hi)]
-            out[k] = [type(v)(c_) for c_ in cand] or [v]
+            cand = {v, *(c_ if lo is None else max(lo, c_) for c_ in cand if c_ < v),
+                    *(c_ if hi is None else min(hi, c_) for c_ in cand if c_ > v)}
+            out[k] = sorted(type(v)(c_) for c_ in cand)
         else:
             out[k] = [v]
     return out
