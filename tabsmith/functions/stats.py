@@ -6,10 +6,9 @@
   single-task window: range-partition, local window per partition, then a
   tiny per-partition offset table (bounded by partitions x groups).
 * :func:`quantiles` -- exact interpolated quantiles (NumPy "linear" /
-  DuckDB ``quantile_cont`` / Spark ``percentile``).  Columns whose number of
-  distinct values is below ``map_limit`` use Spark's ``percentile`` with a
-  frequency argument on the distinct table (its value->count map is bounded by
-  that limit); larger columns go through :func:`prefix_sum` rank selection.
+  DuckDB ``quantile_cont`` / Spark ``percentile``): approximate percentiles bracket
+  every quantile, a second scan counts what lies below and inside the bracket, and
+  the exact ranks are picked from the few values inside.  No data is shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from pyspark.sql.window import Window
 from tabsmith.functions.columns import c, q
 from tabsmith.session import cut_lineage
 
-# Largest number of distinct values per column for which Spark's exact
-# ``percentile`` map is used directly (memory per column ~ 32 B x limit).
-PERCENTILE_MAP_LIMIT = 2_000_000
+# relative rank error of the bracketing percentiles is 1 / ACCURACY
+ACCURACY = 10_000
+# most rows inside a bracket that are brought together; above, the bracket is narrowed first
+SLIVER = 1_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -37,6 +37,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df               # a shuffled input is spread already; asking it would run its stages
     if df.rdd.getNumPartitions() * 2 <= slots:
         return df.repartition(slots)
     return df
@@ -97,82 +99,101 @@ def prefix_sum(df: DataFrame, group, order: str, weight: str | None = None,
     return res.withColumn(out, F.col("__off") + F.col("__local")).drop("__pid", "__off", "__local", "__w")
 
 
-def quantiles(df: DataFrame, columns, probs, map_limit: int | None = None,
-              approx: bool = False, accuracy: int = 100000, counts: DataFrame | None = None) -> DataFrame:
-    """Exact interpolated quantiles -> DataFrame ``(column, prob, value)``.
+def _inside(v, lo, hi):
+    return (v >= F.lit(lo)) & (v <= F.lit(hi))
 
-    ``approx=True`` uses ``percentile_approx`` (one pass, bounded sketch).
+
+def quantile_dict(df: DataFrame, columns, probs, approx: bool = False, finite: bool = False,
+                  accuracy: int = ACCURACY, sliver: int = SLIVER) -> dict:
+    """Exact interpolated quantiles ``{column: [value per prob]}``; None for columns without values.
+
+    ``finite`` leaves NaN and infinities out (else NaN is the greatest value).  ``approx`` stops after the
+    bracketing scan.  Scans: approximate percentiles around every wanted rank; counts below and
+    inside each bracket; the distinct values inside, with counts.  A bracket with more than ``sliver``
+    rows is narrowed by further percentiles of its own rows before they are brought together.
     """
-    columns = list(columns)
-    probs = [float(p) for p in probs]
-    spark = df.sparkSession
-    if approx:
-        agg = df.agg(*[F.percentile_approx(c(x).cast("double"), probs, accuracy).alias(f"q{i}")
-                       for i, x in enumerate(columns)])
-        parts = [agg.select(F.lit(x).alias("column"),
-                            F.posexplode(F.col(f"q{i}")).alias("pi", "value")) for i, x in enumerate(columns)]
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        pr = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("pi") + 1)
-        return out.select("column", pr.alias("prob"), "value")
-    limit = PERCENTILE_MAP_LIMIT if map_limit is None else map_limit
-    vc = counts if counts is not None else value_counts(df, columns)
-    sizes = vc.groupBy("column").agg(F.count(F.lit(1)).alias("nd"), F.sum("cnt").alias("n")).collect()
-    small = [r["column"] for r in sizes if r["nd"] <= limit]
-    big = {r["column"]: int(r["n"]) for r in sizes if r["nd"] > limit}
-    prob_arr = F.array(*[F.lit(p) for p in probs])
-    pieces = []
-    if small:
-        s = (vc.where(F.col("column").isin(small)).groupBy("column")
-             .agg(F.percentile(F.col("value"), prob_arr, F.col("cnt")).alias("qs")))
-        s = s.select("column", F.posexplode("qs").alias("pi", "value"))
-        pieces.append(s.select("column", F.element_at(prob_arr, F.col("pi") + 1).alias("prob"), "value"))
-    if big:
-        ranked = prefix_sum(vc.where(F.col("column").isin(list(big))), ["column"], "value", "cnt")
-        targets = []
-        for col_name, n in big.items():
-            for p in probs:
-                pos = p * (n - 1)
-                k = int(math.floor(pos))
-                k1 = min(k + 1, n - 1)
-                targets.append((col_name, p, k, k1, pos - k))
-        t = spark.createDataFrame(targets, "column string, prob double, k long, k1 long, frac double")
-        hit = lambda r: (F.col("cum_before") <= r) & (r < F.col("cum_before") + F.col("cnt"))
-        lo = ranked.join(F.broadcast(t), "column").where(hit(F.col("k"))) \
-            .select("column", "prob", "frac", F.col("value").alias("lo"))
-        hi = ranked.join(F.broadcast(t), "column").where(hit(F.col("k1"))) \
-            .select("column", "prob", F.col("value").alias("hi"))
-        b = lo.join(hi, ["column", "prob"])
-        pieces.append(b.select("column", "prob",
-                               (F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo"))).alias("value")))
-    if not pieces:
-        return spark.createDataFrame([], "column string, prob double, value double")
-    out = pieces[0]
-    for p_ in pieces[1:]:
-        out = out.unionByName(p_)
-    return out
-
-
-def quantile_dict(df: DataFrame, columns, probs, **kw) -> dict:
-    """Collect :func:`quantiles` (columns x probs values -- bounded) into ``{col: [q...]}``."""
-    probs = [float(p) for p in probs]
+    columns, probs = list(columns), [float(p) for p in probs]
     res = {x: [None] * len(probs) for x in columns}
-    if not columns:
+    if not columns or not probs:
         return res
-    own = None
-    if not kw.get("approx") and kw.get("counts") is None:
-        own = value_counts(df, columns).persist()      # read by the size pass and the quantile pass
-        kw["counts"] = own
-    try:
-        for r in quantiles(df, columns, probs, **kw).collect():
-            res[r["column"]][probs.index(r["prob"])] = r["value"]
-    finally:
-        if own is not None:
-            own.unpersist()
+    vals = []
+    for i, x in enumerate(columns):
+        v = c(x).cast("double")
+        vals.append((F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) if finite else v).alias(f"v{i}"))
+    base = df.select(*vals)
+    v = [F.col(f"v{i}") for i in range(len(columns))]
+    eps = 2.0 / accuracy
+    around = probs if approx else [min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)]
+    first = base.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v)],
+                     *[F.percentile_approx(x, around, accuracy).alias(f"q{i}") for i, x in enumerate(v)]).first()
+    if approx:
+        return {x: list(first[f"q{i}"] or res[x]) for i, x in enumerate(columns)}
+    want = {}                   # (column number, prob number) -> [rank, next rank, fraction, low, high]
+    for i in range(len(columns)):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs if n else []):
+            pos = p * (n - 1)
+            k = int(math.floor(pos))
+            lo, hi = first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]
+            want[(i, j)] = [k, min(k + 1, n - 1), pos - k, lo, hi]
+    done, stuck = {}, set()
+    while todo := [x for x in want if x not in done]:
+        aggs = []
+        for i, j in todo:
+            lo, hi = want[(i, j)][3:]
+            aggs += [F.count_if(v[i] < F.lit(lo)).alias(f"b{i}_{j}"), F.count_if(_inside(v[i], lo, hi)).alias(f"c{i}_{j}")]
+        counts = base.agg(*aggs).first()
+        narrow = []
+        for i, j in todo:
+            k, k1, _, lo, hi = want[(i, j)]
+            below, within = counts[f"b{i}_{j}"], counts[f"c{i}_{j}"]
+            if k < below or k1 >= below + within:       # the sketch missed: take everything on that side
+                want[(i, j)][3:] = [lo if k >= below else float("-inf"), hi if k1 < below + within else float("nan")]
+            elif lo == hi or within <= sliver or (i, j) in stuck:
+                done[(i, j)] = below
+            else:
+                narrow.append((i, j, below, within))
+        if narrow:
+            aggs = []
+            for i, j, below, within in narrow:
+                k, k1, _, lo, hi = want[(i, j)]
+                ps = [max(0.0, (k - below) / within - eps), min(1.0, (k1 + 1 - below) / within + eps)]
+                aggs.append(F.percentile_approx(F.when(_inside(v[i], lo, hi), v[i]), ps, accuracy).alias(f"q{i}_{j}"))
+            row = base.agg(*aggs).first()
+            for i, j, _, _ in narrow:
+                if list(row[f"q{i}_{j}"]) == want[(i, j)][3:]:
+                    stuck.add((i, j))                     # a few heavy values: distinct values are few
+                want[(i, j)][3:] = list(row[f"q{i}_{j}"])
+    wide = sorted(x for x in want if want[x][3] != want[x][4])
+    values = {x: [] for x in wide}
+    if wide:
+        # one array per row of the brackets it falls into, nearly always empty
+        hits = [F.when(_inside(v[i], *want[(i, j)][3:]), F.struct(F.lit(n).alias("b"), v[i].alias("v")))
+                for n, (i, j) in enumerate(wide)]
+        rows = base.select(F.inline(F.filter(F.array(*hits), lambda s: s.isNotNull())))
+        for r in rows.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+            values[wide[r["b"]]].append((math.isnan(r["v"]), r["v"], r["n"]))
+    for (i, j), (k, k1, frac, lo, hi) in want.items():
+        a = b = lo
+        if (i, j) in values:
+            at = done[(i, j)]
+            for _, x, n in sorted(values[(i, j)]):
+                if at <= k < at + n:
+                    a = x
+                if at <= k1 < at + n:
+                    b = x
+                at += n
+        res[columns[i]][j] = a + frac * (b - a) if frac else a
     return res
 
 
+def quantiles(df: DataFrame, columns, probs, approx: bool = False) -> DataFrame:
+    """:func:`quantile_dict` as a DataFrame ``(column, prob, value)``."""
+    got = quantile_dict(df, columns, probs, approx=approx)
+    rows = [(x, float(p), y) for x in columns for p, y in zip(probs, got[x]) if y is not None]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
 def dense_codes(df: DataFrame, column: str, code: str = "__code") -> DataFrame:
     """Sorted distinct values of ``column`` with 0-based codes, computed distributed."""
     d = df.select(c(column).alias("__v")).where(F.col("__v").isNotNull()).distinct()

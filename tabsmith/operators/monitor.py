@@ -40,8 +40,7 @@ def psi(baseline: DataFrame, current: DataFrame, columns=None, bins: int = BINS,
         return spark.createDataFrame([], "column string, psi double, flag string")
     b_long = _finite_long(baseline, columns)
     probs = [i / bins for i in range(bins + 1)]
-    counts = b_long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    qd = quantile_dict(baseline, columns, probs, counts=counts)
+    qd = quantile_dict(baseline, columns, probs, finite=True)
     edges = {}
     for x in columns:
         e = list(qd[x])

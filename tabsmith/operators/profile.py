@@ -106,9 +106,7 @@ def column_stats(df: DataFrame, approx: bool = False, with_quantiles: bool = Tru
     # counted as epoch microseconds (cheap) and strings as text
     parts = []
     if numeric:
-        vc_num = value_counts(df, numeric, "double")
-        vc_num = vc_num.persist() if with_quantiles else vc_num
-        parts.append(vc_num)
+        parts.append(value_counts(df, numeric, "double"))
     dts = [m[1] for m in meta if m[7]]
     txt = [x for x in other if x not in dts]
     if dts:
@@ -122,7 +120,7 @@ def column_stats(df: DataFrame, approx: bool = False, with_quantiles: bool = Tru
         distinct = d if distinct is None else distinct.unionByName(d)
     out = stats.join(distinct, "column", "left") if distinct is not None else stats.withColumn("unique", F.lit(0))
     if numeric and with_quantiles:
-        qs = quantiles(df, numeric, [0.25, 0.5, 0.75], approx=approx, counts=vc_num)
+        qs = quantiles(df, numeric, [0.25, 0.5, 0.75], approx=approx)
         qw = qs.groupBy("column").agg(
             F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
             F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),

@@ -13,16 +13,18 @@ def _df(spark, n=997, seed=1):
     return spark.createDataFrame(pdf).repartition(5), pdf
 
 
-@pytest.mark.parametrize("map_limit", [None, 0])
-def test_quantiles_exact_both_paths(spark, map_limit):
-    """map_limit=0 forces the distributed prefix-sum rank selection used for huge columns."""
+@pytest.mark.parametrize("sketch", [{}, {"accuracy": 20, "sliver": 3}, {"accuracy": 5, "sliver": 10**6}])
+def test_quantiles_exact(spark, sketch):
+    """A coarse sketch and a small sliver force the narrowing rounds."""
     df, pdf = _df(spark)
     df = df.select([F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in df.columns])
+    df = df.withColumn("none", F.lit(None).cast("double")).withColumn("one", F.lit(3.5))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = quantile_dict(df, ["a", "b"], probs, map_limit=map_limit)
+    got = quantile_dict(df, ["a", "b", "none", "one"], probs, **sketch)
     for col in ["a", "b"]:
         exp = np.quantile(pdf[col].dropna().to_numpy(), probs)
         assert np.allclose(got[col], exp, rtol=0, atol=1e-9), (col, got[col], exp)
+    assert got["none"] == [None] * 7 and got["one"] == [3.5] * 7
 
 
 def test_prefix_sum_matches_cumsum(spark):
