@@ -23,6 +23,8 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.functions.storage import Stored
+
 # trees "without limit": Spark ML grows no tree deeper than 30 levels, an engine limit
 DEEP = 30
 
@@ -151,9 +153,11 @@ class _BinaryOrOvr(Estimator):
         return OneVsRest(classifier=self.base, featuresCol=self.fc, labelCol=self.lc).fit(df)
 
 
-class _Platt(Model):
+class _Platt(Model, Stored):
     """A20 probability: a 1-D logistic regression on the SVM margin (Platt scaling)."""
 
+    _fields = ("svm", "a", "b")
+
     def __init__(self, svm, a, b):
         super().__init__()
         self.svm, self.a, self.b = svm, float(a), float(b)
@@ -242,9 +246,11 @@ def gram(df: DataFrame, fc: str, label: str | None = None) -> dict:
     return gram_by_group(df, fc, label, None)[""]
 
 
-class LinearScorer(Model):
+class LinearScorer(Model, Stored):
     """prediction = intercept + coef . features (vector expression, no UDF)."""
 
+    _fields = ("coef", "intercept", "fc", "out")
+
     def __init__(self, coef, intercept, fc, out="prediction"):
         super().__init__()
         self.coef, self.intercept, self.fc, self.out = np.asarray(coef, float), float(intercept), fc, out
@@ -317,7 +323,9 @@ class RidgeClassifier(Estimator):
         return ArgmaxLinear(np.array(W), np.array(b), [float(c_) for c_ in classes], self.fc)
 
 
-class ArgmaxLinear(Model):
+class ArgmaxLinear(Model, Stored):
+    _fields = ("W", "b", "classes", "fc")
+
     def __init__(self, W, b, classes, fc):
         super().__init__()
         self.W, self.b, self.classes, self.fc = W, b, classes, fc
@@ -350,7 +358,9 @@ class CenteredPCA(Estimator):
         return _PCAModel(sc, pca)
 
 
-class _PCAModel(Model):
+class _PCAModel(Model, Stored):
+    _fields = ("sc", "pca")
+
     def __init__(self, sc, pca):
         super().__init__()
         self.sc, self.pca = sc, pca
@@ -391,7 +401,9 @@ class LDAProjection(Estimator):
         return _Projection(vecs.real[:, order[:k]], mu, self.fc)
 
 
-class _Projection(Model):
+class _Projection(Model, Stored):
+    _fields = ("W", "mu", "fc")
+
     def __init__(self, W, mu, fc):
         super().__init__()
         self.W, self.mu, self.fc = W, mu, fc
@@ -450,7 +462,9 @@ class AdaBoostClassifier(Estimator):
         return _AdaBoostClfModel(trees, alphas, K, self.fc)
 
 
-class _AdaBoostClfModel(Model):
+class _AdaBoostClfModel(Model, Stored):
+    _fields = ("trees", "alphas", "K", "fc")
+
     def __init__(self, trees, alphas, K, fc):
         super().__init__()
         self.trees, self.alphas, self.K, self.fc = trees, alphas, K, fc
@@ -504,7 +518,9 @@ class AdaBoostRegressor(Estimator):
         return _AdaBoostRegModel(trees, [self.lr * np.log(1 / max(b, 1e-300)) for b in betas], self.fc)
 
 
-class _AdaBoostRegModel(Model):
+class _AdaBoostRegModel(Model, Stored):
+    _fields = ("trees", "weights", "fc")
+
     def __init__(self, trees, weights, fc):
         super().__init__()
         self.trees, self.weights, self.fc = trees, weights, fc
@@ -570,7 +586,9 @@ def _nearest(C):
     return f
 
 
-class _CentroidModel(Model):
+class _CentroidModel(Model, Stored):
+    _fields = ("C", "fc")
+
     def __init__(self, C, fc):
         super().__init__()
         self.C, self.fc = C, fc

@@ -204,3 +204,9 @@ def save_model(model, spark, path: str | None = None) -> tuple[str, int]:
     size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs) \
         if os.path.isdir(local) else -1
     return path, size
+
+
+def load_model(spark, path: str):
+    """The model that :func:`save_model` wrote, in this or a later session."""
+    from pyspark.ml.util import DefaultParamsReader
+    return DefaultParamsReader.loadParamsInstance(path, spark)

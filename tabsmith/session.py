@@ -3,13 +3,15 @@
 The library never hard-codes cluster paths.  Lineage is cut with
 ``DataFrame.checkpoint()`` into the shared folder named by
 ``spark.checkpoint.dir``; a private temp folder is only created when that
-setting is absent (local runs and tests).
+setting is absent and the master is local (local runs and tests).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,7 @@ def get_spark(master: str | None = None, app: str = "tabsmith",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # wide one-pass aggregates (profiles, correlation matrices) carry hundreds of buffer
         # fields; above this limit Spark silently drops whole-stage codegen for the whole stage
         "spark.sql.codegen.maxFields": "4000",
@@ -63,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -72,3 +77,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, so tasks import it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabsmith_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tabsmith-pkg-")) / f"{here.name}.zip"     # served by the driver
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(str(target))
+    sc._tabsmith_shipped = True

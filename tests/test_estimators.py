@@ -65,3 +65,49 @@ def test_lda_separates_two_classes(spark):
     out = m.transform(df).select("label", vector_to_array("projection")[0].alias("z")).groupBy("label") \
         .agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).toPandas().set_index("label")
     assert abs(out.loc[1.0, "m"] - out.loc[0.0, "m"]) > 3 * max(out["s"])
+
+
+CHEAP = {"clf_adaboost": {"n_estimators": 3}, "reg_adaboost": {"n_estimators": 3}, "clf_random_forest": {"n_estimators": 3, "max_depth": 4},
+         "clu_kmedoids": {"n_clusters": 3}, "clu_minibatch_kmeans": {"n_clusters": 3}, "dr_pca": {"n_components": 2},
+         "dr_lda": {"n_components": 1}, "clu_kmeans": {"n_clusters": 3}}
+
+
+@pytest.mark.parametrize("key", ["reg_bayesianridge", "clf_ridge", "clf_adaboost", "reg_adaboost", "clf_svm", "clu_kmedoids", "dr_pca",
+                                 "dr_lda", "clu_minibatch_kmeans", "reg_ridge", "clf_random_forest", "clu_kmeans"])
+def test_models_save_and_load(spark, tmp_path, key):
+    from tabsmith.plans import train as TR
+    df, _, y = _data(spark, n=120)
+    if not key.startswith("reg"):
+        df = df.withColumn("label", (F.col("label") > float(np.median(y))).cast("double"))
+    model = make_estimator(key, CHEAP.get(key, {})).fit(df)
+    path, size = TR.save_model(model, spark, str(tmp_path / key))
+    again = TR.load_model(spark, path)
+    a, b = ([tuple(r) for r in m.transform(df).drop("label").collect()] for m in (model, again))
+    assert size > 0 and [str(r) for r in a] == [str(r) for r in b]
+
+
+def test_k_medoids_on_copies(spark):
+    """4000 rows of 40 distinct points: the medoids differ and every cluster is used."""
+    pts = [(float(i % 40 // 10) * 10 + (i % 10) / 10, float(i % 4)) for i in range(4000)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(pts, "a double, b double"))
+    for key in ("clu_kmedoids", "clu_minibatch_kmeans"):
+        m = make_estimator(key, {"n_clusters": 4}).fit(df)
+        assert len({tuple(np.round(x, 6)) for x in m.clusterCenters()}) == 4
+        again = make_estimator(key, {"n_clusters": 4}).fit(df.repartition(7))
+        assert np.allclose(np.array(m.clusterCenters()), np.array(again.clusterCenters()))
+    assert m.transform(df).select("cluster").distinct().count() == 4
+
+
+def test_isolation_forest_does_not_depend_on_partitions(spark):
+    from tabsmith.operators.isoforest import fit_isolation_forest
+    rng = np.random.default_rng(2)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(600, 2)).round(1)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    one, many = (fit_isolation_forest(df.repartition(n), ["a", "b"], {"n_estimators": 20}) for n in (1, 7))
+    assert one["threshold"] == many["threshold"] and str(one["trees"]) == str(many["trees"])
+
+
+def test_search_space_clips():
+    from tabsmith.plans.train import search_space
+    assert search_space({"n": 300, "a": 1.0, "k": ["x", "y"]}, {"n": (50, 500), "a": (0.7, 10.0)}) == \
+        {"n": [150, 300, 500], "a": [0.7, 1.0, 2.0], "k": ["x", "y"]}
