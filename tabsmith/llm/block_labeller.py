@@ -6,7 +6,7 @@ all blocks of a page forwards and backwards, so every block is classified with t
 its context; the blocks that are the article's are joined in page order by one space.
 
 The labeller is trained in every run on made pages (``page_maker``) and on a bounded sample of the
-given pages (at most ``SAMPLE`` rows in a fixed pseudorandom order, of up to ``SAMPLE_CHARS`` code
+given pages (``SAMPLE`` page_ids in a fixed pseudorandom order, pages of up to ``SAMPLE_CHARS`` code
 points): there, blocks inside ``article`` or ``main``, but not inside menus, adverts and the like, count
 as the article's.  Pages without such a tag teach nothing, but are labelled like all others.
 
@@ -224,10 +224,12 @@ def weak_labels(page: list[Leaf]) -> list[int] | None:
 
 
 def train(pages: DataFrame) -> Labeller:
-    rows = (pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").filter(F.char_length("html") <= SAMPLE_CHARS)
-            .orderBy(F.xxhash64("page_id"), "page_id", F.md5("html")).limit(SAMPLE).collect())
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").filter(F.char_length("html") <= SAMPLE_CHARS)
+    # ids first: only the sample's pages travel
+    ids = rows.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    rows = rows.join(F.broadcast(ids), "page_id").collect()  # SAMPLE ids at most
     examples = labelled(MADE, SEED)
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["page_id"], r["html"])):
         page = leaves(r["html"])
         y = weak_labels(page)
         if y:
