@@ -22,6 +22,7 @@ HEADLINE = [
     "impute_median", "scale_robust", "encode_target", "outlier_iqr", "select_anova_f", "interpolate_linear",
     "metric_binary_classification", "metric_roc_auc_binary", "metric_regression", "roc_pr_curve", "paired_ttest",
     "drift_psi_events", "fair_equalized_odds", "recommend_top5",
+    "grid_search_ridge", "bootstrap_ci", "explain_top_drivers", "explain_what_if",
 ]
 
 
@@ -39,6 +40,7 @@ def main():
         names = [q for q in names if re.search(only, q)]
 
     def run(name):
+        spark.catalog.clearCache()          # no run reads what another has cached
         t0 = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
