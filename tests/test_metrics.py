@@ -45,3 +45,12 @@ def test_confusion_and_accuracy(spark):
     m = M.classification_metrics(df.withColumn("model", F.lit("x"))).first()
     assert m["accuracy"] == 0.5
     assert m["matthews_corr"] is None          # > 2 true classes
+
+
+def test_student_p_against_known_quantiles(spark):
+    """Two-sided 5 % and 1 % points from the published tables, and the limits."""
+    known = [(4.3026527, 2, 0.05), (2.7764451, 4, 0.05), (2.2281389, 10, 0.05), (3.1692727, 10, 0.01), (1.9839715, 100, 0.05),
+             (1.9599640, 10**8, 0.05), (0.0, 7, 1.0), (-2.2281389, 10, 0.05), (60.0, 1000, 0.0)]
+    df = spark.createDataFrame([(float(t), n, p) for t, n, p in known], "t double, df long, p double")
+    for r in df.withColumn("got", CMP.student_p(F.col("t"), F.col("df"))).collect():
+        assert abs(r["got"] - r["p"]) < 2e-6, r
