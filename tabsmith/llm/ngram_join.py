@@ -44,7 +44,7 @@ MASS = 4_000_000
 SETS = 8192
 U = np.uint64
 #: Rows of one task that are brought together before they go to the shuffle.
-FLUSH = 4_000_000
+FLUSH = 500_000
 
 
 def set_ids(off: np.ndarray, h: np.ndarray) -> np.ndarray:

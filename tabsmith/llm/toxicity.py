@@ -31,7 +31,7 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 PREFIX = 4
-SAMPLE = 4000
+SAMPLE = 3000
 TRAIN_CHARS = 30_000
 #: Passes over the sample: as many as make ``STEPS`` batches, within these limits.
 EPOCHS = (8, 40)
@@ -195,7 +195,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list:
     rows = rows.mapInArrow(run, "ids binary, lang string, toxic int, doc_id bigint")
     rows = rows.withColumn("calibrates", remainder(F.col("doc_id")) == 1)
     got = rows.select("doc_id", "toxic", "lang", "calibrates", "ids").collect()
-    return sorted(got, key=lambda r: (r["doc_id"], r["ids"]))
+    got.sort(key=lambda r: (r["doc_id"], r["ids"]))
+    return got
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float | None:
