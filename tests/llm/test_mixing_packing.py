@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,24 @@ def test_permutation_is_one(spark):
         assert sorted(r["p"] for r in df.collect()) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [40_000, 117_345, 500_000])
+def test_shards_draw_their_source_counts(spark, n):
+    """Shares of 0.2, 0.33 and 0.47 in shards of 1024: mean and variance as drawn, at every slot count."""
+    parts = [int(0.2 * n), int(0.33 * n)]
+    parts.append(n - sum(parts))
+    src = spark.createDataFrame([(s, i, k * 128, float(k * 128)) for i, (s, k) in enumerate(zip("abc", parts, strict=True))],
+                                "source string, rank int, source_size long, target double")
+    slots = mixing.plan_slots(src)
+    assert slots.agg(F.count_distinct("slot"), F.min("slot"), F.max("slot")).first()[:] == (n, 0, n - 1)
+    rows = mixing.shard_counts(slots).filter(f"shard < {n // 1024}").collect()
+    for s, k in zip("abc", parts, strict=True):
+        got = np.array([r["n"] for r in rows if r["source"] == s], float)
+        p = k / n
+        want = 1024 * p * (1 - p) * (n - 1024) / (n - 1)
+        assert len(got) == n // 1024 and abs(got.mean() - 1024 * p) < 5 * (want / len(got)) ** 0.5
+        assert abs(got.var() / want - 1) < 5 * (2 / len(got)) ** 0.5
+
+
 def test_running_start_follows_one_order(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 11).alias("v"))
     a = {r["k"]: r["s"] for r in running_start(df, "g", "k", "v", "s", 500, 1).collect()}
