@@ -83,8 +83,9 @@ def unsqueeze(raw: bytes) -> np.ndarray:
 
 
 BLOBS = "part int, pack bigint, kind int, a binary, b binary, c binary"
-#: Sets of a pack, which are numbered by 16 bits.
+#: Sets that close a pack, and the most it can hold: they are numbered by 16 bits.
 PACK_SETS = 60_000
+MOST_SETS = 1 << 16
 
 
 def _spread(ranges: int):
@@ -125,18 +126,23 @@ def _spread(ranges: int):
         for b in batches:
             for _, _, off, h in shingle_sets(b.column(0)):
                 ids, n = set_ids(off, h), np.diff(off)
-                num = np.full(len(n), -1, np.int64)
-                for i in np.flatnonzero(n > 0):
-                    if (x := int(ids[i])) not in seen:
-                        num[i] = seen[x] = len(seen)
-                doc = np.repeat(num, n)
-                keep = doc >= 0
-                hashes.append(h[keep])
-                docs.append(doc[keep])
-                size += int(keep.sum())
-                if size >= FLUSH or len(seen) >= PACK_SETS:
-                    yield pack(hashes, docs, list(seen), number)
-                    number, hashes, docs, size, seen = number + 1, [], [], 0, {}
+                s = 0
+                while s < len(n):
+                    # a chunk can have more sets than the pack has numbers left
+                    e = min(len(n), s + MOST_SETS - len(seen))
+                    num = np.full(e - s, -1, np.int64)
+                    for i in np.flatnonzero(n[s:e] > 0):
+                        if (x := int(ids[s + i])) not in seen:
+                            num[i] = seen[x] = len(seen)
+                    doc = np.repeat(num, n[s:e])
+                    keep = doc >= 0
+                    hashes.append(h[off[s]: off[e]][keep])
+                    docs.append(doc[keep])
+                    size += int(keep.sum())
+                    s = e
+                    if size >= FLUSH or len(seen) >= PACK_SETS:
+                        yield pack(hashes, docs, list(seen), number)
+                        number, hashes, docs, size, seen = number + 1, [], [], 0, {}
         if size:
             yield pack(hashes, docs, list(seen), number)
 

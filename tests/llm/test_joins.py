@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabsmith.llm import lattice, minhash, ngram_join
 from tabsmith.llm.components import components
@@ -71,6 +72,14 @@ def test_join_groups_odd(odd_docs, no_docs):
     assert ngram_join.join_groups(no_docs).count() == 0
 
 
+def test_packs_number_all_their_sets(spark):
+    """More distinct short texts in a partition than 16 bits number; every one has a copy in another task."""
+    text = F.when(F.col("id") % 80_000 < 60, "").otherwise(F.concat(F.lit("t"), F.col("id") % 80_000)).alias("text")
+    docs = spark.range(0, 160_000, 1, 2).select(F.col("id").alias("doc_id"), text)
+    got = ngram_join.shared(docs).agg(F.count(F.lit(1)), F.min("shared"), F.max("shared")).first()
+    assert tuple(got) == (79_940, 2, 2)
+
+
 def test_rtree_finds_all_components():
     rng = np.random.default_rng(3)
     sets = []
