@@ -193,4 +193,4 @@ def near_groups(docs: DataFrame, perms: int = PERMS, bands: int = BANDS) -> Data
     rows = cut_lineage(ngram_join.set_rows(docs))
     reps = cut_lineage(ngram_join.first_rows(rows))
     sets = cut_lineage(ngram_join.sets_of(docs, reps.join(near, "sid", "left_semi")))
-    return ngram_join.grouped(rows, reps, sets, near)
+    return ngram_join.grouped(rows, reps, sets, near).drop("sid", "root")

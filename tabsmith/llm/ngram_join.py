@@ -62,14 +62,21 @@ def frequency_buckets(mass: int) -> int:
 
 def set_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n, sid) of every row."""
+    return with_sets(docs.select("doc_id", "text"), keep=("doc_id",))
+
+
+def with_sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of every row, with the size ``n`` and the id ``sid`` of its set."""
 
     def run(batches):
         for b in batches:
-            for i, j, off, h in shingle_sets(b.column(1)):
+            for i, j, off, h in shingle_sets(b.column(0)):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(set_ids(off, h))], names=["doc_id", "n", "sid"])
+                    [c.slice(i, j - i) for c in b.columns[1:]] + [pa.array(np.diff(off)), pa.array(set_ids(off, h))], names=[*keep, "n", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+    kept = docs.select(*keep).schema
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields] + ["n bigint", "sid bigint"])
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, ddl)
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -415,20 +422,28 @@ def first_rows(rows: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame, reps: DataFrame, sets: DataFrame, near: DataFrame, num: int = NUM, den: int = DEN,
             mass: int = MASS, most: int = SETS) -> DataFrame:
-    """Per row of ``rows`` (doc_id, n, sid): its component by the links inside the clusters ``near`` (sid, cluster)."""
+    """Per row of ``rows`` (doc_id, n, sid): its component by the links inside the clusters ``near`` (sid, cluster).
+
+    ``sid`` and ``root``, the smallest set of the component, tell components of the same smallest doc_id apart.
+    """
     links = links_in_clusters(sets, sets.select("sid", "n").join(near, "sid"), num, den, mass, most)
     comp = components(links).withColumnRenamed("node", "sid")
     named = reps.join(comp, "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("sid", "root").join(least, "root").select("sid", "component_id")
+    named = named.select("sid", "root").join(least, "root").select("sid", "root", "component_id")
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
-                      .otherwise(F.col("doc_id")).alias("component_id"))
+                      .otherwise(F.col("doc_id")).alias("component_id"), "sid", "root")
 
 
 def join_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS, most: int = SETS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return set_groups(docs, num, den, mass, most).drop("sid", "root")
+
+
+def set_groups(docs: DataFrame, num: int = NUM, den: int = DEN, mass: int = MASS, most: int = SETS) -> DataFrame:
+    """``join_groups`` with the row's set ``sid`` and ``root``, the smallest set of its component."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = cut_lineage(set_rows(docs))
     reps = cut_lineage(first_rows(rows))

@@ -51,3 +51,12 @@ def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, stage):
     elif name in ("pii", "packing"):
         assert n == odd_docs.count()
     assert run(spark, no_docs, SF).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    """One doc_id on different texts: each row counts in the group of its own text."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b), (4, c), (4, d), (4, d), (5, d + " end"), (5, ""), (6, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_duplicates(spark, docs.repartition(3), SF)
+    assert rows_of(got, "doc_id", "text") == sorted([(1, a), (2, b), (4, c), (4, d), (5, ""), (6, "alone")], key=str)
