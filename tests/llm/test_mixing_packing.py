@@ -133,6 +133,35 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], [], 3) == []
 
 
+def test_long_boundaries_are_optimal():
+    rng = random.Random(6)
+    for k in (5, 9, 14):
+        x = sorted(rng.sample(range(257, 9000), k))
+        c = [rng.choice([1, 3, 400]) for _ in x]
+        lengths = [n for n, m in zip(x, c, strict=True) for _ in range(m)]
+        for b in (2, 3, 4):
+            best = min(padding((*t, x[-1]), lengths) for t in itertools.combinations(x[:-1], min(b, k) - 1))
+            assert padding(packing.boundaries(x, c, b), lengths) == best
+    # every layer in full against the halving
+    n = 700
+    x, c = np.cumsum(np.array([rng.randint(1, 40) for _ in range(n)])), np.array([rng.choice([1, 5, 900]) for _ in range(n)])
+    rows, mass = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(c * x))
+    best = x * rows[1:] - mass[1:]
+    for _ in range(11):
+        best = np.array([min(np.append(0, best)[: j + 1] + x[j] * (rows[j + 1] - rows[: j + 1]) - (mass[j + 1] - mass[: j + 1])) for j in range(n)])
+    tops = np.array(packing.boundaries(x, c, 12))
+    assert (c * (tops[np.searchsorted(tops, x)] - x)).sum() == best[-1]
+
+
+def test_pack_pads_to_lengths_that_exist(spark):
+    """A third of all documents have 5461 words: no padding, and three in a batch of 16384."""
+    n = F.when(F.col("id") % 3 == 0, 5461).otherwise(F.col("id") * 20)
+    rows = packing.pack(spark.range(600).select(F.col("id").alias("doc_id"), n.alias("n")), length=F.col("n")).collect()
+    assert {r["bucket"] for r in rows} <= {r["n_tokens"] for r in rows}
+    many = [r for r in rows if r["n_tokens"] == 5461]
+    assert {(r["bucket"], r["padding"]) for r in many} == {(5461, 0)} and max(r["place"] for r in many) == 2
+
+
 def test_pack_fills_batches(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df, budget in ((docs, 4096), (odd_docs, 64)):
