@@ -1,6 +1,7 @@
 """HTML to leaf blocks: the text of a page cut at block-level tags, each with its tag path.
 
-A small tolerant reader: comments, scripts, styles and templates are dropped, a new block closes
+A small tolerant reader: comments, scripts, styles, templates and drawings are dropped (elements
+whose names only begin so, as <svg-icon>, are not; <svg .../> is closed at once), a new block closes
 an open paragraph, an end tag closes what was left open inside it, and text ends with the page.
 """
 
@@ -11,7 +12,8 @@ from html import unescape
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?=[\s/>])[^>]*/>"
+    r"|<(?P<raw>script|style|template|noscript|svg)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)(?:>|\Z)",
     re.S | re.I)

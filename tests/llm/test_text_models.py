@@ -106,6 +106,15 @@ def test_threshold():
     assert ((s >= t) == y).all() and toxicity.best_threshold(s[:5], y[:5]) is None
 
 
+def test_raw_elements_end_where_they_do():
+    def texts(html):
+        return [x.text for x in leaves(html)]
+
+    for tag in ("<svg-icon name=x></svg-icon>", "<svg class=i/>", "<svg/>", "<template-x>", "<style-guide></style-guide>", "<script-box a='b'>",
+                "<svg a><path d='M0'/><b>no</b></svg>", "<svg>no</svg >", "<script>no</script>", "<style\n>no</style>", "<script src=x />no</script>"):
+        assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"], tag
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return block_labeller.train(spark.read.parquet(f"{SF}/pages.parquet"))
