@@ -8,8 +8,10 @@ training never saw say nothing, however long the text is.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows of each label,
 in a fixed pseudorandom order of doc_id, of texts up to ``TRAIN_CHARS`` code points.  Rows with
-``crc32(doc_id as text) mod 5 = 0`` are held out and never looked at; those with remainder 1 calibrate
-the threshold of each language, the others train.  Scoring covers whole texts of any length.
+``crc32(doc_id as text) mod 5 = 0`` are held out and never looked at; those with remainder 1 calibrate,
+the others train.  Scoring covers whole texts of any length.  The threshold of each language has the best
+F1 over all labelled rows that calibrate, of any length, in steps of 1/``BINS``: the fitted model scores
+them in tasks, and the driver sees the counts by language, label and step.
 
 Cases: null and empty texts get the score of a text without words; a null or unknown language has
 the threshold of all languages; labels other than 0 and 1 are left out, of contradicting labels the
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.text import IS_LETTER, mix64, words
+from tabsmith.session import cut_lineage
 
 ROWS = 1 << 17
 DIM = 8
@@ -38,8 +41,8 @@ EPOCHS = (8, 40)
 STEPS = 1200
 #: Calibration rows of either label that a threshold of its own takes.
 LEAST_TOXIC = 20
-#: Calibration moves a threshold within these limits.
-LIMITS = (0.4, 0.6)
+#: Steps of the thresholds.
+BINS = 1000
 BATCH = 32
 RATE = 0.02
 SEED = 9
@@ -170,11 +173,15 @@ class Model:
         value -= (RATE * grad / np.sqrt(total)).astype(value.dtype)
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of every labelled id."""
+    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    return ids.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list:
     """Rows (toxic, lang, calibrates, word ids) of the bounded training sample."""
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    ids = ids.filter("doc_id is not null and toxic in (0, 1)").filter(remainder(F.col("doc_id")) != 0)
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = labelled(labels).filter(remainder(F.col("doc_id")) != 0)
     order = [F.xxhash64("doc_id"), "doc_id"]
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     text = text.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
@@ -199,60 +206,94 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list:
     return got
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float | None:
-    """Threshold with the best F1; within the gap between two scores, the point nearest to 0.5."""
-    if y.sum() < LEAST_TOXIC or (y == 0).sum() < LEAST_TOXIC:
+def steps(score: np.ndarray) -> np.ndarray:
+    """Step of each score: the number of the greatest threshold that it reaches."""
+    return np.searchsorted(np.arange(BINS + 1) / BINS, score, side="right") - 1
+
+
+def threshold_of(clean: np.ndarray, toxic: np.ndarray) -> float | None:
+    """Threshold with the best F1 for the rows of either label by step; of equal ones the nearest to 0.5."""
+    if toxic.sum() < LEAST_TOXIC or clean.sum() < LEAST_TOXIC:
         return None
-    s, yy = score[np.argsort(-score, kind="stable")], y[np.argsort(-score, kind="stable")]
-    hits = np.cumsum(yy)
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + yy.sum())
-    low = np.append(s[1:], 0.0)
-    f1[s == low] = -1  # no threshold lies between equal scores
-    at = int(np.argmax(f1))
-    gap = (s[at] - low[at]) * 0.05
-    return float(np.clip(np.clip(0.5, low[at] + gap, s[at] - gap), *LIMITS))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[Model, dict, float]:
-    """Model, thresholds by language, threshold of all languages."""
+    hits, wrong = np.cumsum(toxic[::-1])[::-1], np.cumsum(clean[::-1])[::-1]
+    f1 = 2 * hits / (hits + wrong + toxic.sum())
+    best = np.flatnonzero(f1 == f1.max())
+    return float(best[np.argmin(np.abs(best - BINS / 2))] / BINS)
+
+
+def best_threshold(score: np.ndarray, y: np.ndarray) -> float | None:
+    """``threshold_of`` the scores of rows with labels ``y``."""
+    at = steps(score)
+    return threshold_of(np.bincount(at[y == 0], minlength=BINS + 1), np.bincount(at[y == 1], minlength=BINS + 1))
+
+
+def scored(rows: DataFrame, model) -> DataFrame:
+    """``rows``, whose first column is the text, with the score in its place; ``model`` is broadcast."""
+
+    def run(batches):
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for first, last, ids, off in features(b.column(0)):
+                out[first:last] = model.value.scores(ids, off)
+            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns[1:]], names=["score", *b.schema.names[1:]])
+
+    return rows.mapInArrow(run, ", ".join(["score double"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model) -> tuple[dict, float]:
+    """Thresholds by language and of all languages, from all labelled rows that calibrate; ``model`` is broadcast."""
+    rows = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
+    rows = scored(rows.filter(remainder(F.col("doc_id")) == 1), model)
+    # the greatest threshold k / BINS that the score reaches, as the comparison with it decides
+    k = F.round(F.col("score") * BINS).cast("int")
+    rows = rows.withColumn("step", k - (F.col("score") < k / F.lit(float(BINS))).cast("int"))
+    hist = rows.join(labelled(labels), "doc_id").groupBy("lang", "step").agg(
+        F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    hist = cut_lineage(hist)
+    enough = hist.groupBy("lang").agg(F.sum("clean").alias("_c"), F.sum("toxic").alias("_t"))
+    enough = enough.filter(f"lang <> '' and _c >= {LEAST_TOXIC} and _t >= {LEAST_TOXIC}").select("lang")
+    own = hist.join(enough, "lang", "left_semi").collect()
+    every = hist.groupBy("step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+
+    def threshold(rows: list) -> float | None:
+        counts = np.zeros((2, BINS + 1), np.int64)
+        for r in rows:
+            counts[:, r["step"]] += (r["clean"], r["toxic"])
+        return threshold_of(*counts)
+
+    by = {x: threshold([r for r in own if r["lang"] == x]) for x in sorted({r["lang"] for r in own})}
+    whole = threshold(every)
+    return by, 0.5 if whole is None else whole
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
+    """The model fitted on the sample's rows that do not calibrate."""
     rows = sample(docs, labels, per_label)
     y = np.array([r["toxic"] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
-        return Model(constant=float(y[0]) if len(y) else 0.0), {}, 0.5
+        return Model(constant=float(y[0]) if len(y) else 0.0)
     x = [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in rows]
     cal = np.array([r["calibrates"] for r in rows])
     fit = np.flatnonzero(~cal) if len(np.unique(y[~cal])) == 2 else np.arange(len(y))
     model = Model()
     model.fit([x[i] for i in fit], y[fit].astype(np.float32))
-    at = np.flatnonzero(cal)
-    score = np.array([model.scores(x[i], np.array([0, len(x[i])]))[0] for i in at])
-    every = best_threshold(score, y[at])
-    lang = np.array([r["lang"] or "" for r in rows], dtype=object)[at]
-    by = {k: best_threshold(score[lang == k], y[at][lang == k]) for k in sorted(set(lang) - {""})}
-    return model, {k: v for k, v in by.items() if v is not None}, 0.5 if every is None else every
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), per_label: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, lang, held_out, score, predicted (score of 0.5 or more), threshold (of its language), toxic; and ``keep``."""
-    model, by, every = train(docs, labels, per_label)
+    model = train(docs, labels, per_label)
+    constant = model.constant is not None
     model = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size, 4 MB
-
-    def run(batches):
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            for first, last, ids, off in features(b.column(0)):
-                out[first:last] = model.value.scores(ids, off)
-            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns[1:]], names=["score", *b.schema.names[1:]])
-
+    by, every = ({}, 0.5) if constant else calibrate(docs, labels, model)
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(F.col("text").alias("_text"), doc_id.alias("_doc_id"), F.col("lang").alias("_lang"),
                        *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    ddl = ", ".join(["score double"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]])
     limit = F.lit(every)
     if by:
         known = F.create_map(*[F.lit(x) for k, v in by.items() for x in (k, v)])
         limit = F.coalesce(known[F.col("_lang")], limit)
-    out = rows.mapInArrow(run, ddl)
+    out = scored(rows, model)
     return out.select(F.col("_doc_id").alias("doc_id"), F.col("_lang").alias("lang"), F.coalesce(remainder(F.col("_doc_id")) == 0, F.lit(False)).alias("held_out"),
                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), limit.alias("threshold"),
                       (F.col("score") >= limit).alias("toxic"), *[F.col(f"_keep_{c}").alias(c) for c in keep])

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabsmith.llm import block_labeller, page_maker, pii, toxicity
 from tabsmith.llm.html_blocks import leaves
@@ -106,6 +107,24 @@ def test_threshold():
     assert ((s >= t) == y).all() and toxicity.best_threshold(s[:5], y[:5]) is None
 
 
+def test_thresholds_cover_all_labelled_rows(spark):
+    """A sample cap and long texts take no row from the calibration."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    rem = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    more = F.when(rem == 1, F.concat("text", F.repeat(F.lit(" and so on"), 3100))).otherwise(F.col("text"))
+    docs = docs.withColumn("text", more)
+    rows = [r for r in toxicity.score(docs, labels, per_label=60).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+            .withColumn("rem", rem).filter("rem = 1").collect()]
+    s, y = np.array([r["score"] for r in rows]), np.array([r["y"] for r in rows])
+    lang = np.array([r["lang"] or "" for r in rows])
+    every = toxicity.best_threshold(s, y)
+    assert every is not None and len(rows) > 120
+    for x in set(lang):
+        own = toxicity.best_threshold(s[lang == x], y[lang == x]) if x else None
+        assert {r["threshold"] for r in rows if (r["lang"] or "") == x} == {every if own is None else own}
+
+
 def test_raw_elements_end_where_they_do():
     def texts(html):
         return [x.text for x in leaves(html)]
