@@ -111,3 +111,8 @@ def test_search_space_clips():
     from tabsmith.plans.train import search_space
     assert search_space({"n": 300, "a": 1.0, "k": ["x", "y"]}, {"n": (50, 500), "a": (0.7, 10.0)}) == \
         {"n": [150, 300, 500], "a": [0.7, 1.0, 2.0], "k": ["x", "y"]}
+
+
+def test_registered_trees_run_the_cards_defaults():
+    from tabsmith.plans import q_models
+    assert not {"reg_decision_tree", "clf_decision_tree"} & q_models.SMALL.keys()
