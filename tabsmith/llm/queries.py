@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import block_labeller, lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
+from tabsmith.llm import alignment, block_labeller, lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -69,13 +69,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark, sf_dir):
+    """Groups, links and pair counts of every document under two tokenizers."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over ``documents``."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing, op13_alignment, pipeline)}
 
 ORACLE: dict[str, str] = {}
 
