@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import alignment, block_labeller, lattice, minhash, mixing, ngram_join, packing, pii, toxicity, url_rules, warc
+from tabsmith.llm import alignment, block_labeller, lattice, merkle, minhash, mixing, ngram_join, packing, pii, secret_scan, toxicity, url_rules, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -69,6 +69,17 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark, sf_dir):
+    """Leaf, subroot, root, proof digest and verification of every document."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark, sf_dir):
+    """Spans of secrets in every document: base patterns and learned formats."""
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op13_alignment(spark, sf_dir):
     """Groups, links and pair counts of every document under two tokenizers."""
     return alignment.align(table(spark, sf_dir, "documents"))
@@ -80,7 +91,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing, op13_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_minhash, op3_packing, op4_warc, op5_pii, op6_ngram_join, op7_url_rules, op8_lattice, op9_toxicity, op10_mixing, op11_merkle, op12_secrets, op13_alignment, pipeline)}
 
 ORACLE: dict[str, str] = {}
 
@@ -146,3 +157,58 @@ FROM placed p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 LEFT JOIN taken k ON k.source IS NOT DISTINCT FROM p.source AND k.doc_id IS NOT DISTINCT FROM p.doc_id
   AND k.start = p.start AND p.size > 0
 """
+
+ORACLE["op11_merkle"] = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         -- CRC-32 of the decimal digits: per byte an exclusive or, then eight steps (-1)
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+               lambda i: list_prepend(CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT), list_transform(range(8), lambda j: CAST(-1 AS BIGINT)))))),
+             lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END),
+             CAST(4294967295 AS BIGINT)) % 3 = 0 AS odd
+  FROM documents),
+d AS (
+  SELECT doc_id, lang, leaf, tampered, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN odd THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM f)),
+up AS (
+  SELECT lang, 0 AS lvl, pos AS idx, leaf AS node FROM d
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS many FROM up) WHERE many > 1 GROUP BY lang, lvl, idx // 8),
+sub AS (
+  SELECT lang, arg_max(node, lvl) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up GROUP BY lang),
+top AS (
+  SELECT 0 AS lvl, pos AS idx, subroot AS node FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS many FROM top) WHERE many > 1 GROUP BY lvl, idx // 8),
+low_steps AS (
+  SELECT lang, pos, lvl, coalesce(string_agg(node, '' ORDER BY idx) FILTER (idx < own), '') AS l, coalesce(string_agg(node, '' ORDER BY idx) FILTER (idx > own), '') AS r
+  FROM (SELECT d.lang, d.pos, up.lvl, up.idx, up.node, d.pos // CAST(8 ** up.lvl AS BIGINT) AS own
+        FROM d JOIN up ON d.lang IS NOT DISTINCT FROM up.lang AND up.idx // 8 = d.pos // CAST(8 ** (up.lvl + 1) AS BIGINT)
+        JOIN (SELECT lang, max(lvl) AS height FROM up GROUP BY lang) h ON h.lang IS NOT DISTINCT FROM up.lang AND up.lvl < h.height)
+  GROUP BY lang, pos, lvl),
+high_steps AS (
+  SELECT lang, lvl, coalesce(string_agg(node, '' ORDER BY idx) FILTER (idx < own), '') AS l, coalesce(string_agg(node, '' ORDER BY idx) FILTER (idx > own), '') AS r
+  FROM (SELECT sub.lang, top.lvl, top.idx, top.node, sub.pos // CAST(8 ** top.lvl AS BIGINT) AS own
+        FROM sub JOIN top ON top.idx // 8 = sub.pos // CAST(8 ** (top.lvl + 1) AS BIGINT) AND top.lvl < (SELECT max(lvl) FROM top))
+  GROUP BY lang, lvl),
+steps AS (
+  SELECT d.lang, d.pos, list(s.l || '|' || s.r ORDER BY s.part, s.lvl) FILTER (s.lvl IS NOT NULL) AS path
+  FROM d LEFT JOIN (SELECT lang, pos, 0 AS part, lvl, l, r FROM low_steps
+                    UNION ALL SELECT high_steps.lang, d.pos, 1, lvl, l, r FROM high_steps JOIN d ON high_steps.lang IS NOT DISTINCT FROM d.lang) s
+    ON s.lang IS NOT DISTINCT FROM d.lang AND s.pos = d.pos
+  GROUP BY d.lang, d.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM (
+  SELECT d.doc_id, d.leaf, sub.subroot, (SELECT arg_max(node, lvl) FROM top) AS root,
+         sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+         list_reduce(list_prepend(coalesce(d.tampered, d.leaf), coalesce(path, [])),
+                     lambda node, step: sha256(split_part(step, '|', 1) || node || split_part(step, '|', 2))) AS folded_root
+  FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang
+  JOIN steps ON steps.lang IS NOT DISTINCT FROM d.lang AND steps.pos = d.pos)
+"""
