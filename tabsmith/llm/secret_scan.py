@@ -79,7 +79,7 @@ LONGEST = 256
 ODD = 0.05
 SLACK = 0.35
 STRETCH = 0.1
-MARGIN = 12.0
+MARGIN = 2.0
 SEED = 12
 ORDINARY_KIND = "ordinary"
 

@@ -114,10 +114,12 @@ def test_added_spans_and_clean_documents(spark):
         hit += any(int(a) < e and s < int(b) for _, a, b in spans)
     for i, t, kind, *_ in rows:
         clean += kind is None and got[i]["n_added"] == 0
-    assert hit >= 0.95 * len(secrets), [(k, t[s - 9: e + 9]) for i, t, k, s, e in secrets if not got[i]["n_added"]]
+    assert hit >= 0.95 * len(secrets), [(k, t[s - 9: e + 9]) for i, t, k, s, e in secrets if not any(int(x.split(":")[1]) < e and s < int(x.split(":")[2]) for x in got[i]["spans"].split(",") if x)]
     assert clean == len(rows) - len(secrets)
-    exact = sum(f"{kind}:{s}:{e}" in got[i]["spans"].split(",") for i, _, kind, s, e in secrets)
-    assert exact >= 0.8 * len(secrets)
+    # where no base span (the hex digits of some formats) lies in the secret, its own span is added
+    free = [r for r in secrets if not any(s < r[4] and r[3] < e for s, _, e, _ in secret_scan.base_spans(r[1]))]
+    exact = sum(f"{kind}:{s}:{e}" in got[i]["spans"].split(",") for i, _, kind, s, e in free)
+    assert len(free) > 60 and exact >= 0.9 * len(free)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
