@@ -2,15 +2,21 @@
 
 :class:`Stored` makes a ``pyspark.ml`` model writable from the constructor
 arguments named in ``_fields``: numbers, texts, lists and arrays go into the
-metadata file, nested models into folders beside it.  Pipelines that hold such
+metadata file, nested models and DataFrames (as Parquet) into folders beside it.  Pipelines that hold such
 models save and load as usual, in any later session.
 """
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame
+
+#: Larger arrays are written as bytes.
+PLAIN_ARRAY = 1000
 
 
 class _Writer(MLWriter):
@@ -19,13 +25,18 @@ class _Writer(MLWriter):
         self.instance = instance
 
     def saveImpl(self, path: str) -> None:
-        nested = []
+        nested, frames = [], []
 
         def plain(v):
+            if isinstance(v, DataFrame):
+                frames.append(v)
+                return {"frame": len(frames) - 1}
             if isinstance(v, Model):
                 nested.append(v)
                 return {"model": len(nested) - 1}
             if isinstance(v, np.ndarray):
+                if v.size > PLAIN_ARRAY:
+                    return {"bytes": base64.b64encode(np.ascontiguousarray(v).tobytes()).decode(), "dtype": str(v.dtype), "shape": list(v.shape)}
                 return {"array": v.tolist(), "dtype": str(v.dtype)}
             if isinstance(v, np.generic):
                 return v.item()
@@ -37,6 +48,8 @@ class _Writer(MLWriter):
         DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"state": state, "nested": len(nested)})
         for i, m in enumerate(nested):
             m.write().save(f"{path}/model-{i}")
+        for i, df in enumerate(frames):
+            df.write.mode("overwrite").parquet(f"{path}/frame-{i}")
 
 
 class _Reader(MLReader):
@@ -50,6 +63,10 @@ class _Reader(MLReader):
 
         def back(v):
             if isinstance(v, dict):
+                if "frame" in v:
+                    return self.sparkSession.read.parquet(f"{path}/frame-{v['frame']}")
+                if "bytes" in v:
+                    return np.frombuffer(base64.b64decode(v["bytes"]), v["dtype"]).reshape(v["shape"])
                 return nested[v["model"]] if "model" in v else np.array(v["array"], dtype=v["dtype"])
             return [back(x) for x in v] if isinstance(v, list) else v
 
