@@ -207,10 +207,22 @@ def hash_uniform(cols, seed: int = 42) -> Column:
     return (F.pmod(h, F.lit(1 << 52)).cast("double")) / F.lit(float(1 << 52))
 
 
+def md5_uniform(cols, seed: int = 42) -> Column:
+    """Deterministic uniform double in [0, 1) from the md5 of the keys; another engine computes the same."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[(c(x) if isinstance(x, str) else x).cast("string") for x in cols])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+def md5_uniform_sql(parts, seed: int = 42) -> str:
+    """The DuckDB expression equal to :func:`md5_uniform`."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({x} AS VARCHAR)' for x in parts)})), 1, 13))::BIGINT / {float(1 << 52)})"
+
+
 def sample_n(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
     """seeded down-sample to n rows, deterministic under any partitioning.
 
     ``orderBy(...).limit(n)`` plans a TakeOrderedAndProject: each task keeps
     its own top n and only n rows per task reach the final merge.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), *[c(x) for x in key_cols]), *[c(x) for x in key_cols]).limit(n)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c(x).cast("string") for x in key_cols]))
+    return df.orderBy(key, *[c(x) for x in df.columns]).limit(n)

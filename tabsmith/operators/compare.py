@@ -6,10 +6,14 @@ grouped aggregate or a window over one row per model.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabsmith.functions.partials import fold
+
 # fixed values: primary / secondary metric per task and direction (True = higher is better)
 PRIMARY = {
     "classification": ("f1_score", True, "roc_auc", True),
@@ -94,33 +98,63 @@ def student_p(t, df, steps: int = 600):
     return F.least(F.lit(1.0), integral(a / (F.lit(1.0) + a)) / integral(F.lit(0.0)))
 
 
+#: Cumulative probabilities of Poisson(1) at 0, 1, ..., 7 (all but 1e-5 of the mass).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+           0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+#: Uniform draws are integers below this prime.
+PRIME = (1 << 31) - 1
+#: Groups whose sums a task holds at once.
+GROUPS = 200
+
+
 def bootstrap_ci(values: DataFrame, value="value", group=(), n_boot: int = 500, alpha: float = 0.05,
                  seed: int = 42, row_id="row_id") -> DataFrame:
     """Q6: percentile bootstrap CI of a mean with Poisson(1) resampling weights.
 
-    Each row contributes a hash-derived Poisson(1) weight to each of the
-    ``n_boot`` replicates (``explode(sequence)``: rows x n_boot, aggregated
-    map-side); replicate means -> exact percentiles of n_boot numbers per group.
+    A row's weight in replicate b comes from the draw (h1 + b * h2) mod ``PRIME``, h1 and h2 being halves of the md5
+    of seed and row id: independent between rows, pairwise independent between replicates.  Every task adds
+    its rows into two arrays of ``n_boot`` sums per group; the arrays are folded on Spark.  No row is repeated.
     """
     g = list(group)
     v = F.col(value).cast("double")
     d = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rep = d.select(*g, v.alias("__v"), F.col(row_id), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("b")), F.lit(1 << 52)).cast("double")
-         / float(1 << 52))
-    # inverse CDF of Poisson(1) by thresholds (k <= 7 covers 1 - 1e-5 of the mass)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-           0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    w = sum((F.when(u > F.lit(p), 1).otherwise(0) for p in cdf), F.lit(0))
-    means = rep.withColumn("w", w).groupBy(*g, "b").agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias("m"))
-    ci = means.groupBy(*g).agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
-    base = d.groupBy(*g).agg(F.avg(v).alias("mean"), F.count(F.lit(1)).alias("n"))
-    if g:
-        out = base.join(ci, g)
-    else:                                   # one interval: inline the two numbers
-        r = ci.first()
-        out = base.select("*", F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"))
-    return out.where(F.col("n") >= 5)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
+    half = [F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") % PRIME for at in (1, 9)]
+    gid = F.xxhash64(*[F.col(x) for x in g]) if g else F.lit(0).cast("bigint")
+    rows = d.select(gid.alias("gid"), v.alias("v"), half[0].alias("h1"), half[1].alias("h2")).where("h1 is not null")
+    limits = np.array([int(p * PRIME) for p in POISSON], np.int64)
+
+    def sums(batches):
+        acc = {}
+        b = np.arange(n_boot, dtype=np.int64)
+        for batch in batches:
+            ids, x, h1, h2 = (batch.column(i).to_numpy() for i in range(4))
+            for s in range(0, len(x), 4096):
+                part = slice(s, s + 4096)
+                draw = (h1[part, None] + b[None] * h2[part, None]) % PRIME
+                w = sum((draw > t).astype(np.uint8) for t in limits).astype(float)
+                for one in np.unique(ids[part]):
+                    m = ids[part] == one
+                    acc.setdefault(int(one), np.zeros(2 * n_boot))
+                    acc[int(one)] += np.concatenate([x[part][m] @ w[m], w[m].sum(0)])
+            if len(acc) > GROUPS:
+                yield from acc.items()
+                acc = {}
+        yield from acc.items()
+
+    def ends(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(1).to_pylist():
+                total, weight = np.frombuffer(data, np.float64).reshape(2, -1)
+                means = total[weight > 0] / weight[weight > 0]
+                out.append(np.quantile(means, [alpha / 2, 1 - alpha / 2]) if len(means) else [np.nan, np.nan])
+            lo_hi = np.array(out).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lo_hi[:, 0]), pa.array(lo_hi[:, 1])], names=["gid", "lo", "hi"])
+
+    ci = fold(rows, sums).mapInArrow(ends, "gid bigint, lo double, hi double")
+    base = d.groupBy(*g).agg(F.avg(v).alias("mean"), F.count(F.lit(1)).alias("n")).withColumn("gid", gid)
+    return base.join(ci, "gid").select(*g, "mean", "n", "lo", "hi").where(F.col("n") >= 5)
 
 
 def overfit_gap(long_by_split: DataFrame, key=("model",)) -> DataFrame:

@@ -23,7 +23,9 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.functions.partials import collected, fold, matrix
 from tabsmith.functions.storage import Stored
+from tabsmith.operators import boosting, density, forest, neighbours, spectral
 
 # trees "without limit": Spark ML grows no tree deeper than 30 levels, an engine limit
 DEEP = 30
@@ -34,6 +36,11 @@ def _label_stats(df, label):
     return int(r["n"]), float(r["s"] or 0.0)
 
 
+def _least_rows(p: dict) -> int:
+    """Rows of a leaf: a node below ``min_samples_split`` rows cannot give two leaves of half as many."""
+    return max(1, int(p.get("min_samples_leaf") or 1), -(-int(p.get("min_samples_split") or 2) // 2))
+
+
 class _Scaled(Estimator):
     """Defers a data-dependent regParam (needs n and sigma_y) to fit time."""
 
@@ -75,7 +82,7 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
         return BayesianRidge(featuresCol=fc, labelCol=lc)
     if key == "reg_decision_tree":
         return DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxDepth=int(p.get("max_depth") or DEEP),
-                                     minInstancesPerNode=max(1, int(p.get("min_samples_leaf", 1))), seed=seed)
+                                     minInstancesPerNode=_least_rows(p), seed=seed)
     if key == "reg_random_forest":
         return RandomForestRegressor(featuresCol=fc, labelCol=lc, numTrees=int(p.get("n_estimators", 200)),
                                      maxDepth=int(p.get("max_depth") or DEEP), seed=seed)
@@ -84,8 +91,11 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
                             stepSize=float(p.get("learning_rate", 0.05)), maxDepth=int(p.get("max_depth", 3)),
                             seed=seed)
     if key == "reg_adaboost":
-        return AdaBoostRegressor(featuresCol=fc, labelCol=lc, n_estimators=int(p.get("n_estimators", 300)),
-                                 learning_rate=float(p.get("learning_rate", 0.05)))
+        return boosting.AdaBoostRegressor(fc, lc, int(p.get("n_estimators", 300)), float(p.get("learning_rate", 0.05)))
+    if key == "reg_extra_trees":
+        return forest.ExtraTrees(fc, lc, "regression", int(p.get("n_estimators", 500)), p.get("max_depth"), p.get("min_samples_leaf"), seed)
+    if key in ("reg_knn", "clf_knn"):
+        return neighbours.KNearest(fc, lc, int(p.get("n_neighbors", 5)), "regression" if key == "reg_knn" else "classification")
     if key == "clf_logistic":
         C = float(p.get("C", 1.0))
 
@@ -97,7 +107,8 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
     if key == "clf_ridge":
         return RidgeClassifier(featuresCol=fc, labelCol=lc, alpha=float(p.get("alpha", 1.0)))
     if key == "clf_decision_tree":
-        return DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxDepth=int(p.get("max_depth") or DEEP), seed=seed)
+        return DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxDepth=int(p.get("max_depth") or DEEP),
+                                      minInstancesPerNode=_least_rows(p), seed=seed)
     if key == "clf_random_forest":
         return RandomForestClassifier(featuresCol=fc, labelCol=lc, numTrees=int(p.get("n_estimators", 300)),
                                       maxDepth=int(p.get("max_depth") or DEEP), seed=seed)
@@ -107,8 +118,9 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
                             seed=seed)
         return _BinaryOrOvr(gbt, fc, lc)
     if key == "clf_adaboost":
-        return AdaBoostClassifier(featuresCol=fc, labelCol=lc, n_estimators=int(p.get("n_estimators", 400)),
-                                  learning_rate=float(p.get("learning_rate", 0.05)))
+        return boosting.AdaBoostClassifier(fc, lc, int(p.get("n_estimators", 400)), float(p.get("learning_rate", 0.05)))
+    if key == "clf_extra_trees":
+        return forest.ExtraTrees(fc, lc, "classification", int(p.get("n_estimators", 500)), p.get("max_depth"), p.get("min_samples_leaf"), seed)
     if key == "clf_svm":
         svc = LinearSVC(featuresCol=fc, labelCol=lc, regParam=0.0 if not p.get("C") else 1.0 / float(p["C"]),
                         maxIter=100)
@@ -127,6 +139,10 @@ def make_estimator(key: str, params: dict, features_col="features", label_col="l
         return KMedoids(featuresCol=fc, k=int(p.get("n_clusters", 8)), seed=seed)
     if key == "clu_divisive":
         return BisectingKMeans(featuresCol=fc, k=int(p.get("n_clusters", 8)), seed=seed, predictionCol="cluster")
+    if key == "clu_dbscan":
+        return density.DBSCAN(fc, float(p.get("eps", 0.5)), int(p.get("min_samples", 5)))
+    if key == "clu_spectral":
+        return spectral.Spectral(fc, int(p.get("n_clusters", 8)), float(p.get("gamma", 1.0)), seed=seed)
     if key == "clu_gmm":
         return GaussianMixture(featuresCol=fc, k=int(p.get("n_components", 8)), seed=seed, predictionCol="cluster")
     if key == "dr_pca":
@@ -150,7 +166,14 @@ class _BinaryOrOvr(Estimator):
         if k is not None and k <= 1:
             m = self.base.fit(df)
             return _Platt.fit_on(m, df, self.lc) if self.calibrate else m
-        return OneVsRest(classifier=self.base, featuresCol=self.fc, labelCol=self.lc).fit(df)
+        if not self.calibrate:
+            return OneVsRest(classifier=self.base, featuresCol=self.fc, labelCol=self.lc).fit(df)
+        # one calibrated margin per class
+        models = []
+        for cls in range(int(k) + 1):
+            one = df.withColumn(self.lc, (F.col(self.lc) == cls).cast("double"))
+            models.append(_Platt.fit_on(self.base.fit(one), one, self.lc))
+        return _PlattRest(models, self.fc)
 
 
 class _Platt(Model, Stored):
@@ -177,6 +200,28 @@ class _Platt(Model, Stored):
         return out.withColumn("probability", array_to_vector(F.array(1 - p1, p1)))
 
 
+class _PlattRest(Model, Stored):
+    """A20 with more than two classes: every class against the rest, calibrated, the probabilities scaled to one."""
+
+    _fields = ("models", "fc")
+
+    def __init__(self, models, fc):
+        super().__init__()
+        self.models, self.fc = models, fc
+
+    def _transform(self, df):
+        out = df
+        for i, m in enumerate(self.models):
+            svm = m.svm.copy().setPredictionCol("__p").setRawPredictionCol("__raw")
+            z = vector_to_array("__raw")[1] * F.lit(m.a) + F.lit(m.b)
+            out = svm.transform(out).withColumn(f"__s{i}", 1.0 / (1.0 + F.exp(-z))).drop("__p", "__raw")
+        shares = F.array(*[F.col(f"__s{i}") for i in range(len(self.models))])
+        total = F.greatest(F.aggregate(shares, F.lit(0.0), lambda a, v: a + v), F.lit(1e-300))
+        out = out.withColumn("probability", array_to_vector(F.transform(shares, lambda v: v / total)))
+        best = (F.array_position(shares, F.array_max(shares)) - 1).cast("double")
+        return out.withColumn("prediction", best).drop(*[f"__s{i}" for i in range(len(self.models))])
+
+
 class _MLP(Estimator):
     def __init__(self, fc, lc, hidden, max_iter, seed):
         super().__init__()
@@ -192,52 +237,55 @@ class _MLP(Estimator):
 
 # ------------------------------------------------------------------ Gram-matrix based
 
+#: Columns of one block of a Gram matrix.
+BLOCK = 128
+
+
 def gram_by_group(df: DataFrame, fc: str, label: str | None = None, group: str | None = None) -> dict:
     """Per group: n, column sums, X'X (and X'y, sum y, sum y^2) -> NumPy.
 
-    Each task multiplies its rows with NumPy (one ``mapInPandas`` pass) and
-    emits one partial row per group; the partials (partitions x groups rows,
-    each p^2 numbers) are summed by the driver.  Result size is independent
-    of the row count.
+    Each task multiplies its rows with NumPy and emits its matrices in blocks of ``BLOCK`` columns; the
+    blocks are summed on Spark (``functions.partials``), so the driver gets p^2 numbers per group once, whatever
+    the number of rows or tasks.  ``group`` is a class label: its distinct values are listed first.
     """
-    import pandas as pd
-    arr = vector_to_array(F.col(fc))
-    cols = [arr.alias("__x")]
-    cols.append(F.col(label).cast("double").alias("__y") if label else F.lit(0.0).alias("__y"))
-    cols.append(F.col(group).cast("string").alias("__g") if group else F.lit("").alias("__g"))
-    d = df.select(*cols)
-
-    def part(it):
+    cols = [vector_to_array(F.col(fc)).alias("x"), F.col(label).cast("double").alias("y") if label else F.lit(0.0).alias("y"),
+            F.col(group).cast("string").alias("g") if group else F.lit("").alias("g")]
+    d = df.select(*cols).filter("x is not null and g is not null")
+    names = sorted(r["g"] for r in d.select("g").distinct().collect()) if group else [""]     # class labels
+    number = {g: i for i, g in enumerate(names)}
+    head = d.agg(F.max(F.size("x"))).first()[0]
+    p = head or 0
+    edges = list(range(0, p, BLOCK))
+    per = len(edges) ** 2 + 1                              # blocks of a group; the last holds sums and X'y
+
+    def part(batches):
         acc = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for g, sub in pdf.groupby("__g", sort=False):
-                X = np.stack(sub["__x"].to_numpy()).astype(float)
-                y = sub["__y"].to_numpy(dtype=float)
-                a = acc.setdefault(g, [0, 0.0, 0.0, 0.0, 0.0, 0.0])
-                a[0] += len(sub)
-                a[1] = a[1] + X.sum(axis=0)
-                a[2] = a[2] + X.T @ X
-                a[3] = a[3] + X.T @ y
-                a[4] += float(y.sum())
-                a[5] += float(y @ y)
-        for g, a in acc.items():
-            yield pd.DataFrame({"g": [g], "n": [a[0]], "s": [np.ravel(a[1]).tolist()], "G": [np.ravel(a[2]).tolist()],
-                                "xy": [np.ravel(a[3]).tolist()], "sy": [a[4]], "syy": [a[5]]})
-    schema = "g string, n long, s array<double>, G array<double>, xy array<double>, sy double, syy double"
+        for b in batches:
+            x, y = matrix(b.column(0)), b.column(1).to_numpy()
+            code = np.array([number[g] for g in b.column(2).to_pylist()], int)
+            for g in np.unique(code):
+                xs, ys = x[code == g], y[code == g]
+                a = acc.setdefault(int(g), [np.zeros((p, p)), np.zeros(2 * p + 3)])
+                a[0] += xs.T @ xs
+                a[1] += np.concatenate([xs.sum(0), xs.T @ ys, [len(xs), ys.sum(), ys @ ys]])
+        for g, (square, sums) in acc.items():
+            for i, r in enumerate(edges):
+                for j, c in enumerate(edges):
+                    yield g * per + i * len(edges) + j, square[r: r + BLOCK, c: c + BLOCK].reshape(-1)
+            yield g * per + per - 1, sums
+
+    got = collected(fold(d, part))
     out = {}
-    for r in d.mapInPandas(part, schema).collect():      # partitions x groups rows
-        s_, G = np.array(r["s"]), np.array(r["G"])
-        p = len(s_)
-        cur = out.setdefault(r["g"], {"n": 0, "s": np.zeros(p), "G": np.zeros((p, p)), "xy": np.zeros(p),
-                                      "sy": 0.0, "syy": 0.0, "p": p})
-        cur["n"] += r["n"]
-        cur["s"] += s_
-        cur["G"] += G.reshape(p, p)
-        cur["xy"] += np.array(r["xy"])
-        cur["sy"] += r["sy"]
-        cur["syy"] += r["syy"]
+    for name, g in number.items():
+        if g * per + per - 1 not in got:
+            continue
+        sums, square = got[g * per + per - 1], np.zeros((p, p))
+        for i, r in enumerate(edges):
+            for j, c in enumerate(edges):
+                cell = square[r: r + BLOCK, c: c + BLOCK]
+                cell[:] = got[g * per + i * len(edges) + j].reshape(cell.shape)
+        out[name] = {"n": int(sums[2 * p]), "s": sums[:p].copy(), "G": square, "xy": sums[p: 2 * p].copy(),
+                     "sy": float(sums[2 * p + 1]), "syy": float(sums[2 * p + 2]), "p": p}
     return out
 
 
@@ -419,126 +467,6 @@ class _Projection(Model, Stored):
         return df.withColumn("projection", array_to_vector(F.array(*comps)))
 
 
-# ------------------------------------------------------------------ boosting loops
-
-class AdaBoostClassifier(Estimator):
-    """SAMME with depth-1 trees; each round is one weighted tree fit + one weighted error aggregate."""
-
-    def __init__(self, featuresCol="features", labelCol="label", n_estimators=400, learning_rate=0.05):
-        super().__init__()
-        self.fc, self.lc, self.T, self.lr = featuresCol, labelCol, n_estimators, learning_rate
-
-    def _fit(self, df):
-        from tabsmith.session import cut_lineage
-        K = int(df.agg(F.max(self.lc)).first()[0]) + 1
-        n = df.count()
-        cur = df.select(self.fc, self.lc, F.lit(1.0 / n).alias("__w")).persist()
-        trees, alphas = [], []
-        for t in range(self.T):
-            tree = DecisionTreeClassifier(featuresCol=self.fc, labelCol=self.lc, weightCol="__w", maxDepth=1,
-                                          predictionCol="__p", rawPredictionCol="__raw",
-                                          probabilityCol="__prob").fit(cur)
-            pred = tree.transform(cur)
-            err = pred.agg((F.sum(F.when(F.col("__p") != F.col(self.lc), F.col("__w")).otherwise(0.0))
-                            / F.sum("__w")).alias("e")).first()["e"]
-            if err is None or err >= 1 - 1.0 / K:
-                break
-            err = max(err, 1e-10)
-            a = self.lr * (np.log((1 - err) / err) + np.log(K - 1))
-            trees.append(tree)
-            alphas.append(a)
-            if err <= 1e-10:
-                break
-            nxt = pred.select(self.fc, self.lc, (F.col("__w") * F.exp(F.when(F.col("__p") != F.col(self.lc), a)
-                                                                     .otherwise(0.0))).alias("__w"))
-            tot = nxt.agg(F.sum("__w")).first()[0]
-            nxt = nxt.withColumn("__w", F.col("__w") / tot)
-            if (t + 1) % 10 == 0:
-                nxt = cut_lineage(nxt)
-            else:
-                nxt = nxt.persist()
-            cur.unpersist()
-            cur = nxt
-        return _AdaBoostClfModel(trees, alphas, K, self.fc)
-
-
-class _AdaBoostClfModel(Model, Stored):
-    _fields = ("trees", "alphas", "K", "fc")
-
-    def __init__(self, trees, alphas, K, fc):
-        super().__init__()
-        self.trees, self.alphas, self.K, self.fc = trees, alphas, K, fc
-
-    def _transform(self, df):
-        out = df.withColumn("__votes", F.array(*[F.lit(0.0) for _ in range(self.K)]))
-        for i, (tree, a) in enumerate(zip(self.trees, self.alphas)):
-            tp = tree.copy().setPredictionCol(f"__t{i}").setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__q{i}")
-            out = tp.transform(out).drop(f"__r{i}", f"__q{i}")
-            out = out.withColumn("__votes", F.transform("__votes", lambda v, k: v + F.when(
-                F.col(f"__t{i}") == k, F.lit(float(a))).otherwise(0.0))).drop(f"__t{i}")
-        best = F.array_position(F.col("__votes"), F.array_max("__votes")) - 1
-        return out.withColumn("prediction", best.cast("double")).drop("__votes")
-
-
-class AdaBoostRegressor(Estimator):
-    """A10: AdaBoost.R2 (linear loss) with depth-3 trees; weighted-median combination."""
-
-    def __init__(self, featuresCol="features", labelCol="label", n_estimators=300, learning_rate=0.05):
-        super().__init__()
-        self.fc, self.lc, self.T, self.lr = featuresCol, labelCol, n_estimators, learning_rate
-
-    def _fit(self, df):
-        from tabsmith.session import cut_lineage
-        n = df.count()
-        cur = df.select(self.fc, self.lc, F.lit(1.0 / n).alias("__w")).persist()
-        trees, betas = [], []
-        for t in range(self.T):
-            tree = DecisionTreeRegressor(featuresCol=self.fc, labelCol=self.lc, weightCol="__w", maxDepth=3,
-                                         predictionCol="__p").fit(cur)
-            pred = tree.transform(cur).withColumn("__e", F.abs(F.col("__p") - F.col(self.lc)))
-            emax = pred.agg(F.max("__e")).first()[0]
-            if not emax:
-                trees.append(tree)
-                betas.append(1e-10)
-                break
-            pred = pred.withColumn("__l", F.col("__e") / F.lit(emax))
-            eb = pred.agg((F.sum(F.col("__w") * F.col("__l")) / F.sum("__w")).alias("e")).first()["e"]
-            if eb >= 0.5:
-                break
-            beta = eb / (1 - eb)
-            trees.append(tree)
-            betas.append(beta)
-            nxt = pred.select(self.fc, self.lc, (F.col("__w") * F.pow(F.lit(max(beta, 1e-300)),
-                                                                      (1 - F.col("__l")) * self.lr)).alias("__w"))
-            tot = nxt.agg(F.sum("__w")).first()[0]
-            nxt = nxt.withColumn("__w", F.col("__w") / tot)
-            nxt = cut_lineage(nxt) if (t + 1) % 10 == 0 else nxt.persist()
-            cur.unpersist()
-            cur = nxt
-        return _AdaBoostRegModel(trees, [self.lr * np.log(1 / max(b, 1e-300)) for b in betas], self.fc)
-
-
-class _AdaBoostRegModel(Model, Stored):
-    _fields = ("trees", "weights", "fc")
-
-    def __init__(self, trees, weights, fc):
-        super().__init__()
-        self.trees, self.weights, self.fc = trees, weights, fc
-
-    def _transform(self, df):
-        out = df
-        preds = []
-        for i, tree in enumerate(self.trees):
-            out = tree.copy().setPredictionCol(f"__t{i}").transform(out)
-            preds.append(F.struct(F.col(f"__t{i}").alias("p"), F.lit(float(self.weights[i])).alias("w")))
-        half = 0.5 * float(sum(self.weights))
-        srt = F.array_sort(F.array(*preds))
-        cum = F.transform(srt, lambda e, k: F.aggregate(F.slice(srt, 1, k + 1), F.lit(0.0), lambda a, x: a + x["w"]))
-        idx = F.array_position(F.transform(cum, lambda c_: c_ >= half), True)
-        out = out.withColumn("prediction", F.element_at(srt, idx.cast("int"))["p"])
-        return out.drop(*[f"__t{i}" for i in range(len(self.trees))])
-
-
 # ------------------------------------------------------------------ mini-batch k-means
 
 class MiniBatchKMeans(Estimator):

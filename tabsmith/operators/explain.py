@@ -15,12 +15,13 @@ from typing import Callable
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsmith.functions.columns import c, hash_uniform
+from tabsmith.functions.columns import c, hash_uniform, md5_uniform
 from tabsmith.functions.stats import quantile_dict
 
 
@@ -230,49 +231,104 @@ def decision_surface(df: DataFrame, scorer: Scorer, f1: str, f2: str, n: int = 1
 
 # ------------------------------------------------------------------ X1 permutation importance
 
+def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Image of the row numbers ``i`` under a keyed permutation of 0 ... n - 1 (a Feistel network with cycle walking)."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    out = i.astype(np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for turn in range(4):
+            mixed = (right * 0x9E3779B1 + key * 0x85EBCA77 + turn * 0xC2B2AE3D) & 0xFFFFFFFF
+            mixed = (mixed ^ (mixed >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
+            mixed = (mixed ^ (mixed >> 12)) * 0x297A2D39 & 0xFFFFFFFF
+            left, right = right, left ^ ((mixed ^ (mixed >> 15)) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with ``__pos`` 0 ... n - 1 in the order of the kept partitions, and n; nothing is sorted or shuffled."""
+    from tabsmith.session import cut_lineage
+    rows = cut_lineage(df).withColumn("__id", F.monotonically_increasing_id())
+    rows = rows.withColumn("__part", F.shiftright("__id", 33))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)          # one row per partition
+    starts = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    n = sizes.agg(F.sum("__n")).first()[0] or 0
+    rows = rows.join(starts, "__part").withColumn("__pos", F.col("__id") - F.col("__first") + F.col("__start"))
+    return rows.drop("__id", "__part", "__first", "__start"), n
+
+
 def permutation_importance(df: DataFrame, scorer: Scorer, label: str, keys, metric: str = "r2",
                            repeats: int = 5, seed: int = 42, top: int = 20) -> DataFrame:
     """Score drop when one feature's column is permuted (per feature x repeat).
 
-    The permutation of rows is the order of a seeded hash: row at position i
-    receives the feature value of the row at hash-rank i.  Positions and
-    hash-ranks come from the distributed ``positions`` helper per (feature,
-    repeat) group, so all p x repeats permutations are built in one pass.
+    Rows are numbered as they lie.  For every feature and repeat a keyed permutation of the numbers says
+    which row gets a row's value, so only (row number, slot, value) is shuffled; the permuted values of a row come
+    together once, and its variants are scored in place.
     """
-    from tabsmith.operators.ordered import positions
     feats = list(scorer.features)
-    base = positions(df.select(*[c(k) for k in keys], *[c(f) for f in feats], c(label)),
-                     [*keys, *feats]).drop("__pid")                      # __pos: 0..n-1
-    base = base.persist()
-    long = base.select("__pos", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), c(f).cast("double").alias("v"))
-                                                   for f in feats])))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
-    perm = base.select("__pos", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"), reps)
-    perm = perm.withColumn("__h", F.xxhash64(F.lit(seed), "feature", "rep", "__pos"))
-    # the row at hash-rank i (destination i) receives the value of source row __src
-    src = perm.select("feature", "rep", F.col("__pos").alias("__src"), "__h")
-    dst = positions(src, ["__h"], ["feature", "rep"]).select("feature", "rep", "__src", F.col("__pos").alias("__dst"))
-    moved = dst.join(long.withColumnRenamed("__pos", "__src"), ["feature", "__src"]) \
-        .select("feature", "rep", F.col("__dst").alias("__pos"), F.col("v").alias("__newv"))
-    ex = base.join(moved, "__pos")
-    for f in feats:
-        ex = ex.withColumn(f, F.when(F.col("feature") == f, F.col("__newv")).otherwise(c(f)))
-    sc = scorer(ex.drop("__newv"))
+    base, n = numbered(df.select(*[c(f).cast("double").alias(f) for f in feats], c(label).alias("__y")))
+    slots = [(j, r) for j in range(len(feats)) for r in range(repeats)]
+
+    def moved(batches):
+        for b in batches:
+            pos = b.column(0).to_numpy()
+            for k, (j, _) in enumerate(slots):
+                to = permuted(pos, n, seed * 1_000_003 + k)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(pos), k, np.int32)), b.column(1 + j)],
+                                                 names=["__pos", "slot", "v"])
+
+    values = base.select("__pos", *[c(f) for f in feats]).mapInArrow(moved, "__pos bigint, slot int, v double")
+    values = values.groupBy("__pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("__v"))   # p x repeats
+    variant = [F.struct(F.lit(feats[j]).alias("feature"), F.lit(r).alias("rep"),
+                        *[(F.element_at("__v", k) if i == j else c(f)).alias(f) for i, f in enumerate(feats)], F.col("__y"))
+               for k, (j, r) in enumerate(slots)]
+    sc = scorer(base.join(values, "__pos").select(F.inline(F.array(*variant))))
     full = scorer(base)
-    y = c(label).cast("double")
+    y = F.col("__y").cast("double")
 
     def score(d, g):
         if metric == "accuracy":
-            return d.groupBy(*g).agg(F.avg((c(label) == F.col("prediction")).cast("double")).alias("s"))
+            return d.groupBy(*g).agg(F.avg((F.col("__y") == F.col("prediction")).cast("double")).alias("s"))
         return d.groupBy(*g).agg((1 - F.avg((y - F.col("prediction")) ** 2) / F.var_pop(y)).alias("s"))
     base_score = score(full, []).first()["s"]
     per = score(sc, ["feature", "rep"])
     out = per.groupBy("feature").agg((F.lit(float(base_score)) - F.avg("s")).alias("importance_mean"),
                                      F.stddev_pop(F.lit(float(base_score)) - F.col("s")).alias("importance_std"))
-    base.unpersist()
     return out.orderBy(F.abs("importance_mean").desc(), "feature").limit(top)
 
 
+# ------------------------------------------------------------------ X13, Q9 projections
+
+def principal_components(df: DataFrame, features, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, components (features x k), variances) from one Gram pass; a component's greatest element is positive."""
+    from tabsmith.operators.estimators import gram
+    va = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="skip")
+    g = gram(va.transform(df.select(*[c(f).cast("double").alias(f) for f in features])), "__f")
+    mean = g["s"] / g["n"]
+    values, vectors = np.linalg.eigh(g["G"] / g["n"] - np.outer(mean, mean))
+    w = vectors[:, ::-1][:, :k]
+    return mean, w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])]), values[::-1][:k]
+
+
+def project(df: DataFrame, features, mean: np.ndarray, w: np.ndarray) -> DataFrame:
+    """Columns c1 ... ck: the centred features times the components, as plain expressions."""
+    for j in range(w.shape[1]):
+        terms = [(c(f).cast("double") - F.lit(float(m))) * F.lit(float(x)) for f, m, x in zip(features, mean, w[:, j], strict=True)]
+        df = df.withColumn(f"c{j + 1}", sum(terms[1:], terms[0]))
+    return df
+
+
+def error_projection(df: DataFrame, features, error, k: int = 2) -> DataFrame:
+    """Every scored row with its ``error`` (an expression) and its place on the first ``k`` principal components."""
+    mean, w, _ = principal_components(df, features, k)
+    return project(df.withColumn("error", error), features, mean, w)
+
+
 # ------------------------------------------------------------------ X9 counterfactuals
 
 def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300, max_changes: int = 4,
@@ -285,13 +341,15 @@ def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300
     base = scorer(df.select(*[c(k) for k in keys], *[c(f) for f in feats])).withColumnRenamed("prediction", "__p0")
     if "p1" in base.columns:
         base = base.drop("p1")
+    # the original values travel with the candidate: no join back
+    base = base.select("*", *[c(f).alias(f"__orig{j}") for j, f in enumerate(feats)])
     ex = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_candidates))).alias("__cand"))
     nf = len(feats)
     for j, f in enumerate(feats):
         lo, hi = float(mm[f"lo_{f}"]), float(mm[f"hi_{f}"])
         # feature j changes when it is among the candidate's first max_changes hash-ranked features
-        u_pick = hash_uniform([*keys, "__cand", F.lit(f"pick{j}")], seed)
-        u_val = hash_uniform([*keys, "__cand", F.lit(f"val{j}")], seed)
+        u_pick = md5_uniform([*keys, "__cand", F.lit(f"pick{j}")], seed)
+        u_val = md5_uniform([*keys, "__cand", F.lit(f"val{j}")], seed)
         ex = ex.withColumn(f"__pick{j}", u_pick).withColumn(f"__new{j}", F.lit(lo) + u_val * F.lit(hi - lo))
     picks = F.array(*[F.col(f"__pick{j}") for j in range(nf)])
     kth = F.element_at(F.array_sort(picks), min(max_changes, nf))
@@ -299,8 +357,7 @@ def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300
         ex = ex.withColumn(f, F.when(F.col(f"__pick{j}") <= kth, F.col(f"__new{j}")).otherwise(c(f)))
     dist = F.sqrt(sum((((c(f) - F.col(f"__orig{j}")) / F.lit(max(1e-12, float(mm[f"hi_{f}"]) - float(mm[f"lo_{f}"])))) ** 2
                        for j, f in enumerate(feats)), F.lit(0.0)))
-    orig = df.select(*[c(k) for k in keys], *[c(f).alias(f"__orig{j}") for j, f in enumerate(feats)])
-    sc = scorer(ex).join(orig, list(keys))
+    sc = scorer(ex)
     if task == "classification":
         hit = F.col("prediction") != F.col("__p0")
     else:

@@ -142,7 +142,9 @@ def _visits(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, d2, key) of the best k of every visit; ``queries`` has qid, leaf, x and a limit of d2."""
     kind = dict(points.dtypes)["keys"][6:-1]
     counts = queries.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    left = points.join(counts, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("leaf", "chunk", "x", "keys")
+    left = points.join(counts, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # reference rows and queries may come from one table: the columns of this side get their own identity
+    left = left.select(*[F.col(n).alias(n) for n in ("leaf", "chunk", "x", "keys")])
     right = queries.join(counts, "leaf").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks"))).select("leaf", "chunk", "qid", "x", "d2")
 
     def visit(rows: pa.Table, asked: pa.Table) -> pa.Table:

@@ -10,6 +10,7 @@ tables, we profile all rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tabsmith.functions.columns import (c, is_datetime, is_integral, is_numeric, is_string, kind,
                                         nan_to_null, q)
+from tabsmith.functions.correlation import correlation_matrix
 from tabsmith.functions.stats import (kurtosis_bias_corrected, quantiles, skew_bias_corrected,
                                       value_counts)
 
@@ -443,24 +445,20 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def correlation_long(df: DataFrame, columns=None) -> DataFrame:
-    """PR21: pairwise-complete Pearson correlation, long form (a < b), one aggregate.
+    """PR21: pairwise-complete Pearson correlation, long form (a < b), from one blocked pass (``functions.correlation``).
 
     All-null numeric columns are dropped (the reference drops them before
-    ``corr``).  p columns -> p(p-1)/2 ``corr`` aggregates in one pass.
+    ``corr``).  The driver gets p x p numbers; null where a correlation is undefined.
     """
-    df = nan_to_null(df)
     cols = list(columns) if columns else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    nn = df.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(cols)]).first() if cols else None
-    cols = [x for i, x in enumerate(cols) if nn[i] > 0] if cols else []
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    spark = df.sparkSession
-    if not pairs:
-        return spark.createDataFrame([], "col_a string, col_b string, pos_a int, pos_b int, corr double")
-    row = df.agg(*[F.corr(_num(cols[i]), _num(cols[j])).alias(f"c{i}_{j}") for i, j in pairs])
-    structs = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                        F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                        F.col(f"c{i}_{j}").alias("corr")) for i, j in pairs]
-    return row.select(F.inline(F.array(*structs)))
+    corr, shared = correlation_matrix(df, [_num(x) for x in cols])
+    kept = [i for i in range(len(cols)) if shared[i, i] > 0]
+    rows = []
+    for a, i in enumerate(kept):
+        for b in range(a + 1, len(kept)):
+            r = float(corr[i, kept[b]])
+            rows.append((cols[i], cols[kept[b]], a, b, None if np.isnan(r) else r))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, corr double")
 
 
 def high_correlation_pairs(df: DataFrame, threshold: float = 0.9, columns=None) -> DataFrame:

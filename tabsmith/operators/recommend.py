@@ -10,11 +10,15 @@ evaluate the same text.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabsmith.functions.columns import c, finite, is_numeric
+from tabsmith.functions.correlation import correlation_matrix
 from tabsmith.plans.registry import registry
 
 FAM = "lower(family)"
@@ -141,6 +145,27 @@ def score_candidates(meta: DataFrame, req: DataFrame, bias: DataFrame | None = N
     return j.withColumn("score_total", F.expr(total_expr("bround")))
 
 
+#: Code of every rule that speaks for a card, with its condition.
+REASONS = [
+    ("small_data_linear", f"{SMALL_HIGH} AND {LIN_OR_LOGIT}"),
+    ("wide_data_trees", f"n_features > 100 AND n_samples > 10000 AND ({TREE} OR {BOOST})"),
+    ("many_categoricals", f"n_categorical > 10 AND {CATGBM}"),
+    ("class_weights", IMBALANCED),
+    ("noise_robust", f"noise_level = 'High' AND ({_has(NM, 'ridge')} OR {SVM} OR {TREE})"),
+    ("collinear_regularised", f"corr_high_pair_ratio > 0.05 AND ({_has(NM, 'ridge')} OR {_has(NM, 'lasso')} OR {LIN})"),
+    ("non_linear", f"linearity_score < 0.4 AND ({BOOST} OR {TREE})"),
+    ("preset_car_price", f"{_has(PRESET, 'car price')} AND ({_has(K, 'xgboost')} OR {_has(K, 'lightgbm')} OR {_has(NM, 'random forest')})"),
+    ("preset_fuel", f"{_has(PRESET, 'fuel')} AND ({_has(NM, 'gradient')} OR {LIN})"),
+    ("preset_segmentation", f"{_has(PRESET, 'segmentation')} AND task_type = 'clustering' AND ({_has(K, 'kmeans')} OR {_has(K, 'dbscan')})"),
+]
+
+
+def with_reasons(scored: DataFrame) -> DataFrame:
+    """``reasons``, the codes of the rules that speak for a card; empty where none does."""
+    codes = F.array(*[F.when(F.expr(cond), F.lit(code)) for code, cond in REASONS])
+    return scored.withColumn("reasons", F.filter(codes, lambda x: x.isNotNull()))
+
+
 def recommend_top(meta: DataFrame, req: DataFrame, bias: DataFrame | None = None, k: int = 5) -> DataFrame:
     """Top k per dataset; ties keep registry order (stable sort)."""
     s = score_candidates(meta, req, bias)
@@ -188,33 +213,21 @@ def meta_features(df: DataFrame, dataset_id: str, target: str | None = None, tas
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != tgt]
     cat = [f.name for f in df.schema.fields if f.name not in num and f.name != tgt]
     ncols = len(df.columns)
-    pairs = [(i, j) for i in range(len(num)) for j in range(i + 1, len(num))]
-    # one projection evaluates the null flags and the completeness test once per row; corr ignores
-    # rows where an input is null, so nulling incomplete rows = filtering them
-    from functools import reduce
     flags = [(c(x).isNull() | (F.isnan(c(x)) if is_numeric(df.schema[x].dataType) else F.lit(False)))
              .cast("int").alias(f"__m{k}") for k, x in enumerate(df.columns)]
-    proj = [*flags]
-    if pairs:
+    row = df.select(*flags).agg(F.count(F.lit(1)).alias("n_samples"),
+                                sum((F.sum(f"__m{k}") for k in range(len(df.columns))), F.lit(0)).alias("__nulls"))
+    mean_abs = high = None
+    if len(num) >= 2:
+        # complete, finite rows only: the blocked pass sees no missing cell
         complete = reduce(lambda a, b: a & b, [finite(c(x)) for x in num])
-        proj += [complete.cast("int").alias("__ok")] + \
-            [F.when(complete, c(x).cast("double")).alias(f"__x{i}") for i, x in enumerate(num)]
-    d = df.select(*proj)
-    aggs = [F.count(F.lit(1)).alias("n_samples"),
-            sum((F.sum(f"__m{k}") for k in range(len(df.columns))), F.lit(0)).alias("__nulls")]
-    if pairs:
-        aggs += [F.sum("__ok").alias("__n")] + [F.corr(f"__x{i}", f"__x{j}").alias(f"r{i}_{j}") for i, j in pairs]
-    row = d.agg(*aggs)
-    if pairs:
-        arr = F.array(*[F.abs(F.col(f"r{i}_{j}")) for i, j in pairs])
-        nn = F.filter(arr, lambda v: v.isNotNull() & ~F.isnan(v))
-        mean_abs = F.aggregate(nn, F.lit(0.0), lambda a, v: a + v) / F.size(nn)
-        high = F.size(F.filter(arr, lambda v: v > 0.9)) / F.lit(float(len(pairs)))
-        corr_cols = [F.when((F.col("__n") >= 20) & (F.size(nn) > 0), mean_abs).alias("corr_mean_abs"),
-                     F.when(F.col("__n") >= 20, high).alias("corr_high_pair_ratio")]
-    else:
-        corr_cols = [F.lit(None).cast("double").alias("corr_mean_abs"),
-                     F.lit(None).cast("double").alias("corr_high_pair_ratio")]
+        corr, shared = correlation_matrix(df.where(complete), [c(x).cast("double") for x in num])
+        r = np.abs(corr[np.triu_indices(len(num), 1)])
+        if shared[0, 0] >= 20:
+            known = r[~np.isnan(r)]
+            mean_abs = float(known.mean()) if len(known) else None
+            high = float((known > 0.9).sum() / len(r))
+    corr_cols = [F.lit(mean_abs).cast("double").alias("corr_mean_abs"), F.lit(high).cast("double").alias("corr_high_pair_ratio")]
     out = row.select(
         F.lit(dataset_id).alias("dataset_id"), F.col("n_samples").cast("bigint").alias("n_samples"),
         F.lit(ncols - (1 if tgt else 0)).cast("bigint").alias("n_features"),
@@ -277,41 +290,51 @@ def feedback_bias(feedback: DataFrame, limit: int = 500) -> DataFrame:
                     .alias("bias"))
 
 
-def linearity_score(df: DataFrame, target: str, task: str, keys=None, seed: int = 42) -> DataFrame:
+#: Width of the hashed one-hot block of all categorical columns together.
+HASHED = 1 << 10
+
+
+def linearity_score(df: DataFrame, target: str, task: str, keys=None, seed: int = 42, width: int = HASHED) -> DataFrame:
     """Hold-out score of a plain linear model as a linearity proxy (one row).
 
-    median-imputed numerics + most-frequent-imputed one-hot categoricals ->
-    linear (R^2 clipped to [-1, 1]) or logistic ((accuracy - .5) / .5 clipped to
-    [0, 1]); 80/20 md5-bucket split over all rows (the reference samples 5 000).
+    Numerics are imputed with their exact median; a categorical cell counts in one of ``width`` hashed
+    columns, a missing one as its column's most frequent value, so a column with any number of values
+    adds no state.  Linear (R^2 clipped to [-1, 1]) or logistic ((accuracy - .5) / .5 clipped to
+    [0, 1]) model; 80/20 md5-bucket split over all rows (the reference samples 5 000).
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
     from pyspark.ml.regression import LinearRegression
+
     from tabsmith.functions.columns import hash_bucket
+    from tabsmith.functions.stats import quantile_dict
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != target]
     cat = [f.name for f in df.schema.fields if f.name not in num and f.name != target
            and f.dataType.simpleString() == "string"]
-    d = df.select(*[c(x).cast("double").alias(x) for x in num], *[c(x) for x in cat], c(target).alias("__t"),
-                  hash_bucket(keys or df.columns, seed).alias("__b"))
-    stages = []
-    if num:
-        stages.append(Imputer(inputCols=num, outputCols=[f"{x}__i" for x in num], strategy="median"))
+    d = df.select(*[c(x).cast("double").alias(f"n{i}") for i, x in enumerate(num)], *[c(x).alias(f"c{i}") for i, x in enumerate(cat)],
+                  c(target).alias("__t"), hash_bucket(keys or df.columns, seed).alias("__b")).where("__t is not null")
+    train = d.where(F.col("__b") >= 2000)
+    median = quantile_dict(train, [f"n{i}" for i in range(len(num))], [0.5])
+    for i in range(len(num)):
+        v = F.col(f"n{i}")
+        d = d.withColumn(f"n{i}", F.when(v.isNull() | F.isnan(v), F.lit(median[f"n{i}"][0] or 0.0)).otherwise(v))
+    for i in range(len(cat)):
+        often = train.where(f"c{i} is not null").groupBy(f"c{i}").count().orderBy(F.desc("count"), f"c{i}").first()
+        d = d.withColumn(f"c{i}", F.coalesce(F.col(f"c{i}"), F.lit(often[0] if often else "")))
+    parts = [f"n{i}" for i in range(len(num))]
     if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=[f"{x}__s" for x in cat], handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCols=[f"{x}__s" for x in cat], outputCols=[f"{x}__o" for x in cat],
-                                    handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"{x}__i" for x in num] + [f"{x}__o" for x in cat], outputCol="__f",
-                                  handleInvalid="keep"))
+        d = FeatureHasher(inputCols=[f"c{i}" for i in range(len(cat))], outputCol="__h", numFeatures=width).transform(d)
+        parts.append("__h")
+    d = VectorAssembler(inputCols=parts, outputCol="__f", handleInvalid="keep").transform(d)
     if task == "regression":
         d = d.withColumn("__y", F.col("__t").cast("double"))
-        stages.append(LinearRegression(featuresCol="__f", labelCol="__y", regParam=0.0))
+        # a hashed block is not of full rank; the quasi-Newton solver needs no inverse
+        est = LinearRegression(featuresCol="__f", labelCol="__y", regParam=0.0, solver="l-bfgs" if cat else "auto")
     else:
-        stages.insert(0, StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep"))
-        stages.append(LogisticRegression(featuresCol="__f", labelCol="__y", maxIter=200))
-    train, test = d.where(F.col("__b") >= 2000), d.where(F.col("__b") < 2000)
-    pred = Pipeline(stages=stages).fit(train).transform(test)
+        # classes of the target: as many as a classifier can have
+        d = StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep").fit(d.where(F.col("__b") >= 2000)).transform(d)
+        est = LogisticRegression(featuresCol="__f", labelCol="__y", maxIter=200)
+    pred = est.fit(d.where(F.col("__b") >= 2000)).transform(d.where(F.col("__b") < 2000))
     if task == "regression":
         e = F.col("__y") - F.col("prediction")
         s = 1 - F.avg(e * e) / F.var_pop("__y")

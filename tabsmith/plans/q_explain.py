@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabsmith.functions.columns import md5_uniform_sql
 from tabsmith.operators import explain as X
 from tabsmith.plans.catalog import register, rnd
 from tabsmith.plans.fixtures import REG_PRED_SQL, reg_pred, table
@@ -180,13 +181,55 @@ def q_perm(spark, sf):
     return X.permutation_importance(li, _reg_scorer(), "y", KEYS, metric="r2", repeats=5)
 
 
-@register("explain_counterfactuals")
+_DRAW = {k: md5_uniform_sql(["p_partkey", "cand", f"'{k}'"]) for k in ("val0", "val1")}
+
+
+@register("explain_counterfactuals", f"""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part),
+ r AS (SELECT min(p_size) AS lo0, max(p_size) AS hi0, min(p_retailprice) AS lo1, max(p_retailprice) AS hi1 FROM p),
+ -- with two features and up to two changes every candidate changes both
+ d AS (SELECT p.*, cand, lo0 + {_DRAW['val0']} * (hi0 - lo0) AS n0, lo1 + {_DRAW['val1']} * (hi1 - lo1) AS n1,
+              p_retailprice + 10 * p_size > 1200 AS was, hi0 - lo0 AS w0, hi1 - lo1 AS w1
+       FROM p, r, (SELECT unnest(range(1, 301)) AS cand)),
+ hit AS (SELECT *, sqrt(((n0 - p_size) / w0) ^ 2 + ((n1 - p_retailprice) / w1) ^ 2) AS distance FROM d WHERE (n1 + 10 * n0 > 1200) <> was)
+SELECT p_partkey, round(arg_min(n0, distance), 4) AS new_size, round(arg_min(n1, distance), 4) AS new_price,
+  round(min(distance), 6) AS distance, CAST(any_value(was) AS DOUBLE) AS prediction FROM hit GROUP BY p_partkey""")
 def q_cf(spark, sf):
     """300 candidates per part; nearest change that flips the rule classifier."""
     p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     sc = X.Scorer.sql("CAST(p_retailprice + 10 * p_size > 1200 AS DOUBLE)", ["p_size", "p_retailprice"])
-    return X.counterfactuals(p, sc, ["p_partkey"], n_candidates=300, max_changes=2)
+    out = X.counterfactuals(p, sc, ["p_partkey"], n_candidates=300, max_changes=2)
+    out = out.select("p_partkey", F.col("cf.p_size").alias("new_size"), F.col("cf.p_retailprice").alias("new_price"), "distance", "prediction")
+    return rnd(out, {"new_size": 4, "new_price": 4, "distance": 6})
+
+
+@register("explain_decision_surface_full", f"""WITH a AS (SELECT i, g FROM (SELECT unnest(range(120)) AS i) x,
+    LATERAL (SELECT (SELECT min(l_discount) FROM lineitem) + ((SELECT max(l_discount) FROM lineitem)
+             - (SELECT min(l_discount) FROM lineitem)) * x.i / 119 AS g)),
+ b AS (SELECT i AS j, g FROM (SELECT unnest(range(120)) AS i) x,
+    LATERAL (SELECT (SELECT min(l_tax) FROM lineitem) + ((SELECT max(l_tax) FROM lineitem)
+             - (SELECT min(l_tax) FROM lineitem)) * x.i / 119 AS g))
+SELECT a.i, b.j, round(a.g, 6) AS l_discount, round(b.g, 6) AS l_tax, round(least(1.0, a.g * 10 + b.g * 2), 6) AS value
+FROM a, b""")
+def q_surface_full(spark, sf):
+    """X16 at the reference's 120 x 120."""
+    out = X.decision_surface(_li(spark, sf), X.Scorer.sql(CLF_RULE, FEATS, CLF_P1), "l_discount", "l_tax", n=120)
+    return rnd(out, {"l_discount": 6, "l_tax": 6, "value": 6})
+
 
+@register("error_projection", f"""WITH RECURSIVE d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax, CAST(l_returnflag = 'R' AS INT) AS label,
+    CAST(l_discount * 10 >= 0.5 AS INT) AS prediction FROM lineitem),
+ s AS (SELECT avg(l_discount) AS m0, avg(l_tax) AS m1, 0.5 * atan2(2 * covar_pop(l_discount, l_tax), var_pop(l_discount) - var_pop(l_tax)) AS t FROM d)
+SELECT label <> prediction AS wrong, count(*) AS n, round(avg(c1), 5) AS c1, round(avg(c2), 5) AS c2, round(var_pop(c1), 7) AS v1, round(var_pop(c2), 7) AS v2
+FROM (SELECT label, prediction, cos(t) * (l_discount - m0) + sin(t) * (l_tax - m1) AS c1,
+             CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN 1 ELSE sign(-sin(t)) END * (-sin(t) * (l_discount - m0) + cos(t) * (l_tax - m1)) AS c2 FROM d, s)
+GROUP BY 1""")
+def q_error_projection(spark, sf):
+    """The scored rows projected on the first two principal components, right and wrong predictions apart."""
+    from tabsmith.plans.fixtures import binary_pred
+    out = X.error_projection(binary_pred(spark, sf), ["l_discount", "l_tax"], F.col("label") != F.col("prediction"), 2)
+    out = out.groupBy(F.col("error").alias("wrong")).agg(F.count(F.lit(1)).alias("n"), F.avg("c1").alias("c1"), F.avg("c2").alias("c2"),
+                                                         F.var_pop("c1").alias("v1"), F.var_pop("c2").alias("v2"))
+    return rnd(out, {"c1": 5, "c2": 5, "v1": 7, "v2": 7})
 
 
 @register("explain_sampling_shap")
@@ -194,9 +237,10 @@ def q_sampling_shap(spark, sf):
     """Permutation-sampling Shapley values of the rule model (10 permutations, 200 hash-chosen
     background rows broadcast)."""
     from tabsmith.functions.columns import sample_n
-    li = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("l_quantity"),
-                                             F.col("o_custkey").cast("double").alias("l_extendedprice"),
-                                             F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax"))
+    o = table(spark, sf, "orders")
+    # four features that vary: price, customer, weekday and day of the order
+    li = o.select("o_orderkey", F.col("o_totalprice").alias("l_quantity"), F.col("o_custkey").cast("double").alias("l_extendedprice"),
+                  (F.dayofweek("o_orderdate") / 100.0).alias("l_discount"), (F.dayofmonth("o_orderdate") / 100.0).alias("l_tax"))
     bg = sample_n(li, 200, ["o_orderkey"])
     return X.sampling_shap(li, _reg_scorer(), ["o_orderkey"], bg, n_perm=10)
 

@@ -240,10 +240,27 @@ def q_ttest_p(spark, sf):
     return rnd(t.select("model", "p", "p_bonferroni", "significant"), {"p": 4, "p_bonferroni": 4})
 
 
-@register("bootstrap_ci")
+_ROW_ID = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@register("bootstrap_ci", f"""WITH l AS (SELECT 'm1' AS model, (l_extendedprice * 0.1 - 5250) ^ 2 AS loss, md5('42:' || {_ROW_ID}) AS h FROM lineitem
+   UNION ALL SELECT 'm2', (l_quantity * 1000 + l_extendedprice * 0.1 - (l_quantity * 1000 + l_extendedprice * 0.09)) ^ 2, md5('42:' || {_ROW_ID}) FROM lineitem),
+ d AS (SELECT model, loss, ('0x' || substr(h, 1, 8))::BIGINT % {CMP.PRIME} AS h1, ('0x' || substr(h, 9, 8))::BIGINT % {CMP.PRIME} AS h2 FROM l),
+ w AS (SELECT model, b, loss, {' + '.join(f'(u > {int(p * CMP.PRIME)})::INT' for p in CMP.POISSON)} AS w
+       FROM (SELECT model, loss, b, (h1 + b * h2) % {CMP.PRIME} AS u FROM d, (SELECT unnest(range(500)) AS b))),
+ m AS (SELECT model, b, sum(w * loss) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT model, round(mean, 2) AS mean, n, round(lo, 2) AS lo, round(hi, 2) AS hi
+FROM (SELECT model, avg(loss) AS mean, count(*) AS n FROM d GROUP BY 1)
+JOIN (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1) USING (model)""")
 def q_bootstrap(spark, sf):
     """Q6: 500-replicate Poisson bootstrap CI of each rule model's mean squared loss."""
-    return CMP.bootstrap_ci(_reg_losses(spark, sf), "loss", ["model"])
+    from tabsmith.plans.fixtures import table
+    li = table(spark, sf, "lineitem")
+    y = F.col("l_quantity") * 1000 + F.col("l_extendedprice") * 0.1
+    rid = F.concat_ws(":", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("row_id")
+    losses = [li.select(rid, F.lit(m).alias("model"), F.pow(y - p, 2).alias("loss")) for m, p in
+              (("m1", F.col("l_quantity") * 1000 + 5250), ("m2", F.col("l_quantity") * 1000 + F.col("l_extendedprice") * 0.09))]
+    return rnd(CMP.bootstrap_ci(losses[0].unionByName(losses[1]), "loss", ["model"]), {"mean": 2, "lo": 2, "hi": 2})
 
 
 _SPLIT = hash_bucket_sql(["l_orderkey", "l_linenumber", "l_partkey"])

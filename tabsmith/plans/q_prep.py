@@ -328,7 +328,8 @@ def q_finite(spark, sf):
     return COL.drop_nonfinite(df, ["value"])
 
 
-@register("sample_rows")
+@register("sample_rows", """SELECT * FROM lineitem ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey)),
+  l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 500""")
 def q_sample(spark, sf):
     """deterministic hash sample of 500 lineitem rows."""
     return COL.sample_n(table(spark, sf, "lineitem"), 500, ["l_orderkey", "l_linenumber", "l_partkey"])

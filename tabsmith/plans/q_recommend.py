@@ -130,14 +130,48 @@ def q_meta(spark, sf):
     return rnd(m.select("dataset_id", "n_samples", "n_features", "n_numeric", "n_categorical", *META_ROUND), META_ROUND)
 
 
-def _scored_sql(rnd_fn="round_even"):
-    scores = ", ".join(f"CAST({v} AS INTEGER) AS {k}_score" for k, v in R.SCORES.items())
-    return f"""(SELECT *, {R.total_expr(rnd_fn)} AS score_total FROM (
-  SELECT *, {scores}, {R.IMBALANCED} AS class_weight_balanced
-  FROM {META_SQL} m JOIN {REQ_SQL} q USING (dataset_id) JOIN {registry_sql()} g USING (task_type)
-  LEFT JOIN (SELECT user_id, task_type, algorithm_key AS key, bias FROM {BIAS_SQL}) b USING (user_id, task_type, key)
-  WHERE g.available)
- WHERE {R.KEEP})"""
+def _scored_sql():
+    """R8-R12 written out by hand, from the rule tables and not from the library's expressions."""
+    return f"""(
+ WITH b(pos, pattern, accuracy, speed, interpretability, robustness) AS (VALUES
+   (1, '%linear%', 65, 90, 95, 75), (2, '%svm%', 75, 55, 55, 80), (3, '%tree%', 80, 75, 70, 85), (4, '%boost%', 88, 60, 35, 80),
+   (5, '%neighbors%', 70, 70, 45, 60), (5, '%knn%', 70, 70, 45, 60), (6, '%cluster%', 60, 80, 55, 60),
+   (7, '%dimred%', 55, 85, 60, 60), (7, '%reduction%', 55, 85, 60, 60), (8, '%', 70, 70, 60, 70)),
+ base AS (SELECT g.key, arg_min(b, b.pos) AS base FROM {registry_sql()} g JOIN b ON lower(g.family) LIKE b.pattern
+          WHERE NOT (b.pattern = '%tree%' AND lower(g.family) LIKE '%boost%') GROUP BY g.key),
+ c AS (SELECT m.*, q.* EXCLUDE (dataset_id), g.* EXCLUDE (task_type), base.base, coalesce(f.bias, 0) AS bump,
+         lower(g.family) LIKE '%linear%' AS linear, lower(g.family) LIKE '%svm%' AS svm, lower(g.family) LIKE '%tree%' AS tree,
+         lower(g.family) LIKE '%boost%' AS boost, lower(g.family) LIKE '%neighbors%' OR lower(g.family) LIKE '%knn%' AS knn,
+         lower(g.name) AS low, lower(coalesce(q.interpretability, 'Medium')) = 'high' AS clear,
+         g.key LIKE '%catboost%' OR g.key LIKE '%lightgbm%' AS native, lower(trim(coalesce(q.automobile_preset, ''))) AS preset
+       FROM {META_SQL} m JOIN {REQ_SQL} q USING (dataset_id) JOIN {registry_sql()} g ON g.task_type = q.task_type JOIN base ON base.key = g.key
+       LEFT JOIN {BIAS_SQL} f ON f.user_id = q.user_id AND f.task_type = q.task_type AND f.algorithm_key = g.key
+       WHERE g.available),
+ r AS (SELECT *, n_samples BETWEEN 1 AND 999 AND clear AS few,
+         coalesce(class_imbalance > 0.7, false) AND task_type = 'classification' AND (low LIKE '%randomforest%' OR low LIKE '%logistic%' OR svm) AS class_weight_balanced
+       FROM c),
+ adj AS (SELECT *,
+   base.accuracy + (few AND (linear OR low LIKE '%logistic%'))::INT * 8 - (few AND NOT (linear OR low LIKE '%logistic%'))::INT * 5
+     + (n_features > 100 AND n_samples > 10000 AND (tree OR boost))::INT * 6 + (n_categorical > 10 AND native)::INT * 10
+     + (coalesce(linearity_score >= 0.7, false) AND linear)::INT * 6 + (coalesce(linearity_score < 0.4, false) AND (boost OR tree))::INT * 6
+     + (contains(preset, 'car price') AND (key LIKE '%xgboost%' OR key LIKE '%lightgbm%' OR low LIKE '%random forest%'))::INT * 8
+     + (contains(preset, 'fuel') AND (low LIKE '%gradient%' OR linear))::INT * 6
+     + (contains(preset, 'segmentation') AND task_type = 'clustering' AND (key LIKE '%kmeans%' OR key LIKE '%dbscan%'))::INT * 6 AS a,
+   base.speed + (n_categorical > 10 AND native)::INT * 3 - (lower(coalesce(training_time, 'Moderate')) = 'fast' AND (boost OR svm))::INT * 10
+     + (lower(coalesce(training_time, 'Moderate')) = 'fast' AND linear)::INT * 6 - (lower(coalesce(prediction_speed, 'Moderate')) = 'fast' AND knn)::INT * 10
+     - (lower(coalesce(deployment_size, 'Medium')) = 'small' AND (boost OR low LIKE '%forest%'))::INT * 3 AS s,
+   base.interpretability + (few AND (linear OR low LIKE '%logistic%'))::INT * 5 - (clear AND (boost OR key LIKE '%xgboost%'))::INT * 20
+     + (clear AND linear)::INT * 5 AS i,
+   base.robustness + class_weight_balanced::INT * 8 + (coalesce(noise_level = 'High', false) AND (low LIKE '%ridge%' OR svm OR tree))::INT * 8
+     + (coalesce(corr_high_pair_ratio > 0.05, false) AND (low LIKE '%ridge%' OR low LIKE '%lasso%' OR linear))::INT * 6 AS o,
+   greatest(1, w_accuracy + w_speed + w_interpretability + w_robustness) AS w FROM r),
+ done AS (SELECT * EXCLUDE (interpretability), CAST(greatest(0, least(100, a)) AS INTEGER) AS accuracy_score, CAST(greatest(0, least(100, s)) AS INTEGER) AS speed_score,
+   CAST(greatest(0, least(100, i)) AS INTEGER) AS interpretability_score, CAST(greatest(0, least(100, o)) AS INTEGER) AS robustness_score FROM adj)
+ SELECT *, CAST(round_even(greatest(0, least(100, (accuracy_score * round_even(w_accuracy * 100.0 / w, 0) + speed_score * round_even(w_speed * 100.0 / w, 0)
+     + interpretability_score * round_even(w_interpretability * 100.0 / w, 0) + robustness_score * round_even(w_robustness * 100.0 / w, 0)) / 100.0 + bump)), 0) AS INTEGER) AS score_total
+ FROM done
+ WHERE (NOT must_be_interpretable OR interpretability_score >= 60) AND (NOT must_be_fast OR speed_score >= 60)
+   AND (NOT must_handle_categorical OR n_categorical = 0 OR native OR family IN ('Tree-based', 'Boosting', 'Linear')))"""
 
 
 @register("recommend_scores", f"""SELECT dataset_id, key AS algorithm_key, accuracy_score, speed_score,
@@ -162,12 +196,50 @@ def q_bias(spark, sf):
     return rnd(R.feedback_bias(_feedback(spark, sf)), {"bias": 6})
 
 
-@register("recommend_suggestions")
+@register("recommend_suggestions", f"""WITH t AS (SELECT dataset_id, count(*) AS n_top, bool_or(family IN ('Linear', 'Boosting')) AS stack FROM (
+   SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY score_total DESC, position) AS rank FROM {_scored_sql()}) WHERE rank <= 5 GROUP BY 1),
+ j AS (SELECT m.*, q.* EXCLUDE (dataset_id), t.n_top, t.stack, q.task_type IN ('classification', 'regression') AS sup
+       FROM {META_SQL} m JOIN {REQ_SQL} q USING (dataset_id) LEFT JOIN t USING (dataset_id))
+SELECT dataset_id, concat_ws(',', CASE WHEN n_top >= 2 THEN 'ensemble' END, CASE WHEN stack THEN 'stacking' END,
+  CASE WHEN sup AND n_features > 50 THEN 'hybrid' END, CASE WHEN n_top > 0 THEN 'custom_pipeline' END,
+  CASE WHEN missing_pct > 1.0 THEN 'fe_impute' END, CASE WHEN n_categorical > 0 THEN 'fe_encode' END, CASE WHEN sup THEN 'fe_leakage_check' END,
+  CASE WHEN automobile_preset IS NOT NULL THEN 'fe_auto_age' END, CASE WHEN automobile_preset IS NOT NULL THEN 'fe_auto_ratios' END,
+  CASE WHEN lower(automobile_preset) LIKE '%maintenance%' THEN 'fe_auto_lags' END) AS suggestions FROM j""")
 def q_suggestions(spark, sf):
     """R15 suggestion codes per dataset."""
     meta, req = _meta_all(spark, sf), _req(spark)
     top = R.recommend_top(meta, req, R.feedback_bias(_feedback(spark, sf)))
-    return R.suggestion_flags(top, meta, req)
+    return R.suggestion_flags(top, meta, req).select("dataset_id", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def _with_linearity(spark, sf):
+    """Meta-features with a rule-made linearity per dataset, so that the linearity and noise rules (R6, R7, R10) fire."""
+    parts = []
+    for k, (ds, t, tgt, task, _, _) in enumerate(DATASETS):
+        lin = spark.createDataFrame([((0.8, 0.3)[k % 2],)], "linearity_score double")
+        parts.append(R.meta_features(table(spark, sf, t), ds, tgt, task, linearity=lin))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("recommend_reasons", "WITH x AS (SELECT * FROM " + _scored_sql().replace(
+    "CAST(NULL AS DOUBLE) AS linearity_score", "CASE WHEN 'lineitem_flag customer_segments' LIKE '%' || dataset_id || '%' THEN 0.8 ELSE 0.3 END AS linearity_score").replace(
+    "CAST(NULL AS VARCHAR) AS noise_level", "CASE WHEN 'lineitem_flag customer_segments' LIKE '%' || dataset_id || '%' THEN 'Low' ELSE 'High' END AS noise_level") + """)
+SELECT dataset_id, key AS algorithm_key, score_total, concat_ws(',',
+  CASE WHEN few AND (linear OR low LIKE '%logistic%') THEN 'small_data_linear' END,
+  CASE WHEN n_features > 100 AND n_samples > 10000 AND (tree OR boost) THEN 'wide_data_trees' END,
+  CASE WHEN n_categorical > 10 AND native THEN 'many_categoricals' END,
+  CASE WHEN class_weight_balanced THEN 'class_weights' END,
+  CASE WHEN noise_level = 'High' AND (low LIKE '%ridge%' OR svm OR tree) THEN 'noise_robust' END,
+  CASE WHEN corr_high_pair_ratio > 0.05 AND (low LIKE '%ridge%' OR low LIKE '%lasso%' OR linear) THEN 'collinear_regularised' END,
+  CASE WHEN linearity_score < 0.4 AND (boost OR tree) THEN 'non_linear' END,
+  CASE WHEN contains(preset, 'car price') AND (key LIKE '%xgboost%' OR key LIKE '%lightgbm%' OR low LIKE '%random forest%') THEN 'preset_car_price' END,
+  CASE WHEN contains(preset, 'fuel') AND (low LIKE '%gradient%' OR linear) THEN 'preset_fuel' END,
+  CASE WHEN contains(preset, 'segmentation') AND task_type = 'clustering' AND (key LIKE '%kmeans%' OR key LIKE '%dbscan%') THEN 'preset_segmentation' END) AS reasons
+FROM x""")
+def q_reasons(spark, sf):
+    """Why a card was scored up, as codes, with the linearity and noise rules in force."""
+    s = R.score_candidates(_with_linearity(spark, sf), _req(spark), R.feedback_bias(_feedback(spark, sf)))
+    return R.with_reasons(s).select("dataset_id", F.col("key").alias("algorithm_key"), "score_total", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("meta_signature", """WITH m AS ({META}),

@@ -80,10 +80,11 @@ def q_prefs(spark, sf):
     return RUNS.latest_prefs(prefs).select("user_id", "prefs_json")
 
 
-@register("run_metrics_map")
+@register("run_metrics_map", """SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k,
+  'k=' || format('{:,.4f}', CAST(json_extract(props, '$.k') AS DOUBLE)) AS metrics_text FROM events""")
 def q_run_metrics(spark, sf):
-    """SC3: metrics JSON of every run event -> map and 'k=v' text."""
-    return RUNS.run_metrics(_run_events(spark, sf))
+    """SC3: metrics JSON of every run event -> map (its one entry k) and 'k=v' text."""
+    return RUNS.run_metrics(_run_events(spark, sf)).select("run_id", F.element_at("metrics", "k").alias("k"), "metrics_text")
 
 
 def _scratch(spark, stem, ext):

@@ -69,10 +69,6 @@ UNAVAILABLE = {
     "clu_agglomerative": "O(n^2) single-machine", "clu_hdbscan": "sequential single-machine algorithm",
     "clu_optics": "sequential single-machine algorithm", "dr_tsne": "single-machine embedding",
     "dr_umap": "single-machine embedding", "dr_autoencoder": "not implemented in the reference either",
-    # not built yet in this library (candidates for a later round)
-    "reg_extra_trees": "not built yet", "clf_extra_trees": "not built yet", "reg_knn": "not built yet",
-    "clf_knn": "not built yet", "clu_dbscan": "not built yet",
-    "clu_spectral": "not built yet",
 }
 
 

@@ -26,6 +26,7 @@ from tabsmith.functions.columns import coerce_features, hash_bucket
 from tabsmith.operators import compare as CMP
 from tabsmith.operators import metrics as M
 from tabsmith.operators.estimators import make_estimator
+from tabsmith.plans import cards
 from tabsmith.plans.registry import CARDS
 
 TASK_OF = {k: t for k, _, t, _, _ in CARDS}
@@ -76,8 +77,11 @@ class TrainResult:
     train_seconds: float
 
 
-def train(prep: Prepared, key: str, params: dict | None = None, task: str | None = None) -> TrainResult:
-    """T2-T4 + T11 + T12: fit on the train split, predict the test split, score, emit a run row."""
+def train(prep: Prepared, key: str, params: dict | None = None, task: str | None = None, save: bool = False) -> TrainResult:
+    """T2-T4 + T11 + T12: fit on the train split, predict the test split, score, emit a run row.
+
+    ``save`` writes the model too; its path and size go into the run row.
+    """
     task = task or TASK_OF[key]
     est = make_estimator(key, params or {}, "features", "label")
     tr = prep.data.where(F.col("split") == "train")
@@ -104,22 +108,65 @@ def train(prep: Prepared, key: str, params: dict | None = None, task: str | None
         v = float(np.sum(ev.toArray())) if ev is not None else None
         met = prep.data.sparkSession.createDataFrame([(key, "explained_variance_ratio", v)],
                                                      "model string, metric string, value double")
-    # Inference time of a fully materialised scoring pass (noop sink, nothing collected)
+    # The metrics are computed once, in the scoring pass that they time
     t1 = time.perf_counter()
-    pred.write.format("noop").mode("overwrite").save()
+    rows = met.collect()                                       # a row per metric
+    met = met.sparkSession.createDataFrame(rows, met.schema)
     infer_ms = (time.perf_counter() - t1) * 1000.0
-    ops = json.dumps({"training_time_s": fit_s, "inference_time_ms": infer_ms})
-    run = ("run_" + uuid.uuid4().hex, time.time(), time.time(), 0, task, key, key, "finished", ops,
-           json.dumps(params or {}, default=str), None)
+    ops = {"training_time_s": fit_s, "inference_time_ms": infer_ms}
+    path = None
+    if save:
+        path, size = save_model(model, prep.data.sparkSession)
+        ops["model_size_mb"] = size / 1e6
+    run = ("run_" + uuid.uuid4().hex, time.time(), time.time(), 0, task, key, key, "finished", json.dumps(ops),
+           json.dumps(params or {}, default=str), path)
     return TrainResult(key, model, pred, met, run, fit_s)
 
 
-def batch_train(prep: Prepared, keys, params: dict | None = None, parallel: int = 4) -> list:
+def batch_train(prep: Prepared, keys, params: dict | None = None, parallel: int = 4, save: bool = False) -> list:
     """T5: one run per algorithm over the same prepared (cached) data; jobs interleave on the cluster."""
     prep.data.persist()
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
-        res = list(ex.map(lambda k: train(prep, k, (params or {}).get(k)), keys))
-    return res
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
+            return list(ex.map(lambda k: train(prep, k, (params or {}).get(k), save=save), keys))
+    finally:
+        prep.data.unpersist()
+
+
+def tune(prep: Prepared, key: str, mode: str = "grid", n_iter: int | None = None, folds: int = 3, parallel: int = 4,
+         seed: int = 42, params: dict | None = None):
+    """T6-T10 from the card: (best parameters, mean score over the folds, model refitted on the train split).
+
+    ``grid`` tries every combination of the card's space, ``random`` at most 25 of them, ``bounded`` at most 50 uniform
+    draws between its ends.  Folds are hash buckets of the keys; the score is R^2 or accuracy; of equal ones the
+    first trial counts.  Ridge regression is answered from one Gram pass (``operators.linear_cv``); the others
+    read the cached train split.
+    """
+    trials = {"grid": cards.grid, "random": lambda k: cards.random_trials(k, n_iter or cards.RANDOM_TRIALS, seed),
+              "bounded": lambda k: cards.bounded_trials(k, n_iter or cards.BOUNDED_TRIALS, seed)}[mode](key)
+    data = prep.data.where(F.col("split") == "train").withColumn("__fold", hash_bucket(prep.keys, seed + 1, folds).cast("int"))
+    if key == "reg_ridge":
+        from tabsmith.operators.linear_cv import ridge_search
+        alpha, score, model = ridge_search(data, "features", "label", "__fold", [t["alpha"] for t in trials])
+        return {"alpha": alpha}, score, model
+    data = data.persist()
+    good = (1 - F.avg((F.col("label") - F.col("prediction")) ** 2) / F.var_pop("label") if TASK_OF[key] == "regression"
+            else F.avg((F.col("label") == F.col("prediction")).cast("double")))
+
+    def score(job):
+        trial, f = job
+        model = make_estimator(key, {**(params or {}), **trial}).fit(data.where(F.col("__fold") != f))
+        return model.transform(data.where(F.col("__fold") == f)).agg(good.alias("s")).first()["s"]
+
+    try:
+        jobs = [(t, f) for t in trials for f in range(folds)]
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
+            scores = list(ex.map(score, jobs))
+        means = [float(np.mean([s for s in scores[i * folds: (i + 1) * folds] if s is not None])) for i in range(len(trials))]
+        best = int(np.argmax(means))
+        return trials[best], means[best], make_estimator(key, {**(params or {}), **trials[best]}).fit(data)
+    finally:
+        data.unpersist()
 
 
 def search_space(defaults: dict, bounds: dict | None = None) -> dict:
@@ -193,17 +240,16 @@ def feature_importance(model, features) -> list[tuple]:
 def save_model(model, spark, path: str | None = None) -> tuple[str, int]:
     """Write the fitted model (default: under the shared checkpoint folder).
 
-    Returns (path, bytes) -- the size is measured when the path is on a local
-    filesystem, else -1.
+    Returns (path, bytes).
     """
     from tabsmith.session import checkpoint_dir
     if path is None:
         path = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
     model.write().overwrite().save(path)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs) \
-        if os.path.isdir(local) else -1
-    return path, size
+    # whatever file system the path names
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, files.getContentSummary(where).getLength()
 
 
 def load_model(spark, path: str):

@@ -84,7 +84,7 @@ def test_trees_equal_a_plain_grower(spark, task):
     x = np.round(rng.normal(size=(300, 4)), 2)
     x[:, 3] = 1.0                                              # a constant feature
     x[:40] = x[0]                                              # repeated rows
-    y = ((x[:, 0] + x[:, 1] > 0) + (x[:, 2] > 1)).astype(float) if task == "classification" else np.round(3 * x[:, 0] - x[:, 1], 2)
+    y = (x[:, 0] + x[:, 1] > 0).astype(float) + (x[:, 2] > 1) if task == "classification" else np.round(3 * x[:, 0] - x[:, 1], 2)
     model = forest.ExtraTrees(task=task, n_estimators=6, seed=11).fit(frame(spark, x, y))
     classes = 3 if task == "classification" else 0
     for tree in range(6):
