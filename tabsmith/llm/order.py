@@ -35,5 +35,6 @@ def running_start(df: DataFrame, group: str, key: str, value: str, out: str, n_r
     inside = (Window.partitionBy(group, "_b").orderBy("_h", key, value)
               .rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("bigint"))
-    joined = df.join(per, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_b2")))
+    # one row per group and bucket on the one side, the rows on the other: neither is broadcast
+    joined = df.join(per.hint("merge"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_b2")))
     return joined.withColumn(out, F.col("_off") + F.col("_in")).drop("_g", "_b", "_b2", "_off", "_in", "_h")

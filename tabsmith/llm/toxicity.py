@@ -8,10 +8,13 @@ training never saw say nothing, however long the text is.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows of each label,
 in a fixed pseudorandom order of doc_id, of texts up to ``TRAIN_CHARS`` code points.  Rows with
-``crc32(doc_id as text) mod 5 = 0`` are held out and never looked at; those with remainder 1 calibrate,
-the others train.  Scoring covers whole texts of any length.  The threshold of each language has the best
-F1 over all labelled rows that calibrate, of any length, in steps of 1/``BINS``: the fitted model scores
-them in tasks, and the driver sees the counts by language, label and step.
+``crc32(doc_id as text) mod 5 = 0`` are held out and never looked at; all others train the model that scores.
+Thresholds are cross-fitted: for each of the remainders 1 to 4 a further model trains on the other three and
+scores the labelled rows of that remainder, all of them and of any length.  The threshold of each language has the
+best F1 over these scores in steps of 1/``BINS``; the driver sees the counts by language, label and step.
+All models are trained in tasks, side by side, and come back as a few MB.  Scoring covers whole texts of any length.
+
+A language needs ``LEAST_TOXIC`` rows of either label for a threshold of its own.
 
 Cases: null and empty texts get the score of a text without words; a null or unknown language has
 the threshold of all languages; labels other than 0 and 1 are left out, of contradicting labels the
@@ -21,6 +24,9 @@ table gives an empty result; repeated rows are scored each; other columns are ig
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,13 +45,21 @@ TRAIN_CHARS = 30_000
 #: Passes over the sample: as many as make ``STEPS`` batches, within these limits.
 EPOCHS = (8, 40)
 STEPS = 1200
-#: Calibration rows of either label that a threshold of its own takes.
+#: The remainders whose labelled rows may be learned from.
+FOLDS = (1, 2, 3, 4)
+#: Labelled rows of either label that a threshold of its own takes.
 LEAST_TOXIC = 20
 #: Steps of the thresholds.
 BINS = 1000
 BATCH = 32
 RATE = 0.02
 SEED = 9
+#: Share of the words that a training step leaves out, and documents of the sample that a table row must occur in to
+#: be trained: else a few hundred texts are learned by heart, each by words of its own.
+DROP = 0.5
+LEAST_DOCS = 8
+#: Table row of a word that is left out; it stays zero.
+SILENT = ROWS - 1
 PAD = max(WIDTHS) - 1
 U = np.uint64
 
@@ -116,10 +130,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """Adagrad on the logistic loss; gradients reach only the positions that pooling kept."""
+        """Adagrad on the logistic loss with word dropout; gradients reach only the positions that pooling kept."""
         rng = np.random.Generator(np.random.PCG64(SEED + 1))
         sums = {"table": np.full(self.table.shape, 1e-6, np.float32), "out": np.full(self.out.shape, 1e-6), "ob": 1e-6}
         f_sums = [(np.full(k.shape, 1e-6), np.full(FILTERS, 1e-6)) for k in self.filters]
+        count = np.zeros(ROWS + 1, np.int64)
+        for x in docs:
+            count[np.unique(x)] += 1
+        seen = count >= LEAST_DOCS
+        seen[SILENT:] = False
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         batches = -(-len(docs) // BATCH)
         for _ in range(min(EPOCHS[1], max(EPOCHS[0], STEPS // max(1, batches)))):
@@ -127,6 +146,8 @@ class Model:
             for s in range(0, len(order), BATCH):
                 pick = order[s: s + BATCH]
                 ids = np.concatenate([docs[i] for i in pick])
+                gone = (rng.random(len(ids)) < DROP) & (ids[:, 0] != ROWS)
+                ids = np.where(gone[:, None], SILENT, ids)
                 off = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
                 x = self.table[ids].sum(1)
                 pad = ids[:, 0] == ROWS
@@ -156,7 +177,7 @@ class Model:
                     self._step(self.filters[i], gk, f_sums[i][0])
                     self._step(self.bias[i], gi.sum(0), f_sums[i][1])
                 rows, grads = np.concatenate(rows), np.concatenate(grads)
-                live = (rows < ROWS) & (np.abs(grads).max(1) > 0)
+                live = seen[rows] & (np.abs(grads).max(1) > 0)
                 if live.any():
                     u, inv = np.unique(rows[live], return_inverse=True)
                     total = np.zeros((len(u), DIM), np.float32)
@@ -179,11 +200,11 @@ def labelled(labels: DataFrame) -> DataFrame:
     return ids.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list:
-    """Rows (toxic, lang, calibrates, word ids) of the bounded training sample."""
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
+    """(ids, toxic, doc_id, fold) of the bounded training sample; ids are the word ids of ``features``."""
     ids = labelled(labels).filter(remainder(F.col("doc_id")) != 0)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     text = text.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
     few = None
     for label in (0, 1):
@@ -195,15 +216,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list:
             for first, last, x, off in features(b.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[off[i]: off[i + 1]].tobytes() for i in range(last - first)], pa.binary())]
-                    + [b.column(c).slice(first, last - first) for c in (1, 2, 3)], names=["ids", "lang", "toxic", "doc_id"])
+                    + [b.column(c).slice(first, last - first) for c in (1, 2)], names=["ids", "toxic", "doc_id"])
 
     # at most 2 * per_label ids are broadcast
-    rows = text.join(F.broadcast(few), "doc_id").select("text", "lang", "toxic", "doc_id")
-    rows = rows.mapInArrow(run, "ids binary, lang string, toxic int, doc_id bigint")
-    rows = rows.withColumn("calibrates", remainder(F.col("doc_id")) == 1)
-    got = rows.select("doc_id", "toxic", "lang", "calibrates", "ids").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    return got
+    rows = text.join(F.broadcast(few), "doc_id").select("text", "toxic", "doc_id")
+    rows = rows.mapInArrow(run, "ids binary, toxic int, doc_id bigint")
+    return rows.withColumn("fold", remainder(F.col("doc_id")).cast("int"))
 
 
 def steps(score: np.ndarray) -> np.ndarray:
@@ -227,27 +245,42 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float | None:
     return threshold_of(np.bincount(at[y == 0], minlength=BINS + 1), np.bincount(at[y == 1], minlength=BINS + 1))
 
 
-def scored(rows: DataFrame, model) -> DataFrame:
-    """``rows``, whose first column is the text, with the score in its place; ``model`` is broadcast."""
+def scored(rows: DataFrame, models, fold: str | None = None) -> DataFrame:
+    """``rows``, whose first column is the text, with the score in its place; ``models`` (by number) is broadcast.
+
+    ``fold`` names the column with a row's model; without it model 0 scores.
+    """
+    at = None if fold is None else rows.columns.index(fold)
 
     def run(batches):
         for b in batches:
             out = np.zeros(b.num_rows)
+            which = np.zeros(b.num_rows, int) if at is None else b.column(at).to_numpy()
             for first, last, ids, off in features(b.column(0)):
-                out[first:last] = model.value.scores(ids, off)
+                for k in np.unique(which[first:last]):
+                    mine = which[first:last] == k
+                    out[first:last][mine] = models.value[k].scores(ids, off)[mine]
             yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns[1:]], names=["score", *b.schema.names[1:]])
 
     return rows.mapInArrow(run, ", ".join(["score double"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, model) -> tuple[dict, float]:
-    """Thresholds by language and of all languages, from all labelled rows that calibrate; ``model`` is broadcast."""
+def crossfit(docs: DataFrame, labels: DataFrame, models) -> DataFrame:
+    """(score, doc_id, lang, fold, toxic) of all labelled rows that are not held out, by the model that has not seen their fold."""
     rows = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
-    rows = scored(rows.filter(remainder(F.col("doc_id")) == 1), model)
+    rows = rows.withColumn("fold", remainder(F.col("doc_id")).cast("int")).filter("fold <> 0")
+    # the labels' own rows only are scored
+    rows = rows.join(labelled(labels), "doc_id").select("text", "doc_id", "lang", "fold", "toxic")
+    return scored(rows, models, "fold")
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, models) -> tuple[dict, float]:
+    """Thresholds by language and of all languages, from the cross-fitted scores; ``models`` is broadcast."""
+    rows = crossfit(docs, labels, models)
     # the greatest threshold k / BINS that the score reaches, as the comparison with it decides
     k = F.round(F.col("score") * BINS).cast("int")
     rows = rows.withColumn("step", k - (F.col("score") < k / F.lit(float(BINS))).cast("int"))
-    hist = rows.join(labelled(labels), "doc_id").groupBy("lang", "step").agg(
+    hist = rows.groupBy("lang", "step").agg(
         F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     hist = cut_lineage(hist)
     enough = hist.groupBy("lang").agg(F.sum("clean").alias("_c"), F.sum("toxic").alias("_t"))
@@ -266,26 +299,49 @@ def calibrate(docs: DataFrame, labels: DataFrame, model) -> tuple[dict, float]:
     return by, 0.5 if whole is None else whole
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
-    """The model fitted on the sample's rows that do not calibrate."""
-    rows = sample(docs, labels, per_label)
-    y = np.array([r["toxic"] for r in rows], np.int64)
+def fitted(ids: list[bytes], y: np.ndarray) -> Model:
+    """The model of a sample; of one label only, a constant."""
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y[0]) if len(y) else 0.0)
-    x = [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in rows]
-    cal = np.array([r["calibrates"] for r in rows])
-    fit = np.flatnonzero(~cal) if len(np.unique(y[~cal])) == 2 else np.arange(len(y))
     model = Model()
-    model.fit([x[i] for i in fit], y[fit].astype(np.float32))
+    model.fit([np.frombuffer(x, np.int32).reshape(-1, 3) for x in ids], y.astype(np.float32))
     return model
 
 
+def _packed(model: Model) -> bytes:
+    return zlib.compress(pickle.dumps(model), 1)          # most rows of the table are still zero
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> dict[int, Model]:
+    """Model 0, of the whole sample, and models 1 to 4, each of the sample without the rows of that fold.
+
+    Each is trained in a task of its own from at most 2 * per_label rows.
+    """
+    rows = cut_lineage(sample(docs, labels, per_label))
+    others = F.filter(F.array(*[F.lit(k) for k in (0, *FOLDS)]), lambda k: k != F.col("fold"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = sorted(range(len(table)), key=lambda i: (table["doc_id"][i].as_py(), table["ids"][i].as_py()))
+        ids, y = table["ids"].to_pylist(), table["toxic"].to_numpy()
+        model = fitted([ids[i] for i in order], y[order])
+        return pa.table({"model": pa.array([table["model"][0].as_py()], pa.int32()), "data": pa.array([_packed(model)], pa.binary())})
+
+    made = rows.withColumn("model", F.explode(others)).groupBy("model").applyInArrow(fit, "model int, data binary").collect()
+    models = {k: Model(constant=0.0) for k in (0, *FOLDS)}
+    return models | {r["model"]: pickle.loads(zlib.decompress(r["data"])) for r in made}
+
+
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), per_label: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, lang, held_out, score, predicted (score of 0.5 or more), threshold (of its language), toxic; and ``keep``."""
-    model = train(docs, labels, per_label)
-    constant = model.constant is not None
-    model = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size, 4 MB
-    by, every = ({}, 0.5) if constant else calibrate(docs, labels, model)
+    sc = docs.sparkSession.sparkContext
+    models = train(docs, labels, per_label)
+    by, every = {}, 0.5
+    if models[0].constant is None:
+        folds = sc.broadcast({k: models[k] for k in FOLDS})  # tables of a fixed size, 4 MB each
+        by, every = calibrate(docs, labels, folds)
+        folds.destroy()
+    model = sc.broadcast({0: models[0]})
+    del models
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(F.col("text").alias("_text"), doc_id.alias("_doc_id"), F.col("lang").alias("_lang"),
                        *[F.col(c).alias(f"_keep_{c}") for c in keep])
