@@ -1,8 +1,10 @@
 """HTML to leaf blocks: the text of a page cut at block-level tags, each with its tag path.
 
-A small tolerant reader: comments, scripts, styles, templates and drawings are dropped (elements
-whose names only begin so, as <svg-icon>, are not; <svg .../> is closed at once), a new block closes
-an open paragraph, an end tag closes what was left open inside it, and text ends with the page.
+A small tolerant reader: comments (which end at ``<!-->``, ``<!--->``, ``-->`` or ``--!>``), scripts, styles,
+frames, text fields, templates and drawings are dropped (elements whose names only begin so, as
+<svg-icon>, are not; templates and drawings end with their own end tag, whatever is nested in them; <svg .../> is
+closed at once); a quoted attribute may hold ``>``; a new block closes an open paragraph, an end tag closes what
+was left open inside it, and text ends with the page.
 """
 
 from __future__ import annotations
@@ -10,13 +12,18 @@ from __future__ import annotations
 import re
 from html import unescape
 
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+#: What a tag holds up to its ``>``; an unbalanced quote ends with the tag.
+INSIDE = r"(?:(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/>])[^>]*/>"
-    r"|<(?P<raw>script|style|template|noscript|svg)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)(?:>|\Z)",
+    COMMENT
+    + rf"|<(?P<raw>script|style|noscript|iframe|textarea)(?=[\s/>]){INSIDE}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    + rf"|<(?P<deep>template|svg)(?=[\s/>])(?P<closed>{INSIDE})(?:>|\Z)"
+    + r"|<[!?][^>]*(?:>|\Z)"
+    + rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{INSIDE})(?:>|\Z)",
     re.S | re.I)
+#: Start and end tags of the elements that nest.
+DEEP = {n: re.compile(rf"{COMMENT}|<(?P<end>/?){n}(?=[\s/>])(?P<closed>{INSIDE})>", re.S | re.I) for n in ("template", "svg")}
 ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HREF = re.compile(r"href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -45,6 +52,18 @@ def names_of(attrs: str) -> tuple:
     return tuple(out)
 
 
+def end_of(html: str, at: int, name: str) -> int:
+    """Place after the end tag of an open ``template`` or ``svg``; that of the page if it has none."""
+    depth = 1
+    for m in DEEP[name].finditer(html, at):
+        if m["closed"] is None or (name == "svg" and not m["end"] and m["closed"].endswith("/")):
+            continue
+        depth += -1 if m["end"] else 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 def leaves(html: str | None, links: list | None = None) -> list[Leaf]:
     """Leaf blocks in page order; a path is the open tags' names, each with its class and id words."""
     out: list[Leaf] = []
@@ -70,7 +89,7 @@ def leaves(html: str | None, links: list | None = None) -> list[Leaf]:
         del stack[i:]
 
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             piece = unescape(html[at: m.start()])
             text.append(piece)
@@ -79,6 +98,8 @@ def leaves(html: str | None, links: list | None = None) -> list[Leaf]:
         at = m.end()
         name = m["name"]
         if name is None:
+            if m["deep"] and not (m["deep"].lower() == "svg" and m["closed"].endswith("/")):
+                at = end_of(html, at, m["deep"].lower())
             continue
         name = name.lower()
         inline = name in INLINE

@@ -1,4 +1,6 @@
+import gzip
 import random
+import zlib
 
 from tabsmith.llm import url_rules, warc
 from tabsmith.llm.html_blocks import leaves
@@ -87,3 +89,66 @@ def test_warc_files_round_trip(spark, tmp_path):
     warc.write_warc(made, str(tmp_path / "w"))
     back = sorted((r["header"], bytes(r["block"]).decode()) for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
     assert back == sorted((r["header"], r["block"]) for r in made.collect())
+
+
+# ---------------------------------------------------------------- pages and archives as they are found
+
+def texts(html):
+    return [x.text for x in leaves(html)]
+
+
+def test_comments_and_nested_elements():
+    for tag in ("<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!-- <p>no</p> -- > still -->", "<svg title='a>b' />", "<svg title='a>b'><g/></svg>",
+                "<svg><svg x/><svg>no</svg>no</svg>", "<template><template><p>no</p></template><p>no</p></template>",
+                "<template a='>'><!-- </template> --><p>no</p></template>", "<iframe src='x'><p>no</p></iframe>",
+                "<textarea><p>no</p></textarea >", "<script a='>'>if (a < b) '</p>'</script\n>", "<STYLE>no</style>"):
+        assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"], tag
+    for tag in ("<template>", "<svg>", "<!-- x", "<script>"):           # never closed: to the end of the page
+        assert texts(f"<p>a</p>{tag}<p>no</p>") == ["a"], tag
+
+
+def archive(records, version="WARC/1.0", end=b"\r\n\r\n"):
+    """Bytes of records (fields, block), written by hand."""
+    out = []
+    for fields, block in records:
+        head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+        out.append(f"{version}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + end)
+    return out
+
+
+def test_archives_as_bytes(spark, tmp_path):
+    latin = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>caf\xe9 \xfc</p>"
+    tricky = b"HTTP/1.1 200 OK\r\n\r\n<p>a</p>\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n<p>b</p>"
+    rows = [([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>"), ("WARC-Target-URI", f"http://e.org/{i}")], b)
+            for i, b in enumerate((latin, tricky, bytes(range(256)), b""))]
+    want = sorted((f"<r{i}>", b) for i, (_, b) in enumerate(rows))
+    for name, data in (("plain10.warc", b"".join(archive(rows))), ("plain11.warc", b"".join(archive(rows, "WARC/1.1"))),
+                       ("members.warc.gz", b"".join(gzip.compress(r) for r in archive(rows))), ("whole.warc.gz", gzip.compress(b"".join(archive(rows)))),
+                       ("damaged.warc", b"rubbish\r\n" + b"".join(archive(rows))), ("cut.warc.gz", b"".join(gzip.compress(r) for r in archive(rows)) + gzip.compress(b"x" * 99)[:20])):
+        path = tmp_path / name
+        path.write_bytes(data)
+        got = sorted((warc.parse_header(r["header"])["warc-record-id"], bytes(r["block"])) for r in warc.read_warc(spark, str(path)).collect())
+        assert got == want, name
+    conv = {r["refers_to"]: r["block"] for r in warc.derive(warc.read_warc(spark, str(tmp_path / "plain10.warc"))).filter("record_type = 'conversion'").collect()}
+    assert conv["<r0>"] == "café ü" and conv["<r3>"] == ""
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.warc").write_bytes(b"")
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_encoded_payloads():
+    page = "<p>grün</p><p>zwei</p>".encode()
+    chunks = b"5\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:x};ext=1\r\n".encode() + page[5:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(page) + raw.flush()
+    for fields, payload in (("Transfer-Encoding: chunked", chunks), ("Content-Encoding: gzip", gzip.compress(page)), ("Content-Encoding: deflate", zlib.compress(page)),
+                            ("Content-Encoding: deflate", deflated), ("Content-Encoding: identity", page)):
+        block = f"HTTP/1.1 200 OK\r\n{fields}\r\n\r\n".encode() + payload
+        meta, text = warc.derive_one("WARC-Type: response\r\nWARC-Record-ID: <x>\r\n", block)
+        assert text["block"] == "grün\nzwei", fields
+        assert warc.parse_header(meta["block"])["source-payload-digest"] == warc.digest(payload)
+    both = gzip.compress(page)
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + f"{len(both):x}\r\n".encode() + both + b"\r\n0\r\n\r\n"
+    assert warc.derive_one("WARC-Type: response\r\n", block)[1]["block"] == "grün\nzwei"
+    broken = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n<p>plain after all</p>"
+    assert warc.derive_one("WARC-Type: response\r\n", broken)[1]["block"] == "plain after all"
