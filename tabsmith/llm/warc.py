@@ -6,8 +6,12 @@ status, content type, title, language, source headers and digests, out-links) an
 (text/plain: the page's visible text).  Both name the response in WARC-Refers-To and keep its
 target URI and date; ids are UUIDs drawn from the response's id, so reruns agree.
 
-``write_warc`` / ``read_warc`` store records as WARC files with Spark's text source, one file per
-partition: a record ends with two line ends, the next one starts with the version line.
+``write_warc`` stores text records as WARC files with Spark's text source, one file per partition.
+``read_warc`` reads archives as bytes: a task walks a file record by record by its Content-Length, so a block may hold
+anything; versions 1.x, plain files and gzip members are read, damaged stretches are skipped up to the next
+version line.  A file is held in memory while it is walked (archives are cut at about 1 GB by custom), its decompressed
+records one at a time.  Payloads with a chunked transfer encoding or a gzip or deflate content encoding are
+decoded before the page is read; what cannot be decoded counts as it is.
 
 Cases: a null block counts as empty; a block without an HTTP head is all payload; records of other
 types are passed over; a response without an id gets one from its content; a response without a
@@ -22,6 +26,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +80,36 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status.strip(), parse_header(rest), payload
 
 
+def dechunked(data: bytes) -> bytes:
+    """Payload of a chunked transfer encoding; as it is where it is not well-formed."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n").match(data, at):
+        n = int(m[1], 16)
+        if n == 0:
+            return b"".join(out)
+        if m.end() + n > len(data):
+            break
+        out.append(data[m.end(): m.end() + n])
+        at = m.end() + n
+        at += 2 if data[at: at + 2] == b"\r\n" else data[at: at + 1] == b"\n"
+    return data
+
+
+def decoded(payload: bytes, http: dict[str, str]) -> bytes:
+    """The payload without its transfer and content encodings."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        payload = dechunked(payload)
+    for coding in reversed([c.strip().lower() for c in http.get("content-encoding", "").split(",")]):
+        # gzip, zlib and raw deflate streams; a cut stream gives what there is
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
 def response(url: str | None, html: str | None, date: str) -> tuple[str, bytes]:
     """Header and block of the response record of a page."""
     payload = (html or "").encode("utf-8", "surrogatepass")
@@ -111,10 +146,11 @@ def derive_one(header: str | None, block: bytes | None) -> list[dict]:
     rid = src.get("warc-record-id") or record_id("unnamed", src.get("warc-target-uri", ""), digest(block))
     uri, date = src.get("warc-target-uri", ""), src.get("warc-date") or EPOCH
     m = CHARSET.search(http.get("content-type", ""))
+    body = decoded(payload, http)
     try:
-        page = payload.decode(m[1] if m else "utf-8", "replace")
+        page = body.decode(m[1] if m else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     links: list[str] = []
     blocks = leaves(page, links)
     title = next((x.text for x in blocks if x.path and x.path[-1] == "title"), "")
@@ -167,12 +203,57 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
      .option("lineSep", "\r\n\r\n").option("compression", compression).text(path))
 
 
+def _members(data: bytes):
+    """The decompressed gzip members of a file; a damaged one gives what comes before the damage."""
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out = z.decompress(data)
+        except zlib.error:
+            return
+        yield out
+        data = z.unused_data.lstrip(b"\0")
+
+
+START = re.compile(rb"WARC/1\.[0-9]+[ \t]*\r?\n")
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+LENGTH = re.compile(rb"(?:^|\n)Content-Length:[ \t]*([0-9]+)", re.I)
+
+
+def records_of(data: bytes):
+    """(header text, block bytes) of the records of an archive."""
+    rest = b""
+    for part in _members(data) if data[:2] == b"\x1f\x8b" else (data,):
+        buf, at = rest + part if rest else part, 0
+        while m := START.search(buf, at):
+            head = HEAD_END.search(buf, m.end() - 1)
+            if not head:
+                break
+            header = buf[m.end(): head.start()] + b"\r\n"
+            n = LENGTH.search(header)
+            end = head.end() + (int(n[1]) if n else 0)
+            if end > len(buf):
+                break
+            yield header.decode("utf-8", "replace"), buf[head.end(): end]
+            at = end
+        # what is left may go on in the next member
+        rest = buf[at:]
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """(header, block) of the records of WARC files; the block is cut to its Content-Length."""
-    rows = spark.read.option("lineSep", f"\r\n\r\n{VERSION}\r\n").text(path)
-    body = F.regexp_replace("value", rf"^{VERSION}\r\n", "")
-    cut = F.instr(body, "\r\n\r\n")
-    rows = rows.select(body.alias("v"), cut.alias("c")).select(
-        F.expr("substring(v, 1, c + 1)").alias("header"), F.expr("cast(substring(v, c + 4) as binary)").alias("b"))
-    n = F.regexp_extract("header", r"(?i)(?:^|\n)Content-Length:[ \t]*([0-9]+)", 1).cast("int")
-    return rows.withColumn("n", n).select("header", F.expr("substring(b, 1, n)").alias("block"))
+    """(header, block binary) of the records of WARC files, plain or gzipped."""
+    schema = pa.schema([("header", pa.string()), ("block", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                out, size = [], 0
+                for r in records_of(content.as_py() or b""):
+                    out.append(r)
+                    size += len(r[1])
+                    if size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "header string, block binary")
