@@ -217,12 +217,15 @@ def _meet(dims: int, probes: int, cell: float, least: float, wide: bool):
                 unit = units([raw[i] for i in ids], wide)
                 count, parent, own = np.zeros(len(ids), np.int64), np.arange(len(ids)), None
                 step = max(1, (1 << 22) // max(1, len(ids)))
-                for s in range(0, len(ids), step):
-                    cos = unit[s: s + step] @ unit.T
+                # two guests make no pair: only those at home are multiplied with all
+                own_home = np.flatnonzero(home[ids])
+                for s in range(0, len(own_home), step):
+                    cos = unit[own_home[s: s + step]] @ unit.T
                     i, j = np.nonzero(cos >= least)
-                    i = i + s
+                    i = own_home[i + s]
                     one, two = ids[i], ids[j]
-                    ok = (home[one] | home[two]) & ((part[one] < part[two]) if both else (i < j))
+                    # of two at home, who meet twice, the first meeting counts
+                    ok = (part[one] != part[two]) & (~home[two] | (part[one] < part[two])) if both else (i != j) & (~home[two] | (i < j))
                     i, j = i[ok], j[ok]
                     if not len(i):
                         continue

@@ -208,6 +208,28 @@ def test_lattice_recall_and_counts(spark, most):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(len(vecs) - 8, len(vecs) - 4))
 
 
+@pytest.mark.parametrize("width", [64, 768])
+def test_lattice_recall_among_real_and_wide_vectors(spark, width):
+    """Links planted at a cosine of 0.95 to 0.99 among the given vectors (64) or random ones (768)."""
+    rng = np.random.default_rng(width)
+    if width == 64:
+        base = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()], float)
+    else:
+        base = rng.standard_normal((500, width))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal(base.shape)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.99, (len(base), 1))
+    every = np.concatenate([base, cos * base + np.sqrt(1 - cos ** 2) * noise])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(df.repartition(3)).collect()}
+    assert links.sum() >= len(every) and all(got[i] <= n for i, n in enumerate(links))
+    assert sum(got.values()) >= 0.95 * links.sum()
+
+
 def test_lattice_repeats_and_empty(spark):
     rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (3, [1.0, 2.0]), (None, [1.0, 2.0]), (4, [-2.0, 1.0]), (None, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
