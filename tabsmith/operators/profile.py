@@ -482,6 +482,13 @@ def summary_counts(df: DataFrame) -> DataFrame:
                      "missing_count", "duplicates")
 
 
+def feature_sample_ratio(df: DataFrame) -> DataFrame:
+    """PR27: columns per row; null for an empty table."""
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("samples")).select(F.lit(len(df.columns)).alias("features"), "samples",
+                                             F.when(F.col("samples") > 0, F.lit(float(len(df.columns))) / F.col("samples")).alias("feature_to_sample_ratio"))
+
+
 def columns_of_kind(stats: DataFrame, kind_name: str) -> DataFrame:
     """filter the profile rows by kind (Numeric / Categorical / Datetime / Other)."""
     return stats.where(F.col("kind") == kind_name)

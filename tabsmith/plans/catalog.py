@@ -61,5 +61,5 @@ def rnd(df: DataFrame, digits: dict) -> DataFrame:
 def load_all():
     """Import every query module so its ``register`` calls run."""
     from tabsmith.plans import (q_profile, q_prep, q_metrics, q_monitor, q_recommend,  # noqa: F401
-                                q_models, q_learners, q_sources, q_explain)
+                                q_models, q_learners, q_more, q_sources, q_explain)
     return QUERIES, ORACLE

@@ -245,12 +245,15 @@ def q_sampling_shap(spark, sf):
     return X.sampling_shap(li, _reg_scorer(), ["o_orderkey"], bg, n_perm=10)
 
 
-@register("explain_local_surrogate")
+@register("explain_local_surrogate", """WITH s AS (SELECT stddev_pop(p_size) * 10 AS size, stddev_pop(p_retailprice) AS price FROM part)
+SELECT '{"p_partkey":' || p_partkey || '}' AS key, feature, round(CASE feature WHEN 'p_size' THEN size ELSE price END, 4) AS weight
+FROM part, s, (SELECT unnest(['p_size', 'p_retailprice']) AS feature)""")
 def q_lime(spark, sf):
-    """Per-part weighted linear surrogate (200 perturbations each) of the rule classifier's score."""
+    """Per-part weighted linear surrogate (200 perturbations each) of the rule classifier's score; of a linear score
+    the surrogate is its coefficients times the features' deviations, whatever the draws."""
     p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     sc = X.Scorer.sql("p_retailprice + 10 * p_size", ["p_size", "p_retailprice"])
-    return X.local_surrogate(p, sc, ["p_partkey"], n_samples=200, top=2)
+    return rnd(X.local_surrogate(p, sc, ["p_partkey"], n_samples=200, top=2), {"weight": 4})
 
 
 def _dm_prep(spark, sf, target, task):

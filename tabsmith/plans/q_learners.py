@@ -11,7 +11,7 @@ from tabsmith.operators.linear_cv import ridge_cv
 from tabsmith.plans import cards
 from tabsmith.plans import train as TR
 from tabsmith.plans.catalog import register, rnd
-from tabsmith.plans.fixtures import CLUSTERS_SQL, DESIGN_MATRIX_SQL, clusters, design_matrix
+from tabsmith.plans.fixtures import CLUSTERS_SQL, DESIGN_MATRIX_SQL, clusters, design_matrix, table
 from tabsmith.plans.registry import registry_sql
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -172,22 +172,34 @@ _PARAM_VALUES = ",\n ".join(
 PARAMS_SQL = f"(SELECT * FROM (VALUES {_PARAM_VALUES}) AS p(key, name, default_value, kind, least, greatest, step, choices))"
 
 
-@register("registry_params", f"""SELECT p.key, g.name AS card, g.task_type, g.family, g.available, p.name, p.default_value, p.kind,
+# feedback events per card, so that the answers come from a given table too
+_CARD = "[" + ", ".join(f"'{k}'" for k, *_ in cards.CARDS) + "]"
+_EVENTS_SQL = f"(SELECT {_CARD}[CAST(event_id % {len(cards.CARDS)} + 1 AS INTEGER)] AS key, count(*) AS events FROM events GROUP BY 1)"
+
+
+def _events(spark, sf):
+    ev = table(spark, sf, "events")
+    key = F.element_at(F.array(*[F.lit(k) for k, *_ in cards.CARDS]), (F.col("event_id") % len(cards.CARDS) + 1).cast("int"))
+    return ev.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("registry_params", f"""SELECT p.key, e.events, g.name AS card, g.task_type, g.family, g.available, p.name, p.default_value, p.kind,
   CAST(p.least AS DOUBLE) AS least, CAST(p.greatest AS DOUBLE) AS greatest, CAST(p.step AS DOUBLE) AS step, p.choices
-FROM {PARAMS_SQL} p JOIN {registry_sql()} g USING (key)""")
+FROM {PARAMS_SQL} p JOIN {registry_sql()} g USING (key) JOIN {_EVENTS_SQL} e USING (key)""")
 def q_params(spark, sf):
-    """Typed parameters of all cards."""
-    return cards.params_table(spark)
+    """Typed parameters of the cards that feedback names, with its number of events."""
+    return cards.params_table(spark).join(_events(spark, sf), "key")
 
 
 @register("search_spaces", f"""WITH p AS (SELECT *, CASE WHEN default_value = 'None' THEN least ELSE TRY_CAST(default_value AS DOUBLE) END AS start FROM {PARAMS_SQL}),
  n AS (SELECT key, name, kind, list_sort(list_distinct([start, greatest(least, CASE WHEN kind = 'int' THEN floor(start / 2) ELSE start / 2 END),
                                                         least(greatest, start * 2)])) AS v FROM p WHERE kind IN ('int', 'float') AND least IS NOT NULL),
  u AS (SELECT key, name, generate_subscripts(v, 1) - 1 AS position, unnest(v) AS value FROM n)
-SELECT key, name, CAST(position AS INTEGER) AS position, value, CAST(NULL AS VARCHAR) AS choice FROM u
-UNION ALL SELECT key, name, CAST(generate_subscripts(string_split(choices, ','), 1) - 1 AS INTEGER), NULL, unnest(string_split(choices, ',')) FROM p WHERE kind = 'choice'""")
+SELECT * FROM (SELECT key, name, CAST(position AS INTEGER) AS position, value, CAST(NULL AS VARCHAR) AS choice FROM u
+UNION ALL SELECT key, name, CAST(generate_subscripts(string_split(choices, ','), 1) - 1 AS INTEGER), NULL, unnest(string_split(choices, ',')) FROM p WHERE kind = 'choice')
+JOIN {_EVENTS_SQL} USING (key)""")
 def q_spaces(spark, sf):
-    """Search space of every card: default, half and double within the bounds; all choices."""
-    t = cards.space_table(spark)
+    """Search space of the cards that feedback names: default, half and double within the bounds; all choices."""
+    t = cards.space_table(spark).join(_events(spark, sf), "key")
     number = F.expr("try_cast(value AS double)")
-    return t.select("key", "name", "position", number.alias("value"), F.when(number.isNull(), F.col("value")).alias("choice"))
+    return t.select("key", "events", "name", "position", number.alias("value"), F.when(number.isNull(), F.col("value")).alias("choice"))

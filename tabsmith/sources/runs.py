@@ -65,6 +65,17 @@ def append_feedback(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, FEEDBACK_SCHEMA).write.mode("append").parquet(path)
 
 
+def append_feedback_rows(rows: DataFrame, path: str) -> None:
+    """S14 for events that Spark already holds; columns of the schema that ``rows`` lacks are null."""
+    schema = rows.sparkSession.createDataFrame([], FEEDBACK_SCHEMA).schema
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]) \
+        .write.mode("append").parquet(path)
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FEEDBACK_SCHEMA).parquet(path)
+
+
 def save_prefs(spark: SparkSession, path: str, user_id: str, prefs: dict, seq: int = 0) -> None:
     spark.createDataFrame([(user_id or "default", time.time(), seq, json.dumps(prefs))], PREFS_SCHEMA) \
         .write.mode("append").parquet(path)
