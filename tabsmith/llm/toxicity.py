@@ -51,6 +51,8 @@ FOLDS = (1, 2, 3, 4)
 LEAST_TOXIC = 20
 #: Steps of the thresholds.
 BINS = 1000
+#: Bits of the filter of labelled ids.
+BITS = 1 << 23
 BATCH = 32
 RATE = 0.02
 SEED = 9
@@ -265,13 +267,34 @@ def scored(rows: DataFrame, models, fold: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["score double"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]))
 
 
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits of a hash of every id, 1 MB whatever their number."""
+    h = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1        # Spark's bitmaps count from one
+    got = ids.groupBy(F.bitmap_bucket_number(h).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("m")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in got:
+        out[(r["b"] - 1) * 4096: r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
 def crossfit(docs: DataFrame, labels: DataFrame, models) -> DataFrame:
-    """(score, doc_id, lang, fold, toxic) of all labelled rows that are not held out, by the model that has not seen their fold."""
-    rows = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
+    """(score, doc_id, lang, fold, toxic) of all labelled rows that are not held out, by the model that has not seen their fold.
+
+    A bitmap of the labelled ids' hashes keeps nearly all other rows from being scored; only (id, score) is joined
+    with the labels, so no text is shuffled.
+    """
+    known = labelled(labels)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(known, "doc_id"))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        at = h.to_numpy()
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    rows = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "lang").filter("doc_id is not null")
+    rows = rows.filter(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(BITS))))
     rows = rows.withColumn("fold", remainder(F.col("doc_id")).cast("int")).filter("fold <> 0")
-    # the labels' own rows only are scored
-    rows = rows.join(labelled(labels), "doc_id").select("text", "doc_id", "lang", "fold", "toxic")
-    return scored(rows, models, "fold")
+    return scored(rows, models, "fold").join(known, "doc_id").select("score", "doc_id", "lang", "fold", "toxic")
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, models) -> tuple[dict, float]:

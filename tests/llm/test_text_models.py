@@ -94,6 +94,15 @@ def test_toxicity_few_labels(spark):
     assert all(again[i] == pytest.approx(s, abs=1e-6) for i, s in rows.items())
 
 
+def test_bitmap_of_labelled_ids(spark):
+    ids = spark.range(0, 50_000, 7)
+    bits = toxicity.bitmap(ids, "id")
+    at = np.array([r[0] for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(toxicity.BITS))).collect()])
+    assert (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all()
+    assert int(np.unpackbits(bits).sum()) == len(set(at.tolist()))
+    assert not toxicity.bitmap(ids.limit(0), "id").any()
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(odd_docs, none).collect()} == {0.0}
