@@ -6,31 +6,32 @@ A step is ``{"name", "operation", "params"}``.  :class:`Step` is an
 is JSON, so ``Pipeline``/``PipelineModel`` save and load work unchanged.
 Transform is a single projection with the fitted numbers inlined as
 literals.  Category maps (encoders) are the one state that can grow with
-the data: up to ``INLINE_MAP_LIMIT`` entries they are kept inline and
-broadcast-joined; beyond that they are written as Parquet under the
-session's checkpoint folder and joined without a broadcast.
+the data: their ``HOT`` most frequent values are kept inline and
+broadcast-joined, all others are Parquet that is joined by key and saved
+with the step.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import os
 import uuid
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable,
+                             MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.columns import c, is_numeric, is_string, nan_to_null
 from tabsmith.functions.stats import quantile_dict, value_counts
-from tabsmith.session import checkpoint_dir
+from tabsmith.session import checkpoint_dir, cut_lineage
 
-INLINE_MAP_LIMIT = 50_000
+#: Most frequent values of a category map that stay inline.
+HOT = 1_000
 ONEHOT_LIMIT = 1_000
 OTHER = "__OTHER__"
 NAN = "nan"
@@ -228,22 +229,40 @@ def _encode_columns(df, p):
     return [x for x in cols if x in df.columns]
 
 
-def _keep_map(df_map: DataFrame, key_cols: list[str]) -> dict:
-    """Store a category map inline when small, else as Parquet in the checkpoint folder."""
-    n = df_map.count()
-    if n <= INLINE_MAP_LIMIT:
-        return {"rows": [list(r) for r in df_map.collect()], "schema": df_map.schema.simpleString()}
-    path = os.path.join(checkpoint_dir(df_map.sparkSession), "tabsmith-maps", uuid.uuid4().hex)
-    df_map.write.mode("overwrite").parquet(path)
-    return {"path": path}
+def _keep_map(df_map: DataFrame) -> dict:
+    """A category map (value, code, n) as state: the ``HOT`` most frequent values inline, all others as Parquet.
+
+    The file lies in the checkpoint folder while the step lives; saving the step writes it beside the metadata.
+    """
+    df_map = cut_lineage(df_map)
+    order = [F.col("n").desc(), F.col("value")]
+    hot = df_map.orderBy(*order).limit(HOT).collect()                 # bounded
+    state = {"hot": [[r["value"], r["code"]] for r in hot], "code": dict(df_map.dtypes)["code"]}
+    if len(hot) == HOT:
+        rest = df_map.join(F.broadcast(df_map.orderBy(*order).limit(HOT).select("value")), "value", "left_anti")
+        path = f"{checkpoint_dir(df_map.sparkSession)}/tabsmith-maps/{uuid.uuid4().hex}"
+        rest.select("value", "code").write.parquet(path)
+        state["path"] = path
+    return state
+
 
+def _coded(df: DataFrame, key, m: dict) -> DataFrame:
+    """Add ``__code``, the map's code of ``key``, null where it has none.
 
-def _load_map(spark, m: dict) -> DataFrame:
-    if "path" in m:
-        return spark.read.parquet(m["path"])
-    schema = m["schema"]
-    ddl = schema[len("struct<"):-1].replace(":", " ")
-    return F.broadcast(spark.createDataFrame([tuple(r) for r in m["rows"]], ddl))
+    Frequent values, and with them any value that many rows share, are answered from the inline part; only the other rows go to
+    the join by key, and those that need no answer are spread over all tasks.
+    """
+    spark = df.sparkSession
+    hot = F.broadcast(spark.createDataFrame([(v, x) for v, x in m["hot"] if v is not None], f"__val string, __hot {m['code']}"))  # at most HOT rows
+    out = df.withColumn("__key", key).join(hot, F.col("__key") == F.col("__val"), "left").drop("__val")
+    if "path" not in m:
+        return out.withColumnRenamed("__hot", "__code")
+    rest = spark.read.parquet(m["path"]).select(F.lit(True).alias("__asked"), F.col("value").alias("__val"), F.col("code").alias("__rest"))
+    asked = F.col("__hot").isNull() & F.col("__key").isNotNull()
+    spread = F.concat(F.lit("-"), F.xxhash64(*[c(x) for x in df.columns]).cast("string"))
+    out = out.withColumn("__asks", asked).withColumn("__find", F.when(asked, F.col("__key")).otherwise(spread))
+    out = out.join(rest, (F.col("__asks") == F.col("__asked")) & (F.col("__find") == F.col("__val")), "left")
+    return out.withColumn("__code", F.coalesce("__hot", "__rest")).drop("__hot", "__rest", "__asks", "__asked", "__find", "__val")
 
 
 def _capped_text(df, x, cap):
@@ -269,18 +288,18 @@ def _fit_encode(df, p):
         col_state = {"keep": keep}
         v = df.select(t.alias("value"))
         if method in ("label", "ordinal"):
-            codes = dense_rank_codes(v.distinct())
-            col_state["map"] = _keep_map(codes, ["value"])
+            counts = cut_lineage(v.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+            col_state["map"] = _keep_map(dense_rank_codes(counts))
         elif method == "frequency" or (method == "target" and not (target and target in df.columns)):
-            col_state["map"] = _keep_map(v.groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("code")),
-                                         ["value"])
+            counts = v.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+            col_state["map"] = _keep_map(counts.withColumn("code", F.col("n").cast("double")))
             col_state["kind"] = "frequency"
         elif method == "target":
             y = F.expr(f"try_cast(`{target}` as double)")
             tv = df.select(t.alias("value"), y.alias("y"))
-            means = tv.groupBy("value").agg(F.avg("y").alias("code"))
+            means = tv.groupBy("value").agg(F.avg("y").alias("code"), F.count(F.lit(1)).alias("n"))
             g = tv.agg(F.avg("y")).first()[0]
-            col_state["map"] = _keep_map(means, ["value"])
+            col_state["map"] = _keep_map(means)
             col_state["global"] = 0.0 if g is None else float(g)
         else:  # onehot (and any other method name, as in the reference)
             cats = [r[0] for r in v.distinct().orderBy("value").limit(ONEHOT_LIMIT + 1).collect()]
@@ -292,14 +311,13 @@ def _fit_encode(df, p):
 
 
 def dense_rank_codes(values: DataFrame) -> DataFrame:
-    """value -> 0-based code in sorted order, distributed (no single-task window)."""
+    """(value, n) with the 0-based ``code`` of the value in sorted order, distributed (no single-task window); nulls have none."""
     from tabsmith.functions.stats import prefix_sum
-    return prefix_sum(values, [], "value", None, out="code").select("value", "code")
+    return prefix_sum(values.where("value is not null"), [], "value", None, out="code").select("value", "code", "n")
 
 
 def _tr_encode(df, p, s):
     method = p.get("method", "label")
-    spark = df.sparkSession
     out = df
     for x, st in s["columns"].items():
         if x not in out.columns:
@@ -312,8 +330,7 @@ def _tr_encode(df, p, s):
             others = [y for y in out.columns if y != x]
             out = out.select(*[c(y) for y in others], *[(t == F.lit(v)).alias(f"{x}_{v}") for v in cats])
             continue
-        m = _load_map(spark, st["map"]).withColumnRenamed("value", "__val").withColumnRenamed("code", "__code")
-        joined = out.withColumn("__key", t).join(m, F.col("__key") == F.col("__val"), "left")
+        joined = _coded(out, t, st["map"])
         if method == "label":
             code = F.col("__code").cast("int")
         elif method == "ordinal":
@@ -460,7 +477,47 @@ class Step(Estimator, _StepParams, DefaultParamsReadable, DefaultParamsWritable)
                           stepName=sp["name"], stateJson=json.dumps(state, default=float))
 
 
-class FittedStep(Model, _StepParams, DefaultParamsReadable, DefaultParamsWritable):
+def _paths(state) -> list[dict]:
+    """The parts of a state that name a Parquet file."""
+    if isinstance(state, dict):
+        return ([state] if "path" in state else []) + [x for v in state.values() for x in _paths(v)]
+    return [x for v in state for x in _paths(v)] if isinstance(state, list) else []
+
+
+class _StepWriter(MLWriter):
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        state = self.instance.state()
+        moved = []
+        for i, part in enumerate(_paths(state)):
+            moved.append(self.sparkSession.read.parquet(part["path"]))
+            part["path"] = f"map-{i}"
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession,
+                                         paramMap={"operation": self.instance.getOrDefault("operation"), "paramsJson": self.instance.getOrDefault("paramsJson"),
+                                                   "stepName": self.instance.getOrDefault("stepName"), "stateJson": json.dumps(state)})
+        for i, df in enumerate(moved):
+            df.write.mode("overwrite").parquet(f"{path}/map-{i}")
+
+
+class _StepReader(MLReader):
+    def load(self, path: str) -> "FittedStep":
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        out = FittedStep()
+        out._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(out, meta)
+        state = out.state()
+        for part in _paths(state):
+            part["path"] = f"{path}/{part['path']}"
+        out._set(stateJson=json.dumps(state))
+        return out
+
+
+class FittedStep(Model, _StepParams, MLWritable, MLReadable):
+    """The fitted state; category maps that are files are saved beside the metadata and found there again."""
+
     stateJson = Param(Params._dummy(), "stateJson", "fitted state as JSON", typeConverter=TypeConverters.toString)
 
     @keyword_only
@@ -469,6 +526,13 @@ class FittedStep(Model, _StepParams, DefaultParamsReadable, DefaultParamsWritabl
         super().__init__()
         self._set(**self._input_kwargs)
 
+    def write(self):
+        return _StepWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _StepReader()
+
     def state(self) -> dict:
         return json.loads(self.getOrDefault(self.stateJson))
 

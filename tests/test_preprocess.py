@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from tabsmith.operators import preprocess as PP
 from tabsmith.operators.ordered import interpolate_linear
@@ -71,3 +72,35 @@ def test_strategy_groups():
     g = ST.strategy_groups({"a": "mean", "b": "median", "c": "mean"})
     assert [s["params"]["columns"] for s in g] == [["a", "c"], ["b"]]
     json.dumps(g)
+
+
+@pytest.mark.parametrize("method", ["label", "ordinal", "frequency", "target"])
+def test_large_category_maps_belong_to_the_model(spark, tmp_path, monkeypatch, method):
+    """More values than stay inline: one value with a third of the rows, nulls, unseen values; the saved step needs no checkpoint."""
+    monkeypatch.setattr(PP, "HOT", 50)
+    n = 6000
+    rows = [("big" if i % 3 == 0 else None if i % 50 == 1 else f"v{i % 1500:05d}", float(i % 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "cat string, y double").repartition(5)
+    step = PP.Step.from_spec({"operation": "encode", "params": {"columns": ["cat"], "method": method, "target": "y"}}).fit(df)
+    named = next(iter(step.state()["columns"].values()))["map"]
+    assert len(named["hot"]) == 50 and "path" in named
+    step.write().overwrite().save(str(tmp_path / "step"))
+    back = PP.FittedStep.load(str(tmp_path / "step"))
+    assert back.state()["columns"]["cat"]["map"]["path"].startswith(str(tmp_path))
+    odd = spark.createDataFrame([("never seen", 1.0)], "cat string, y double")
+    for m in (step, back):
+        got = m.transform(df.unionByName(odd).withColumn("was", F.col("cat"))).collect()
+        assert len(got) == n + 1
+        text = sorted({"nan" if c is None else c for c, _ in rows})
+        for r in got[:: 37] + [x for x in got if x["was"] in (None, "big", "never seen")][:20]:
+            key = "nan" if r["was"] is None else r["was"]
+            mine = [y for c, y in rows if ("nan" if c is None else c) == key]
+            if method == "label":
+                assert r["cat"] == (text.index(key) if mine else None)
+            elif method == "ordinal":
+                assert r["cat"] == (text.index(key) if mine else -1.0)
+            elif method == "frequency":
+                assert r["cat"] == len(mine)
+            else:
+                want = sum(mine) / len(mine) if mine else sum(y for _, y in rows) / n
+                assert abs(r["cat"] - want) < 1e-9
