@@ -27,11 +27,12 @@ def rows_of(blocks) -> pa.RecordBatch:
 
 
 def fold(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]],
-         add: np.ufunc | dict[int, np.ufunc] = np.add, parts: int | None = None) -> DataFrame:
+         add: np.ufunc | dict[int, np.ufunc] = np.add, parts: int | None = None, alone: bool = False) -> DataFrame:
     """(block, data) of every block that ``partial`` emits in any task, combined by ``add``.
 
     ``partial`` gets a task's batches and yields (block, array) pairs; arrays of one block have one length.
-    ``add`` may differ by block (those not named are summed).
+    ``add`` may differ by block (those not named are summed).  ``alone`` says that ``df`` has one partition, whose
+    blocks (each yielded once) are the result.
     """
     def task(batches):
         for pair in partial(batches):
@@ -50,6 +51,8 @@ def fold(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[t
             yield rows_of([(block, total)])
 
     emitted = df.mapInArrow(task, SCHEMA)
+    if alone:
+        return emitted
     dealt = emitted.repartition(parts, "block") if parts else emitted.repartition("block")
     return dealt.sortWithinPartitions("block").mapInArrow(together, SCHEMA)
 

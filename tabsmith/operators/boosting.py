@@ -95,6 +95,7 @@ class _Boosted(Estimator):
         rows, cuts = binned(df, self.fc, self.lc)
         self.width = len(cuts)
         rows = rows.persist()
+        self.alone = rows.rdd.getNumPartitions() == 1      # a small table: its one task has all sums
         since: list = []                       # learners whose weights are not in the kept rows yet
         learners: list = []
         self._begin(rows)
@@ -162,7 +163,7 @@ class AdaBoostClassifier(_Boosted):
                     out[f] += np.bincount(codes[:, f].astype(int) * classes + c, w, BINS * classes)
             yield 0, out.reshape(-1)
 
-        got = collected(fold(rows, partial, parts=1))
+        got = collected(fold(rows, partial, parts=1, alone=self.alone))
         if not got or not width:
             return None
         return best_stump(got[0].reshape(width, BINS, classes), self.lr)
@@ -273,7 +274,7 @@ class AdaBoostRegressor(_Boosted):
                         out[1, :, f] += np.bincount(cell, w * y, size * BINS).reshape(size, BINS)
                 yield 0, out.reshape(-1)
 
-            got = collected(fold(rows, partial, parts=1))
+            got = collected(fold(rows, partial, parts=1, alone=self.alone))
             if not got:
                 return None
             feature, cut, value = best_level(got[0].reshape(2, size, width, BINS))
@@ -287,7 +288,7 @@ class AdaBoostRegressor(_Boosted):
             yield 0, np.array([w_e, w_all])
             yield 1, np.array([most])
 
-        both = collected(fold(rows, errors, {1: np.maximum}, parts=1))
+        both = collected(fold(rows, errors, {1: np.maximum}, parts=1, alone=self.alone))
         (w_e, w_all), most = both[0], float(both[1][0])
         if most <= 0:
             return (tree, float(np.log(1e-10)), 1.0), True

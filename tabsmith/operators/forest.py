@@ -149,7 +149,10 @@ class ExtraTrees(Estimator):
     def _fit(self, df):
         spark = df.sparkSession
         rows = df.select(vector_to_array(F.col(self.fc)).alias("x"), F.col(self.lc).cast("double").alias("y"))
-        rows = rows.filter("y is not null and not isnan(y)").persist()
+        rows = rows.filter("y is not null and not isnan(y)")
+        # every row goes down every tree: a table in fewer partitions than task slots is dealt out
+        slots = spark.sparkContext.defaultParallelism
+        rows = (rows.repartition(slots) if rows.rdd.getNumPartitions() < slots else rows).persist()
         head = rows.agg(F.count("*").alias("n"), F.max("y").alias("k"), F.max(F.size("x")).alias("p")).first()
         n, width = head["n"], head["p"] or 0
         classes = int(head["k"]) + 1 if self.task == "classification" and n else 0

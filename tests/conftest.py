@@ -17,3 +17,17 @@ def spark():
 
 
 SF = "/root/testdata/sf0.001"
+_MADE: dict = {}
+
+
+@pytest.fixture(scope="session")
+def result(spark):
+    """The DataFrame of a registered query, made once a session (a training query fits its model when it is made)."""
+    from tabsmith.plans.catalog import load_all
+    queries, _ = load_all()
+
+    def made(name):
+        if name not in _MADE:
+            _MADE[name] = queries[name](spark, SF)
+        return _MADE[name]
+    return made

@@ -23,9 +23,9 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_oracle(spark, duck, name):
+def test_query_matches_oracle(result, duck, name):
     from check_oracle import rows_of
-    sdf = QUERIES[name](spark, SF)
+    sdf = result(name)
     cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(sdf.columns) == sorted(dcols)
@@ -41,10 +41,10 @@ def _numbers(row):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_without_oracle_is_well_formed(spark, name):
+def test_query_without_oracle_is_well_formed(result, name):
     """Rows come out, no column is empty throughout, no number is infinite, and shares stay in [0, 1]."""
     import math
-    df = QUERIES[name](spark, SF)
+    df = result(name)
     rows = [tuple(r) for r in df.collect()]
     assert rows
     for i, col in enumerate(df.columns):

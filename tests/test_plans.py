@@ -10,8 +10,8 @@ BAD = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_pair_joins(spark, name):
-    df = QUERIES[name](spark, SF)
+def test_no_pair_joins(result, name):
+    df = result(name)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(b in plan for b in BAD), (name, [b for b in BAD if b in plan])
 
