@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 from tabsmith.functions.partials import collected, fold
 
 BLOCK = 128
+#: Up to so many columns the pairs are plain aggregates of one JVM pass; more would not compile into one stage.
+NARROW = 16
+
+
+def _few(df: DataFrame, values: list[Column]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a few columns by ``corr``."""
+    p = len(values)
+    rows = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(values)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    both = {(i, j): F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull() for i, j in pairs}
+    got = rows.agg(*[F.count_if(both[x]).alias(f"n{x[0]}_{x[1]}") for x in pairs],
+                   *[F.corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs if i < j]).first()
+    corr, n = np.full((p, p), np.nan), np.zeros((p, p))
+    for i, j in pairs:
+        n[i, j] = n[j, i] = got[f"n{i}_{j}"]
+        if i < j and got[f"c{i}_{j}"] is not None:
+            corr[i, j] = corr[j, i] = got[f"c{i}_{j}"]
+    return corr, n
 
 
 def correlation_matrix(df: DataFrame, values: list[Column]) -> tuple[np.ndarray, np.ndarray]:
@@ -23,6 +41,8 @@ def correlation_matrix(df: DataFrame, values: list[Column]) -> tuple[np.ndarray,
     p = len(values)
     if not p:
         return np.zeros((0, 0)), np.zeros((0, 0))
+    if p <= NARROW:
+        return _few(df, values)
     present = [F.when(~F.isnan(v), v) for v in values]
     rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(present)])
     finite = [F.when(F.abs(F.col(f"v{i}")) < float("inf"), F.col(f"v{i}")) for i in range(p)]

@@ -122,6 +122,8 @@ def bootstrap_ci(values: DataFrame, value="value", group=(), n_boot: int = 500,
     half = [F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") % PRIME for at in (1, 9)]
     gid = F.xxhash64(*[F.col(x) for x in g]) if g else F.lit(0).cast("bigint")
     rows = d.select(gid.alias("gid"), v.alias("v"), half[0].alias("h1"), half[1].alias("h2")).where("h1 is not null")
+    # every row is worked on n_boot times: few large partitions are dealt out, 32 bytes a row
+    rows = rows.repartition(max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.sparkSession.sparkContext.defaultParallelism))
     limits = np.array([int(p * PRIME) for p in POISSON], np.int64)
 
     def sums(batches):

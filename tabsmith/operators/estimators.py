@@ -251,10 +251,9 @@ def gram_by_group(df: DataFrame, fc: str, label: str | None = None, group: str |
     cols = [vector_to_array(F.col(fc)).alias("x"), F.col(label).cast("double").alias("y") if label else F.lit(0.0).alias("y"),
             F.col(group).cast("string").alias("g") if group else F.lit("").alias("g")]
     d = df.select(*cols).filter("x is not null and g is not null")
-    names = sorted(r["g"] for r in d.select("g").distinct().collect()) if group else [""]     # class labels
-    number = {g: i for i, g in enumerate(names)}
-    head = d.agg(F.max(F.size("x"))).first()[0]
-    p = head or 0
+    head = d.agg(F.max(F.size("x")).alias("p"), F.collect_set("g").alias("g")).first()          # class labels
+    number = {g: i for i, g in enumerate(sorted(head["g"]))}
+    p = head["p"] or 0
     edges = list(range(0, p, BLOCK))
     per = len(edges) ** 2 + 1                              # blocks of a group; the last holds sums and X'y
 
@@ -262,7 +261,8 @@ def gram_by_group(df: DataFrame, fc: str, label: str | None = None, group: str |
         acc = {}
         for b in batches:
             x, y = matrix(b.column(0)), b.column(1).to_numpy()
-            code = np.array([number[g] for g in b.column(2).to_pylist()], int)
+            texts = b.column(2).dictionary_encode()
+            code = np.array([number[g] for g in texts.dictionary.to_pylist()], int)[texts.indices.to_numpy()]
             for g in np.unique(code):
                 xs, ys = x[code == g], y[code == g]
                 a = acc.setdefault(int(g), [np.zeros((p, p)), np.zeros(2 * p + 3)])

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tabsmith.functions.columns import c, is_numeric, is_string, nan_to_null
 from tabsmith.functions.stats import quantile_dict, value_counts
-from tabsmith.session import checkpoint_dir, cut_lineage
+from tabsmith.session import checkpoint_dir
 
 #: Most frequent values of a category map that stay inline.
 HOT = 1_000
@@ -234,12 +234,11 @@ def _keep_map(df_map: DataFrame) -> dict:
 
     The file lies in the checkpoint folder while the step lives; saving the step writes it beside the metadata.
     """
-    df_map = cut_lineage(df_map)
-    order = [F.col("n").desc(), F.col("value")]
-    hot = df_map.orderBy(*order).limit(HOT).collect()                 # bounded
-    state = {"hot": [[r["value"], r["code"]] for r in hot], "code": dict(df_map.dtypes)["code"]}
-    if len(hot) == HOT:
-        rest = df_map.join(F.broadcast(df_map.orderBy(*order).limit(HOT).select("value")), "value", "left_anti")
+    hot = df_map.orderBy(F.col("n").desc(), F.col("value")).limit(HOT + 1).collect()                 # bounded
+    state = {"hot": [[r["value"], r["code"]] for r in hot[:HOT]], "code": dict(df_map.dtypes)["code"]}
+    if len(hot) > HOT:
+        inline = df_map.sparkSession.createDataFrame([(r["value"],) for r in hot[:HOT]], "value string")
+        rest = df_map.join(F.broadcast(inline), "value", "left_anti")
         path = f"{checkpoint_dir(df_map.sparkSession)}/tabsmith-maps/{uuid.uuid4().hex}"
         rest.select("value", "code").write.parquet(path)
         state["path"] = path
@@ -288,7 +287,7 @@ def _fit_encode(df, p):
         col_state = {"keep": keep}
         v = df.select(t.alias("value"))
         if method in ("label", "ordinal"):
-            counts = cut_lineage(v.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+            counts = v.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
             col_state["map"] = _keep_map(dense_rank_codes(counts))
         elif method == "frequency" or (method == "target" and not (target and target in df.columns)):
             counts = v.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
