@@ -20,18 +20,23 @@ NARROW = 16
 
 
 def _few(df: DataFrame, values: list[Column]) -> tuple[np.ndarray, np.ndarray]:
-    """The same of a few columns by ``corr``."""
+    """The same of a few columns by covariances and variances."""
     p = len(values)
     rows = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(values)])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     both = {(i, j): F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull() for i, j in pairs}
-    got = rows.agg(*[F.count_if(both[x]).alias(f"n{x[0]}_{x[1]}") for x in pairs],
-                   *[F.corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs if i < j]).first()
+    # not corr(): it divides by zero on constant columns
+    aggs = [F.count_if(both[i, j]).alias(f"n{i}_{j}") for i, j in pairs]
+    for i, j in pairs:
+        if i < j:
+            aggs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}"), F.var_pop(F.when(both[i, j], F.col(f"v{i}"))).alias(f"a{i}_{j}"),
+                     F.var_pop(F.when(both[i, j], F.col(f"v{j}"))).alias(f"b{i}_{j}")]
+    got = rows.agg(*aggs).first()
     corr, n = np.full((p, p), np.nan), np.zeros((p, p))
     for i, j in pairs:
         n[i, j] = n[j, i] = got[f"n{i}_{j}"]
-        if i < j and got[f"c{i}_{j}"] is not None:
-            corr[i, j] = corr[j, i] = got[f"c{i}_{j}"]
+        if i < j and n[i, j] > 1 and (spread := got[f"a{i}_{j}"] * got[f"b{i}_{j}"]) > 0:
+            corr[i, j] = corr[j, i] = min(1.0, max(-1.0, got[f"c{i}_{j}"] / spread ** 0.5))
     return corr, n
 
 
