@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from tabsmith.functions.columns import c, hash_uniform, md5_uniform
 from tabsmith.functions.stats import quantile_dict
+from tabsmith.functions.partials import dealt_out
 
 
 @dataclass
@@ -338,23 +339,25 @@ def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300
     class (or moves a regression prediction by more than 5 %)."""
     feats = list(scorer.features)
     mm = df.agg(*[F.min(c(f)).alias(f"lo_{f}") for f in feats], *[F.max(c(f)).alias(f"hi_{f}") for f in feats]).first()
-    base = scorer(df.select(*[c(k) for k in keys], *[c(f) for f in feats])).withColumnRenamed("prediction", "__p0")
+    # every row becomes n_candidates: a table in few partitions is dealt out first
+    base = scorer(dealt_out(df.select(*[c(k) for k in keys], *[c(f) for f in feats]), 100)).withColumnRenamed("prediction", "__p0")
     if "p1" in base.columns:
         base = base.drop("p1")
     # the original values travel with the candidate: no join back
     base = base.select("*", *[c(f).alias(f"__orig{j}") for j, f in enumerate(feats)])
-    ex = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_candidates))).alias("__cand"))
     nf = len(feats)
     for j, f in enumerate(feats):
         lo, hi = float(mm[f"lo_{f}"]), float(mm[f"hi_{f}"])
-        # feature j changes when it is among the candidate's first max_changes hash-ranked features
-        u_pick = md5_uniform([*keys, "__cand", F.lit(f"pick{j}")], seed)
         u_val = md5_uniform([*keys, "__cand", F.lit(f"val{j}")], seed)
-        ex = ex.withColumn(f"__pick{j}", u_pick).withColumn(f"__new{j}", F.lit(lo) + u_val * F.lit(hi - lo))
-    picks = F.array(*[F.col(f"__pick{j}") for j in range(nf)])
-    kth = F.element_at(F.array_sort(picks), min(max_changes, nf))
+        ex = ex.withColumn(f"__new{j}", F.lit(lo) + u_val * F.lit(hi - lo))
+        if most < nf:
+            # feature j changes when it is among the candidate's first max_changes hash-ranked features
+            ex = ex.withColumn(f"__pick{j}", md5_uniform([*keys, "__cand", F.lit(f"pick{j}")], seed))
+    kth = F.element_at(F.array_sort(F.array(*[F.col(f"__pick{j}") for j in range(nf)])), most) if most < nf else F.lit(1.0)
+    ex = ex.withColumn("__kth", kth)
     for j, f in enumerate(feats):
-        ex = ex.withColumn(f, F.when(F.col(f"__pick{j}") <= kth, F.col(f"__new{j}")).otherwise(c(f)))
+        new = F.col(f"__new{j}")
+        ex = ex.withColumn(f, F.when(F.col(f"__pick{j}") <= F.col("__kth"), new).otherwise(c(f)) if most < nf else new)
     dist = F.sqrt(sum((((c(f) - F.col(f"__orig{j}")) / F.lit(max(1e-12, float(mm[f"hi_{f}"]) - float(mm[f"lo_{f}"])))) ** 2
                        for j, f in enumerate(feats)), F.lit(0.0)))
     sc = scorer(ex)
@@ -362,10 +365,14 @@ def counterfactuals(df: DataFrame, scorer: Scorer, keys, n_candidates: int = 300
         hit = F.col("prediction") != F.col("__p0")
     else:
         hit = F.abs(F.col("prediction") - F.col("__p0")) > F.lit(regression_move) * F.abs(F.col("__p0"))
-    ok = sc.where(hit).withColumn("__d", dist)
-    return ok.groupBy(*[c(k) for k in keys]).agg(
-        F.min_by(F.struct(*[c(f) for f in feats], F.col("prediction").alias("new_prediction")), "__d").alias("cf"),
-        F.min("__d").alias("distance"), F.first("__p0").alias("prediction"))
+    # the hits are told apart inside the aggregate, one pass over the candidates.  One buffer per feature, not one struct, keeps the aggregate a hash aggregate: candidates are not sorted.
+    sc = sc.withColumn("__hit", hit).withColumn("__d", F.when(F.col("__hit"), dist))
+    best = sc.groupBy(*[c(k) for k in keys]).agg(
+        *[F.min_by(c(f), "__d").alias(f"__cf{j}") for j, f in enumerate(feats)], F.min_by("prediction", "__d").alias("__cfp"),
+        F.min("__d").alias("distance"), F.first(F.when(F.col("__hit"), F.col("__p0")), ignorenulls=True).alias("prediction"),
+        F.max("__hit").alias("__any"))
+    cf = F.struct(*[F.col(f"__cf{j}").alias(f) for j, f in enumerate(feats)], F.col("__cfp").alias("new_prediction"))
+    return best.where("__any").select(*[c(k) for k in keys], F.when(F.col("distance").isNotNull(), cf).alias("cf"), "distance", "prediction")
 
 
 # ------------------------------------------------------------------ X3 sampling Shapley
@@ -414,6 +421,8 @@ def sampling_shap(df: DataFrame, scorer: Scorer, keys, background: DataFrame, n_
 # ------------------------------------------------------------------ X8 local surrogate
 
 def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, top: int = 10,
+    most = min(max_changes, nf)
+    ex = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_candidates))).alias("__cand"))
                     seed: int = 42) -> DataFrame:
     """X8 (LIME-style): per row, ``n_samples`` Gaussian perturbations (feature std), scored together;
     exponential kernel on the standardised distance (width 0.75 sqrt(p)); per-row weighted least
