@@ -421,19 +421,16 @@ def sampling_shap(df: DataFrame, scorer: Scorer, keys, background: DataFrame, n_
 # ------------------------------------------------------------------ X8 local surrogate
 
 def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, top: int = 10,
-    most = min(max_changes, nf)
-    ex = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_candidates))).alias("__cand"))
                     seed: int = 42) -> DataFrame:
     """X8 (LIME-style): per row, ``n_samples`` Gaussian perturbations (feature std), scored together;
     exponential kernel on the standardised distance (width 0.75 sqrt(p)); per-row weighted least
-    squares in ``applyInPandas`` (one group = one row's samples, bounded by n_samples); top |coef|."""
-    import pandas as pd
+    squares from the samples' normal equations, summed by a hash aggregate and solved in batches; top |coef|."""
     feats = list(scorer.features)
     p = len(feats)
     sd = df.agg(*[F.stddev_pop(c(f)).alias(f) for f in feats]).first()
     sds = [float(sd[f] or 1.0) or 1.0 for f in feats]
-    rows = df.select(F.to_json(F.struct(*[c(k) for k in keys])).alias("__key"),
-                     *[c(f).cast("double").alias(f) for f in feats])
+    rows = dealt_out(df.select(F.to_json(F.struct(*[c(k) for k in keys])).alias("__key"),
+                               *[c(f).cast("double").alias(f) for f in feats]), 100)
     ex = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("__s"))
     for i, f in enumerate(feats):
         u1 = hash_uniform(["__key", "__s", F.lit(f"a{i}")], seed)
@@ -441,19 +438,31 @@ def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, t
         z = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * np.pi * u2)   # Box-Muller
         ex = ex.withColumn(f"__z{i}", F.when(F.col("__s") == 0, F.lit(0.0)).otherwise(z)) \
             .withColumn(f, c(f) + F.col(f"__z{i}") * F.lit(sds[i]))
-    sc = scorer(ex).select("__key", *[f"__z{i}" for i in range(p)], "prediction")
+    sc = scorer(ex)
     width = 0.75 * math.sqrt(p)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        Z = pdf[[f"__z{i}" for i in range(p)]].to_numpy(float)
-        y = pdf["prediction"].to_numpy(float)
-        w = np.exp(-(Z ** 2).sum(axis=1) / width ** 2)
-        A = np.column_stack([np.ones(len(Z)), Z]) * np.sqrt(w)[:, None]
-        coef = np.linalg.lstsq(A, y * np.sqrt(w), rcond=None)[0][1:]
-        order = np.argsort(-np.abs(coef))[:top]
-        return pd.DataFrame({"key": pdf["__key"].iloc[0], "feature": [feats[i] for i in order],
-                             "weight": [float(coef[i]) for i in order]})
-    return sc.groupBy("__key").applyInPandas(fit, "key string, feature string, weight double")
+    # the normal equations of every row, in one hash aggregate; a missing score leaves the row without numbers
+    one = [F.lit(1.0), *[F.col(f"__z{i}") for i in range(p)]]
+    y = F.coalesce(F.col("prediction").cast("double"), F.lit(float("nan")))
+    sc = sc.withColumn("__w", F.exp(-sum((z * z for z in one[2:]), one[1] * one[1]) / F.lit(width ** 2)))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i + 1)]
+    sums = sc.groupBy("__key").agg(*[F.sum(F.col("__w") * one[i] * one[j]).alias(f"__g{k}") for k, (i, j) in enumerate(pairs)],
+                                   *[F.sum(F.col("__w") * one[i] * y).alias(f"__r{i}") for i in range(p + 1)])
+    row, column = np.array(pairs).T
+
+    def fit(batches):
+        for b in batches:
+            n = b.num_rows
+            value = [b.column(1 + k).to_numpy() for k in range(b.num_columns - 1)]
+            G = np.empty((n, p + 1, p + 1))
+            for k in range(len(pairs)):
+                G[:, row[k], column[k]] = G[:, column[k], row[k]] = value[k]
+            r = np.stack(value[len(pairs):], 1)[..., None] if n else np.zeros((0, p + 1, 1))
+            coef = (np.linalg.pinv(G, 1e-12, hermitian=True) @ r)[:, 1:, 0] if n else np.zeros((0, p))
+            order = np.argsort(-np.abs(coef), axis=1, kind="stable")[:, :top]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(n), order.shape[1]))), pa.array(np.array(feats, object)[order.ravel()], pa.string()),
+                 pa.array(np.take_along_axis(coef, order, 1).ravel(), pa.float64())], names=["key", "feature", "weight"])
+    return sums.mapInArrow(fit, "key string, feature string, weight double")
 
 
 # ------------------------------------------------------------------ X14 / X15 curves

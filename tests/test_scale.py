@@ -32,6 +32,18 @@ def test_counterfactuals_without_sorting(spark, most):
     assert out.keys() == best.keys() and all(np.allclose(out[k], best[k]) for k in best)
 
 
+def test_local_surrogate_by_normal_equations(spark):
+    df = spark.createDataFrame([(i, float(i % 7), None if i == 5 else float(i * i)) for i in range(30)], "k int, a double, b double").coalesce(1)
+    got = explain.local_surrogate(df, explain.Scorer.sql("3 * a - 2 * b", ["a", "b"]), ["k"], n_samples=50, top=1)
+    assert "InPandas" not in plan(got)
+    sd = np.std([i * i for i in range(30) if i != 5])
+    for r in got.collect():
+        if '"k":5' in r["key"]:
+            assert np.isnan(r["weight"])
+        else:
+            assert r["feature"] == "b" and np.isclose(r["weight"], -2 * sd)
+
+
 def test_small_files_are_dealt_out(spark):
     one = spark.range(0, 100, 1, 1)
     assert dealt_out(one).rdd.getNumPartitions() == 1
