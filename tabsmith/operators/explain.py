@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabsmith.functions.columns import c, hash_uniform, md5_uniform
@@ -263,32 +264,100 @@ def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     return rows.drop("__id", "__part", "__first", "__start"), n
 
 
+#: Rows whose permuted values are put together before they go to the shuffle.
+DEALT = 1 << 18
+
+
+def _dealt(n: int, bits: int, width: int, repeats: int, seed: int):
+    """(row number, features) -> per block of 2^bits numbers and feature: how many values every repeat sends there (counts),
+    their places in the block (at), the values or their numbers in ``known``, and which of them are null (missing)."""
+    blocks = ((n - 1) >> bits) + 1
+    names = ["block", "feature", "counts", "at", "data", "known", "missing"]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+    def send(pos: np.ndarray, column: pa.Array, j: int) -> pa.RecordBatch:
+        to = np.concatenate([permuted(pos, n, seed * 1_000_003 + j * repeats + r) for r in range(repeats)])
+        block, rep = to >> bits, np.repeat(np.arange(repeats), len(pos))
+        order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+        counts = np.bincount(block * repeats + rep, minlength=blocks * repeats).reshape(blocks, repeats).astype(np.uint32)
+        values, null = column.to_numpy(zero_copy_only=False).astype(float), column.is_null().to_numpy(zero_copy_only=False)
+        # bit patterns, so that every number and NaN comes back as it was
+        known, code = np.unique(values.view(np.int64), return_inverse=True)
+        few = len(known) <= 256
+        data = np.tile(code.astype(np.uint8) if few else values, repeats)[order]
+        at, null = (to & ((1 << bits) - 1)).astype(np.uint16)[order], np.tile(null, repeats)[order] if null.any() else None
+        table, ends = known.tobytes() if few else b"", np.concatenate([[0], np.cumsum(counts.sum(1, dtype=np.int64))])
+        out = [[] for _ in names]
+        for b in np.flatnonzero(np.diff(ends)):
+            part = slice(ends[b], ends[b + 1])
+            lost = np.packbits(null[part]).tobytes() if null is not None else b""
+            for to_, x in zip(out, (b, j, counts[b].tobytes(), at[part].tobytes(), data[part].tobytes(), table, lost), strict=True):
+                to_.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+
+    def flushed(held: list):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        pos = rows.column(0).to_numpy()
+        for j in range(width):
+            yield send(pos, pa.concat_arrays(rows.column(1 + j).chunks), j)
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= DEALT:
+                yield from flushed(held)
+                held, size = [], 0
+        if held:
+            yield from flushed(held)
+
+    return run
+
+
+def _met(bits: int, width: int, repeats: int):
+    """A block's rows and the values sent to it -> the rows with ``__v``, a value per feature and repeat."""
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        place = rows["__pos"].to_numpy() & ((1 << bits) - 1)
+        value, null = np.zeros((width * repeats, 1 << bits)), np.zeros((width * repeats, 1 << bits), bool)
+        for _, j, counts, at, data, known, missing in zip(*(x.to_pylist() for x in sent.columns), strict=True):
+            at = np.frombuffer(at, np.uint16)
+            slot = j * repeats + np.repeat(np.arange(repeats), np.frombuffer(counts, np.uint32))
+            value[slot, at] = np.frombuffer(known, float)[np.frombuffer(data, np.uint8)] if known else np.frombuffer(data, float)
+            if missing:
+                null[slot, at] = np.unpackbits(np.frombuffer(missing, np.uint8), count=len(at)).astype(bool)
+        flat = pa.array(value[:, place].T.ravel(), pa.float64(), mask=null[:, place].T.ravel())
+        ends = np.arange(len(place) + 1, dtype=np.int32) * np.int32(width * repeats)
+        return rows.append_column("__v", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+
+    return run
+
+
 def permutation_importance(df: DataFrame, scorer: Scorer, label: str, keys, metric: str = "r2",
                            repeats: int = 5, seed: int = 42, top: int = 20) -> DataFrame:
     """Score drop when one feature's column is permuted (per feature x repeat).
 
     Rows are numbered as they lie.  For every feature and repeat a keyed permutation of the numbers says
-    which row gets a row's value, so only (row number, slot, value) is shuffled; the permuted values of a row come
-    together once, and its variants are scored in place.
+    which row gets a row's value.  Numbers are cut into blocks; a task sends the values that go to one block as
+    arrays of places and values, a byte per value where it has few distinct ones.  A block's rows meet the arrays
+    once, and a row's variants are scored in place.
     """
     feats = list(scorer.features)
     base, n = numbered(df.select(*[c(f).cast("double").alias(f) for f in feats], c(label).alias("__y")))
     slots = [(j, r) for j in range(len(feats)) for r in range(repeats)]
-
-    def moved(batches):
-        for b in batches:
-            pos = b.column(0).to_numpy()
-            for k, (j, _) in enumerate(slots):
-                to = permuted(pos, n, seed * 1_000_003 + k)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(pos), k, np.int32)), b.column(1 + j)],
-                                                 names=["__pos", "slot", "v"])
-
-    values = base.select("__pos", *[c(f) for f in feats]).mapInArrow(moved, "__pos bigint, slot int, v double")
-    values = values.groupBy("__pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("__v"))   # p x repeats
+    # blocks of numbers, about a thousand: their rows and the values that go there meet in one task
+    bits = min(16, max(12, n.bit_length() - 10))
+    block = F.shiftright("__pos", bits)
+    sent = base.select("__pos", *[c(f) for f in feats]).mapInArrow(
+        _dealt(n, bits, len(feats), repeats, seed), "block bigint, feature int, counts binary, at binary, data binary, known binary, missing binary")
+    rows = base.select(block.alias("block"), "*")
+    both = rows.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
+        _met(bits, len(feats), repeats), T.StructType([*rows.schema.fields, T.StructField("__v", T.ArrayType(T.DoubleType()))]))
     variant = [F.struct(F.lit(feats[j]).alias("feature"), F.lit(r).alias("rep"),
-                        *[(F.element_at("__v", k) if i == j else c(f)).alias(f) for i, f in enumerate(feats)], F.col("__y"))
+                        *[(F.col("__v")[k] if i == j else c(f)).alias(f) for i, f in enumerate(feats)], F.col("__y"))
                for k, (j, r) in enumerate(slots)]
-    sc = scorer(base.join(values, "__pos").select(F.inline(F.array(*variant))))
+    sc = scorer(both.select(F.inline(F.array(*variant))))
     full = scorer(base)
     y = F.col("__y").cast("double")
 

@@ -44,6 +44,25 @@ def test_local_surrogate_by_normal_equations(spark):
             assert r["feature"] == "b" and np.isclose(r["weight"], -2 * sd)
 
 
+def test_permuted_values_travel_in_blocks(spark):
+    n = 9000                                                             # three blocks
+    a, b = np.arange(n) * 0.5, np.where(np.arange(n) % 3 == 0, np.nan, np.arange(n) % 5)
+    df = spark.range(0, n, 1, 3).select((F.col("id") * 0.5).alias("a"), F.expr("if(id % 3 = 0, null, cast(id % 5 as double))").alias("b"))
+    df = df.withColumn("y", F.expr("a + 100 * coalesce(b, 7)"))
+    got = explain.permutation_importance(df, explain.Scorer.sql("a + 100 * coalesce(b, 7)", ["a", "b"]), "y", [], repeats=2)
+    assert "CoGroups" in plan(got)
+    y = a + 100 * np.where(np.isnan(b), 7, b)
+    for r in got.collect():
+        drops = []
+        for rep in range(2):
+            moved = {"a": a.copy(), "b": b.copy()}
+            to = explain.permuted(np.arange(n), n, 42 * 1_000_003 + "ab".index(r["feature"]) * 2 + rep)
+            moved[r["feature"]][to] = {"a": a, "b": b}[r["feature"]]
+            p = moved["a"] + 100 * np.where(np.isnan(moved["b"]), 7, moved["b"])
+            drops.append(((y - p) ** 2).mean() / y.var())
+        assert np.isclose(r["importance_mean"], np.mean(drops)) and np.isclose(r["importance_std"], np.std(drops))
+
+
 def test_small_files_are_dealt_out(spark):
     one = spark.range(0, 100, 1, 1)
     assert dealt_out(one).rdd.getNumPartitions() == 1
