@@ -63,6 +63,21 @@ def test_permuted_values_travel_in_blocks(spark):
         assert np.isclose(r["importance_mean"], np.mean(drops)) and np.isclose(r["importance_std"], np.std(drops))
 
 
+def test_equal_binned_rows_are_one_weighted_row(spark):
+    x = np.arange(3000)[:, None] % 4
+    rows, cuts = boosting.AdaBoostClassifier()._kept(boosting.labelled(points(spark, x, x[:, 0] > 1), "features", "label"))
+    weights = np.concatenate([np.frombuffer(r["logw"], float) for r in rows.collect()])
+    assert len(weights) == 4 and np.allclose(np.exp(weights), 750)
+
+
+def test_boosted_rows_are_kept_in_packs(spark):
+    x = np.arange(4000)[:, None]
+    rows, cuts = boosting.AdaBoostRegressor()._kept(boosting.labelled(points(spark, x, x[:, 0]).coalesce(2), "features", "label"))
+    packs = rows.collect()
+    assert len(packs) <= 4
+    assert sorted(np.concatenate([np.frombuffer(r["y"], float) for r in packs])) == list(range(4000))
+
+
 def test_small_files_are_dealt_out(spark):
     one = spark.range(0, 100, 1, 1)
     assert dealt_out(one).rdd.getNumPartitions() == 1
