@@ -78,6 +78,20 @@ def test_boosted_rows_are_kept_in_packs(spark):
     assert sorted(np.concatenate([np.frombuffer(r["y"], float) for r in packs])) == list(range(4000))
 
 
+def test_path_lengths_of_isolation_trees():
+    tree = {"feat": [0, -1, 1, -1, -1], "thr": [0.5, 0, 2.0, 0, 0], "left": [1, -1, 3, -1, -1], "right": [2, -1, 4, -1, -1], "size": [9, 4, 5, 1, 4]}
+    x = np.array([[0.0, 9.0], [0.5, 1.9], [np.inf, 2.0], [-np.inf, 0.0]])
+    want = [1 + isoforest._c(4), 2 + isoforest._c(1), 2 + isoforest._c(4), 1 + isoforest._c(4)]
+    assert np.allclose(isoforest.lengths(x, [isoforest.walk(tree)] * 3), 3 * np.array(want))
+
+
+def test_scores_are_made_once_for_the_cut(spark):
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(pd.DataFrame({"a": np.arange(400.0)})).coalesce(1).mapInPandas(lambda it: (calls.add(1) or b for b in it), "a double")
+    isoforest.fit_isolation_forest(df, ["a"], {"n_estimators": 5})
+    assert calls.value <= 4                                              # count, sample, scores
+
+
 def test_small_files_are_dealt_out(spark):
     one = spark.range(0, 100, 1, 1)
     assert dealt_out(one).rdd.getNumPartitions() == 1
