@@ -511,7 +511,7 @@ def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, t
             .withColumn(f, c(f) + F.col(f"__z{i}") * F.lit(sds[i]))
     sc = scorer(ex)
     width = 0.75 * math.sqrt(p)
-    # the normal equations of every row, in one hash aggregate; a missing score leaves the row without numbers
+    # the normal equations of every row, in one hash aggregate; a missing score leaves the row without weights
     one = [F.lit(1.0), *[F.col(f"__z{i}") for i in range(p)]]
     y = F.coalesce(F.col("prediction").cast("double"), F.lit(float("nan")))
     sc = sc.withColumn("__w", F.exp(-sum((z * z for z in one[2:]), one[1] * one[1]) / F.lit(width ** 2)))
@@ -532,7 +532,7 @@ def local_surrogate(df: DataFrame, scorer: Scorer, keys, n_samples: int = 200, t
             order = np.argsort(-np.abs(coef), axis=1, kind="stable")[:, :top]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(np.repeat(np.arange(n), order.shape[1]))), pa.array(np.array(feats, object)[order.ravel()], pa.string()),
-                 pa.array(np.take_along_axis(coef, order, 1).ravel(), pa.float64())], names=["key", "feature", "weight"])
+                 pa.array(weight := np.take_along_axis(coef, order, 1).ravel(), pa.float64(), mask=np.isnan(weight))], names=["key", "feature", "weight"])
     return sums.mapInArrow(fit, "key string, feature string, weight double")
 
 

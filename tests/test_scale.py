@@ -12,6 +12,14 @@ from tabsmith.functions.partials import dealt_out
 from tabsmith.operators import boosting, explain, isoforest
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def uniform(*key):
+    return int(hashlib.md5("|".join(map(str, ("42", *key))).encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
 @pytest.mark.parametrize("most", [1, 2])
 def test_counterfactuals_without_sorting(spark, most):
     rows = [(1, 0.0, 1.0), (2, 5.0, 2.0), (3, 10.0, 9.0), (3, 1.0, 0.0)]
@@ -39,7 +47,7 @@ def test_local_surrogate_by_normal_equations(spark):
     sd = np.std([i * i for i in range(30) if i != 5])
     for r in got.collect():
         if '"k":5' in r["key"]:
-            assert np.isnan(r["weight"])
+            assert r["weight"] is None
         else:
             assert r["feature"] == "b" and np.isclose(r["weight"], -2 * sd)
 
@@ -63,6 +71,11 @@ def test_permuted_values_travel_in_blocks(spark):
         assert np.isclose(r["importance_mean"], np.mean(drops)) and np.isclose(r["importance_std"], np.std(drops))
 
 
+def points(spark, x, y):
+    df = spark.createDataFrame([(list(map(float, v)), float(t)) for v, t in zip(x, y)], "x array<double>, label double")
+    return df.select(array_to_vector("x").alias("features"), "label")
+
+
 def test_equal_binned_rows_are_one_weighted_row(spark):
     x = np.arange(3000)[:, None] % 4
     rows, cuts = boosting.AdaBoostClassifier()._kept(boosting.labelled(points(spark, x, x[:, 0] > 1), "features", "label"))
@@ -98,3 +111,16 @@ def test_small_files_are_dealt_out(spark):
     assert dealt_out(one, 10).rdd.getNumPartitions() == min(10, spark.sparkContext.defaultParallelism)
     assert dealt_out(one, most=5).rdd.getNumPartitions() == 20
     assert sorted(r["id"] for r in dealt_out(one, 10).collect()) == list(range(100))
+
+
+def test_boosting_tasks_are_bounded(spark, monkeypatch):
+    from tabsmith.operators import estimators
+
+    class Seen:
+        def fit(self, df):
+            return df.rdd.getNumPartitions(), df.columns
+
+    assert isinstance(estimators.make_estimator("reg_gb", {}), estimators._Dealt) and isinstance(estimators.make_estimator("clf_gb", {}), estimators._Dealt)
+    monkeypatch.setattr(estimators, "GB_ROWS", 10)
+    df = points(spark, np.arange(95)[:, None], np.arange(95)).withColumn("other", F.lit(1)).coalesce(1)
+    assert estimators._Dealt(Seen(), ["features", "label"])._fit(df) == (10, ["features", "label"])
