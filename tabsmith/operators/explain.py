@@ -569,6 +569,7 @@ def learning_curve(prep, key: str, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds:
 def validation_curve(prep, key: str, param: str, value, folds: int = 3, seed: int = 42):
     """CV score at {max(1, v/2), v, 2v} of one hyper-parameter (hash folds)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from tabsmith.operators import cells
     from tabsmith.operators.estimators import make_estimator
     from tabsmith.plans.train import TASK_OF
     from tabsmith.functions.columns import hash_bucket
@@ -578,11 +579,14 @@ def validation_curve(prep, key: str, param: str, value, folds: int = 3, seed: in
     isint = isinstance(value, int)
     vals = sorted({max(1, value // 2) if isint else value / 2, value, value * 2})
     d = prep.data.withColumn("__fold", hash_bucket(prep.keys, seed + 1, folds)).persist()
+    estimators = [make_estimator(key, {param: v}) for v in vals]
+    # the rows of a fold are binned once for all trees
+    got = cells.search(d, "__fold", folds, estimators) if all(isinstance(e, cells.Tree) for e in estimators) else None
     out = []
-    for v in vals:
-        scores = []
-        for f in range(folds):
-            m = make_estimator(key, {param: v}).fit(d.where(F.col("__fold") != f))
+    for i, v in enumerate(vals):
+        scores = got[i] if got else []
+        for f in range(folds if got is None else 0):
+            m = estimators[i].fit(d.where(F.col("__fold") != f))
             scores.append(ev.evaluate(m.transform(d.where(F.col("__fold") == f))))
         out.append((param, float(v), float(np.mean(scores))))
     d.unpersist()
