@@ -76,3 +76,16 @@ def test_labels_and_features_that_spark_ml_refuses(spark, rows):
     assert cells.pack(bad, "features", "y", "regression", small=0) is None
     assert cells.pack(rows, "features", "y", "classification", small=0) is None
     assert cells.pack(rows, "features", "y", "regression") is None
+
+
+@pytest.mark.parametrize("key, label", [("reg_gb", "y"), ("clf_gb", "(k > 0)")])
+def test_boosting_of_cells_is_spark_mls(rows, monkeypatch, tmp_path, key, label):
+    data = rows.select("id", "features", F.expr(f"cast({label} as double)").alias("label"))
+    est = make_estimator(key, {"n_estimators": 4, "max_depth": 2})
+    plain = est.fit(data)
+    monkeypatch.setattr(cells, "SMALL", 0)
+    model = est.fit(data)
+    model.write().save(str(tmp_path / "m"))
+    a, b, c = ([r[0] for r in m.transform(data).orderBy("id").select("prediction").collect()]
+               for m in (plain, model, TR.load_model(rows.sparkSession, str(tmp_path / "m"))))
+    assert isinstance(model, cells.BinnedModel) and np.allclose(a, b, rtol=1e-9) and b == c
