@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from tabsmith.operators import cells
+from tabsmith.operators import cells, forest
 from tabsmith.operators.estimators import make_estimator
 from tabsmith.plans import train as TR
 
@@ -89,3 +89,31 @@ def test_boosting_of_cells_is_spark_mls(rows, monkeypatch, tmp_path, key, label)
     a, b, c = ([r[0] for r in m.transform(data).orderBy("id").select("prediction").collect()]
                for m in (plain, model, TR.load_model(rows.sparkSession, str(tmp_path / "m"))))
     assert isinstance(model, cells.BinnedModel) and np.allclose(a, b, rtol=1e-9) and b == c
+
+
+@pytest.mark.parametrize("key, label", [("reg_extra_trees", "y"), ("clf_extra_trees", "k")])
+def test_extra_trees_of_cells_are_those_of_the_rows(spark, monkeypatch, key, label):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 25, 2000), rng.integers(0, 6, 2000), rng.integers(0, 2, 2000)], 1)
+    y = x[:, 0] + 3 * x[:, 2] + rng.integers(0, 5, 2000)
+    df = spark.createDataFrame([(i, [float(v) for v in a], float(b) if i else None, float(b > 12) if i else None)
+                                for i, (a, b) in enumerate(zip(x, y))], "id bigint, x array<double>, y double, k double")
+    data = df.select("id", array_to_vector("x").alias("features"), F.col(label).alias("label"))
+    est = make_estimator(key, {"n_estimators": 4, "min_samples_leaf": 5})
+    plain = est.fit(data)
+    monkeypatch.setattr(cells, "SMALL", 0)
+    sizes = []
+    monkeypatch.setattr(forest.ExtraTrees, "grown", lambda self, rows, *a, grown=forest.ExtraTrees.grown: sizes.append(rows.count()) or grown(self, rows, *a))
+    model = est.fit(data)
+    assert sizes[0] == data.where("label is not null").select("features").distinct().count() < 500
+    assert np.array_equal(plain.feature, model.feature) and np.allclose(plain.value, model.value)
+    a, b = ([r[0] for r in m.transform(data).orderBy("id").select("prediction").collect()] for m in (plain, model))
+    assert np.allclose(a, b, rtol=1e-9)
+
+
+def test_bins_have_values_between_their_cuts():
+    x = np.random.default_rng(3).normal(size=4000).round(2)
+    cut = cells.thresholds(x)
+    value = cells.middles(x, cut)
+    assert np.array_equal(np.searchsorted(cut, value), np.arange(32))
+    assert cells.middles(np.array([1.0, 3.0, 1.0]), np.array([2.0])).tolist() == [1.0, 3.0] and len(cells.middles(np.ones(5), np.array([]))) == 1
