@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -313,6 +314,8 @@ def linearity_score(df: DataFrame, target: str, task: str, keys=None, seed: int
            and f.dataType.simpleString() == "string"]
     d = df.select(*[c(x).cast("double").alias(f"n{i}") for i, x in enumerate(num)], *[c(x).alias(f"c{i}") for i, x in enumerate(cat)],
                   c(target).alias("__t"), hash_bucket(keys or df.columns, seed).alias("__b")).where("__t is not null")
+    # every pass reads these columns, and the hash is of whole rows: made once; the solver needs the memory
+    base = d = d.persist(StorageLevel.DISK_ONLY)
     train = d.where(F.col("__b") >= 2000)
     median = quantile_dict(train, [f"n{i}" for i in range(len(num))], [0.5])
     for i in range(len(num)):
@@ -342,4 +345,7 @@ def linearity_score(df: DataFrame, target: str, task: str, keys=None, seed: int
     else:
         acc = F.avg((F.col("__y") == F.col("prediction")).cast("double"))
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (acc - 0.5) / 0.5))
-    return pred.agg(score.alias("linearity_score"))
+    out = pred.agg(score.alias("linearity_score"))
+    found = out.collect()                                       # one number
+    base.unpersist()
+    return df.sparkSession.createDataFrame(found, out.schema)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabsmith.functions.partials import dealt_out
-from tabsmith.operators import boosting, explain, isoforest
+from tabsmith.operators import boosting, explain, isoforest, recommend
 
 
 def plan(df) -> str:
@@ -124,3 +124,22 @@ def test_boosting_tasks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(estimators, "GB_ROWS", 10)
     df = points(spark, np.arange(95)[:, None], np.arange(95)).withColumn("other", F.lit(1)).coalesce(1)
     assert estimators._Dealt(Seen(), ["features", "label"])._fit(df) == (10, ["features", "label"])
+
+
+@pytest.mark.parametrize("task, target", [("classification", "t"), ("regression", "y")])
+def test_linearity_makes_its_rows_once(spark, task, target):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(400).selectExpr("id", "cast(id % 7 as double) as a", "if(id % 5 = 0, null, concat('v', id % 3)) as c",
+                                     "if(id % 7 > 3, 'x', 'y') as t", "id % 7 + 0.5 as y").repartition(2)
+    df = df.mapInArrow(rows, df.schema)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = recommend.linearity_score(df, target, task).collect()
+    assert len(got) == 1 and got[0]["linearity_score"] > 0.5
+    assert read.value == 400
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
