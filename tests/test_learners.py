@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -146,6 +147,34 @@ def test_neighbours_equal_brute_force(spark, width, leaf):
     assert [sorted(by[i]) for i in range(len(q))] == want
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e8, 1e200])
+def test_visit_of_a_leaf_equals_brute_force(shift, monkeypatch):
+    """All queries of a leaf at once: far from zero, with ties, limits and several keys of a point."""
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    p = np.round(rng.normal(size=(300, 3)) * 3) + shift
+    p = np.unique(p * (1 + rng.integers(0, 2, p.shape)) if shift == 1e200 else p, axis=0)
+    lists = [sorted(rng.integers(0, 9, rng.integers(1, 5)).tolist()) for _ in p]
+    q = np.concatenate([p[::3], np.round(rng.normal(size=(40, 3)) * 4, 1) + shift])
+    limit = np.where(np.arange(len(q)) % 4 == 0, 2.0, np.inf)
+    got = list(zip(*(v.tolist() for v in neighbours._top(p, pa.array(lists), q, limit, 5)), strict=True))
+    flat, keys = np.repeat(p, [len(v) for v in lists], axis=0), np.concatenate(lists)
+    with np.errstate(over="ignore"):
+        want = [(i, d, key) for i, best in enumerate(near_plain(flat, keys, q, 5)) for d, key in best if d <= limit[i]]
+    assert got == want
+
+
+def test_home_leaf_answers_a_query_in_one_row(spark):
+    """Queries go through no second shuffle after their home leaf; queries of a leaf without points are kept."""
+    rows = spark.createDataFrame([(i, [float(i % 40)]) for i in range(400)], "key long, x array<double>")
+    index = neighbours.build(rows, 3, leaf_rows=8)
+    asked = spark.createDataFrame([(i, [i / 2]) for i in range(90)], "qid long, x array<double>")
+    home = neighbours._leafed(asked, index.tree)
+    got = {r["qid"]: r for r in neighbours._at_home(index.points.filter("leaf <> 0"), home, 3).collect()}
+    assert len(got) == 90 and all(len(r["ds"]) == len(r["keys"]) == (3 if r["leaf"] else 0) for r in got.values())
+    assert all(r["d2"] == (r["ds"][-1] if r["leaf"] else math.inf) for r in got.values())
+
+
 def test_fewer_rows_than_k_and_empty(spark):
     rows = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "key long, x array<double>")
     asked = spark.createDataFrame([(0, [1.0])], "qid long, x array<double>")
