@@ -175,6 +175,28 @@ def test_home_leaf_answers_a_query_in_one_row(spark):
     assert all(r["d2"] == (r["ds"][-1] if r["leaf"] else math.inf) for r in got.values())
 
 
+def test_feature_elimination_fits_on_distinct_rows(spark, monkeypatch):
+    """Once the only continuous feature is dropped, the fits read the distinct rows with their counts, and choose the same."""
+    from tabsmith.operators import estimators
+    rng = np.random.default_rng(5)
+    a, b, c = rng.integers(0, 4, 4000), rng.integers(0, 3, 4000), rng.integers(0, 2, 4000)
+    y = (a + rng.normal(size=4000) > 1.5 + 0.5 * b).astype(int)
+    df = spark.createDataFrame([(float(v) * 1e4, int(i), int(j), int(k), int(t)) for v, i, j, k, t in zip(rng.normal(size=4000), a, b, c, y, strict=True)],
+                               "wide double, a int, b int, c int, y int")
+    seen = []
+
+    class Seen(estimators.LogisticRegression):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    whole = [tuple(r) for r in estimators.rfe_ranking(df, ["wide", "a", "b", "c"], "y", 2, "classification").collect()]
+    monkeypatch.setattr(estimators, "RFE_ROWS", 1000)
+    monkeypatch.setattr(estimators, "LogisticRegression", Seen)
+    assert [tuple(r) for r in estimators.rfe_ranking(df, ["wide", "a", "b", "c"], "y", 2, "classification").collect()] == whole
+    assert seen[0] == 4000 and seen[1] <= 4 * 3 * 2 * 2 and [r[3] for r in whole] == [False, True, True, False]
+
+
 def test_fewer_rows_than_k_and_empty(spark):
     rows = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "key long, x array<double>")
     asked = spark.createDataFrame([(0, [1.0])], "qid long, x array<double>")
