@@ -80,6 +80,24 @@ def test_packs_number_all_their_sets(spark):
     assert tuple(got) == (79_940, 2, 2)
 
 
+def test_shared_shingles_are_shuffled_part_by_part(spark, monkeypatch):
+    rows = copies(4, 20, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    turns = []
+    monkeypatch.setattr(ngram_join, "_spread", lambda *a, made=ngram_join._spread: turns.append(a) or made(*a))
+    got = [sorted(map(tuple, ngram_join.shared(docs, r).collect())) for r in (1, 2, 3)]
+    assert got[0] == got[1] == got[2] and len(turns) == 6
+    assert sorted(map(tuple, ngram_join.shared(docs).collect())) == got[0] and len({t[1] for t in turns[6:]}) > 1
+
+
+def test_only_texts_of_wanted_rows_meet_them(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    wanted = ngram_join.first_rows(ngram_join.set_rows(docs)).filter("doc_id % 1000 = 7").cache()
+    passed = docs.filter(ngram_join._maybe(wanted, 1024))
+    assert passed.filter("doc_id % 1000 = 7").count() == 20 and passed.count() < 1000
+    assert sorted(r[0] for r in ngram_join.sets_of(docs, wanted).select("doc_id").collect()) == [1000 * i + 7 for i in range(20)]
+
+
 def test_rtree_finds_all_components():
     rng = np.random.default_rng(3)
     sets = []
