@@ -385,6 +385,19 @@ def test_adaboost_regressor_rounds(spark):
     assert np.mean([(pred[i] - y[i]) ** 2 for i in range(250)]) < 0.4 * np.var(y)
 
 
+@pytest.mark.parametrize("kind", [boosting.AdaBoostClassifier, boosting.AdaBoostRegressor])
+def test_one_task_boosts_as_many_do(spark, monkeypatch, kind):
+    x, y = blobs(4)
+    df = frame(spark, x, np.maximum(y, 0), 1)
+    monkeypatch.setattr(boosting, "labelled", lambda df, *a, made=boosting.labelled: made(df, *a).coalesce(1))
+    models = []
+    for most in (16, 0):
+        monkeypatch.setattr(boosting, "PACKS_ALONE", most)
+        models.append(kind(n_estimators=30, learning_rate=0.3).fit(df))       # crosses a rebase
+    for field in models[0]._fields[:4] if kind is boosting.AdaBoostRegressor else ("stumps",):
+        assert np.allclose(getattr(models[0], field), getattr(models[1], field), rtol=1e-9) and len(getattr(models[0], field))
+
+
 def test_boosting_on_constant_features(spark):
     x = np.ones((10, 2))
     y = np.array([0.0] * 7 + [1.0] * 3)
