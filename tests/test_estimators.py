@@ -118,3 +118,19 @@ def test_registered_fits_run_the_cards_defaults():
     # what is reduced is listed in the README
     assert set(q_models.REDUCED) <= {"reg_random_forest", "clf_random_forest", "reg_extra_trees", "clf_extra_trees", "reg_gb", "clf_gb", "clf_mlp",
                                      "reg_adaboost", "clf_adaboost"}
+
+
+def test_boosting_runs_all_rounds_of_its_card(spark, monkeypatch):
+    from tabsmith.plans import cards, q_models
+    asked = {}
+    monkeypatch.setattr(q_models.TR, "train", lambda prep, key, params=None: asked.update({key: params}))
+    monkeypatch.setattr(q_models, "_prep", lambda *a: None)
+    for key, task in (("reg_gb", "regression"), ("clf_gb", "classification"), ("reg_adaboost", "regression")):
+        try:
+            q_models._train_query(key, task)(spark, "")
+        except AttributeError:
+            pass                                  # the stub has no metrics
+        assert (asked[key] or {}).get("n_estimators", 300) == cards.defaults(key)["n_estimators"] == 300
+    assert make_estimator("reg_adaboost", asked["reg_adaboost"]).rounds == 300
+    assert make_estimator("reg_gb", asked["reg_gb"])._booster.getMaxIter() == 300
+    assert make_estimator("clf_gb", asked["clf_gb"])._booster.getMaxIter() == 300
