@@ -111,6 +111,18 @@ def test_extra_trees_of_cells_are_those_of_the_rows(spark, monkeypatch, key, lab
     assert np.allclose(a, b, rtol=1e-9)
 
 
+@pytest.mark.parametrize("key, label", [("reg_extra_trees", "y"), ("clf_extra_trees", "k")])
+def test_extra_trees_see_the_values_of_a_table_of_any_size(rows, monkeypatch, key, label):
+    data = rows.select("id", "features", F.col(label).alias("label"))
+    est = make_estimator(key, {"n_estimators": 3, "min_samples_leaf": 30})
+    plain = est.fit(data)
+    monkeypatch.setattr(cells, "SMALL", 0)
+    model = est.fit(data)
+    assert np.array_equal(plain.feature, model.feature) and np.array_equal(plain.cut, model.cut) and np.allclose(plain.value, model.value)
+    # more cuts of the first feature than bins have edges
+    assert len(np.unique(model.cut[model.feature == 0])) > cells.BINS
+
+
 def test_bins_have_values_between_their_cuts():
     x = np.random.default_rng(3).normal(size=4000).round(2)
     cut = cells.thresholds(x)
