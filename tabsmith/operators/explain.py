@@ -543,13 +543,22 @@ def learning_curve(prep, key: str, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds:
     """Mean train / CV score for growing hash-prefix train subsets, k hash folds."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from tabsmith.functions.columns import hash_bucket
+    from tabsmith.operators import cells
     from tabsmith.operators.estimators import make_estimator
     from tabsmith.plans.train import TASK_OF
     task = TASK_OF[key]
     ev = RegressionEvaluator(metricName=metric or "r2") if task == "regression" else \
         MulticlassClassificationEvaluator(metricName=metric or "accuracy")
     d = prep.data.withColumn("__fold", hash_bucket(prep.keys, seed + 1, folds)) \
-        .withColumn("__u", hash_bucket(prep.keys, seed + 2, 10000) / 10000.0).persist()
+        .withColumn("__u", hash_bucket(prep.keys, seed + 2, 10000) / 10000.0)
+    spark, tree, schema = prep.data.sparkSession, make_estimator(key, params or {}), "train_fraction double, n_train long, train_score double, cv_score double"
+    if isinstance(tree, cells.Tree) and metric is None and list(sizes) == sorted(sizes):
+        first = sum(((F.col("__u") >= s).cast("int") for s in sizes), F.lit(0))
+        got = cells.curve(d.withColumn("__fold", F.col("__fold").cast("int")).withColumn("__size", first), "__fold", folds, "__size", len(sizes), tree)
+        if got:
+            return spark.createDataFrame([(float(s), *(float(np.mean(v)) if k else int(np.mean(v)) for k, v in enumerate(zip(*scores, strict=True))))
+                                          for s, scores in zip(sizes, got, strict=True)], schema)
+    d = d.persist()
     out = []
     for size in sizes:
         tr_s, cv_s, n_tr = [], [], []
@@ -562,8 +571,7 @@ def learning_curve(prep, key: str, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), folds:
             n_tr.append(tr.count())
         out.append((float(size), int(np.mean(n_tr)), float(np.mean(tr_s)), float(np.mean(cv_s))))
     d.unpersist()
-    spark = prep.data.sparkSession
-    return spark.createDataFrame(out, "train_fraction double, n_train long, train_score double, cv_score double")
+    return spark.createDataFrame(out, schema)
 
 
 def validation_curve(prep, key: str, param: str, value, folds: int = 3, seed: int = 42):

@@ -8,6 +8,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tabsmith.operators import cells, forest
+from tabsmith.operators import explain as X
 from tabsmith.operators.estimators import make_estimator
 from tabsmith.plans import train as TR
 
@@ -123,6 +124,18 @@ def test_extra_trees_see_the_values_of_a_table_of_any_size(rows, monkeypatch, ke
     assert len(np.unique(model.cut[model.feature == 0])) > cells.BINS
 
 
+@pytest.mark.parametrize("key, target", [("reg_decision_tree", "y"), ("clf_decision_tree", "k")])
+def test_learning_curve_of_a_large_table_reads_it_a_few_times(rows, monkeypatch, key, target):
+    data = rows.select("id", target, F.expr("cast(id % 11 as double) a"), F.expr("cast(y * 3 as int) % 13 as b"))
+    prep = TR.prepare(data, target, ["id"], "regression" if target == "y" else "classification")
+    plain = [tuple(r) for r in X.learning_curve(prep, key, (0.3, 1.0), params={"max_depth": 4, "min_samples_leaf": 15}).collect()]
+    monkeypatch.setattr(cells, "SMALL", 0)
+    monkeypatch.setattr(cells, "pack", lambda *a: pytest.fail("rows were binned for every train set"))
+    monkeypatch.setattr(type(data), "persist", lambda self, *a, keep=type(data).persist: keep(self) if "code" in self.columns else pytest.fail("rows were kept"))
+    got = [tuple(r) for r in X.learning_curve(prep, key, (0.3, 1.0), params={"max_depth": 4, "min_samples_leaf": 15}).collect()]
+    assert np.allclose(got, plain, rtol=1e-9) and got[0][1] < got[1][1]
+
+
 def test_bins_have_values_between_their_cuts():
     x = np.random.default_rng(3).normal(size=4000).round(2)
     cut = cells.thresholds(x)
